@@ -1,0 +1 @@
+"""Text normalisation and speech-corpus analytics as Spark column expressions and DataFrame operators."""
