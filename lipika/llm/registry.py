@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lipika.llm import exact_dedup, mixing
+from lipika.llm import exact_dedup, mixing, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_url_filters": url_filters.op4_url_filters,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_url_filters": url_filters.SQL,
     "op9_mix_sources": mixing.SQL,
 }
