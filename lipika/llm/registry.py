@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lipika.llm import exact_dedup, mixing, url_filters
+from lipika.llm import exact_dedup, mixing, packing, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
