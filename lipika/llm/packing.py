@@ -30,7 +30,7 @@ SIZE = 1024
 END_ID = 2
 #: Entries of a worker's cache of word pieces; pieces beyond it are encoded each time.
 CACHE = 300_000
-ROUNDS = 300
+ROUNDS = 600
 BUCKET = 50_000
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -141,7 +141,7 @@ def best_configuration(price: np.ndarray, capacity: int, most: np.ndarray) -> di
     return chosen
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, eta: float = 0.5) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, eta: float = 0.5, part: float = 0.2) -> list[tuple[dict[int, int], int]]:
     """(configuration, sequences) that hold every piece of the histogram exactly once."""
     left = np.zeros(size + 1, np.int64)
     for l, n in histogram.items():
@@ -151,15 +151,16 @@ def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, eta:
         out.append(({size: 1}, int(left[size])))
         left[size] = 0
     total, demand = left.copy(), np.maximum(left, 1).astype(float)
-    many = np.where(left > 0, size, 0)
     length = np.arange(size + 1, dtype=float)
+    # Of configurations equally full, the one with long pieces comes first: short ones fit anywhere later.
+    price = length * (1 + 0.05 * length / size)
     # The program by multiplicative weights: prices start at the lengths, covered lengths get cheaper.
     weight, x = np.ones(size + 1), {}
     for _ in range(rounds if (total > 0).sum() > 1 else 0):
-        c = best_configuration(length / size * weight, size, many)
+        c = best_configuration(price * weight, size, total)
         if not c:
             break
-        step = min(demand[l] / a for l, a in c.items())
+        step = part * min(demand[l] / a for l, a in c.items())
         key = tuple(sorted(c.items()))
         x[key] = x.get(key, 0.0) + step
         for l, a in c.items():
@@ -176,8 +177,7 @@ def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, eta:
             out.append((dict(key), k))
             for l, a in key:
                 left[l] -= a * k
-    # What is left: the same pricing with the lengths as prices, a little more for long ones, which are hard to place.
-    price = length * (1 + 0.05 * length / size)
+    # What is left: the same pricing, bounded by the pieces that are left.
     while (left > 0).any():
         if left.sum() <= 2 * size:
             out += best_fit(left, size)

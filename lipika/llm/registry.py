@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lipika.llm import exact_dedup, mixing, packing, url_filters
+from lipika.llm import exact_dedup, mixing, packing, quality, toxicity, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
