@@ -15,7 +15,11 @@ Null ids are allowed. An empty table gives no rows.
 
 from __future__ import annotations
 
+import contextlib
+import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,41 +32,50 @@ from lipika.llm.common import stored, table
 
 SIZE = 1024
 END_ID = 2
-#: Entries of a worker's cache of word pieces; pieces beyond it are encoded each time.
-CACHE = 300_000
 ROUNDS = 600
 BUCKET = 50_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
 class Encoder:
-    """Text to the little-endian uint32 bytes of its ids: the tokenizer's own split, each split encoded once and cached."""
+    """Text to the little-endian uint32 bytes of its ids.
 
-    def __init__(self, path: str, end_id: int = END_ID, cache: int = CACHE):
+    The ids are those of the byte-level BPE file at ``path``. Where its merges stand in the order of the ids they make,
+    they are ranks, which a faster library applies to the file's own vocabulary with the same ids; any other file, and
+    a text which that library cannot split, goes through the file's own library.
+    """
+
+    def __init__(self, path: str, end_id: int = END_ID):
         import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        self.room = cache
+        import tiktoken
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.end = np.array([end_id], "<u4").tobytes()
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.quick = None
+        letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+        if all(c in vocabulary for c in letters) and all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
+            # The byte of each letter: printable bytes stand for themselves, the others follow from 256 on in order.
+            own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+            byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(own))}
+            ranks = {bytes(byte[c] for c in w): i for w, i in vocabulary.items() if i < 256 + len(merges)}
+            self.quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        parts = self.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, parts)) + self.end
-        except KeyError:
-            pass
-        new = list({p for p in parts if p not in self.known})
-        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        if len(self.known) + len(got) <= self.room:
-            self.known.update(got)
-            return b"".join(map(self.known.__getitem__, parts)) + self.end
-        known = self.known.get
-        return b"".join([known(p) or got[p] for p in parts]) + self.end
+        ids = None
+        if self.quick:
+            with contextlib.suppress(Exception):  # a run of white space too long for its pattern library
+                ids = self.quick(text)
+        if ids is None:
+            ids = self.plain.encode(text, add_special_tokens=False).ids
+        data = array("I", ids)
+        if sys.byteorder == "big":
+            data.byteswap()
+        return data.tobytes() + self.end
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
