@@ -96,6 +96,14 @@ def with_vectors(docs: DataFrame, terms: list[bytes], id_col: str, text_col: str
     return docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"]).mapInArrow(run, f"id {kind}, terms array<int>, counts array<int>")
 
 
+def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per term, a row for each term of a batch."""
+    for b in batches:
+        n = np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False))
+        t = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(n[t], pa.int64())], ["t", "n"])
+
+
 class Index:
     """Postings by (term, block) with the largest weight of each; examples are ordered so that like ones share blocks."""
 
@@ -195,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     chosen = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).join(F.broadcast(known), F.col("id") == F.col("lid"))
     found = choose_terms(stored(chosen.select("id", "y", "text"), "toxic-examples"), terms, chi)
     vectors = stored(with_vectors(docs, found, id_col, text_col), "toxic-vectors")
-    df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()  # ``terms`` rows at most
+    df = vectors.select("terms").mapInArrow(document_counts, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    df = df.collect()  # ``terms`` rows at most
     total = vectors.count()
     idf = np.zeros(len(found) + 1)
     for r in df:
