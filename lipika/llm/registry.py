@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lipika.llm import exact_dedup, mixing, packing, quality, toxicity, url_filters
+from lipika.llm import exact_dedup, mixing, ngram_join, packing, quality, toxicity, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_url_filters": url_filters.op4_url_filters,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op2_ngram_jaccard": ngram_join.SQL,
     "op4_url_filters": url_filters.SQL,
     "op9_mix_sources": mixing.SQL,
 }
