@@ -31,10 +31,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/lipika/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a scratch table and read it back: cuts the lineage and survives a lost executor."""
+def stored(df: DataFrame, label: str, heavy: bool = False) -> DataFrame:
+    """Write ``df`` to a scratch table and read it back: cuts the lineage and survives a lost executor.
+
+    Shuffle files stay until the driver collects what refers to them; after a ``heavy`` job it is asked to at once.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     df.write.parquet(path)
+    if heavy:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

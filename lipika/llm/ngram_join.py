@@ -23,18 +23,18 @@ one shingle. Equal texts, also under a repeated id, are linked. Null ids are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import is_empty, remove, scratch, stored, table
+from lipika.llm.common import is_empty, stored, table
 from lipika.llm.components import connected_components
 from lipika.llm.shingles import digest, links, mix, sets, shingles
-from lipika.llm.textbytes import blocks
+from lipika.llm.textbytes import slices
 
 PERCENT = 75
 CELLS = 1 << 18
@@ -44,6 +44,9 @@ FIRST_BAND, GROWTH = 5, 3
 #: Entries with at most so many sets are compared in full at once; larger ones through more hubs first.
 SMALL = 48
 ROUNDS = 4
+PROFILE = 256
+#: Entries that a task holds before they go out.
+RUN = 1_000_000
 #: What an entry met by chance costs, in entries.
 DRAG = 4
 BLOCK = 2 << 20
@@ -134,8 +137,8 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for b in batches:
-            for _, data, offsets in blocks(b.column(0), BLOCK):
-                s, _ = shingles(data, offsets)
+            for _, texts in slices(b.column(0), BLOCK):
+                s, _ = shingles(texts)
                 total += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         parts = np.minimum(total, 2**31 - 1).astype("<i4").reshape(CHUNKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n"])
@@ -151,73 +154,127 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
     return total > mean + 8 * np.sqrt(mean) + 32
 
 
-def signed(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(id, n, node, name, entries) of every row; node is the first 8 bytes of the set's name."""
+def profile(members: np.ndarray) -> bytes:
+    """How many shingles fall in each of PROFILE cells, 255 for that many or more: bounds any intersection from above."""
+    return np.minimum(np.bincount((members >> np.uint64(40)).astype(np.int64) % PROFILE, minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def at_most_shared(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bound of the intersections of profile rows; a full cell may hold anything up to n."""
+    both = np.minimum(x, y).astype(np.int64)
+    return np.where((both == 255).any(axis=1), n, both.sum(axis=1))
+
+
+ENTRY = np.dtype([("entry", "<u8"), ("node", "<i8")])
+MEETING = np.dtype([("entry", "<i8"), ("hub", "<i8"), ("node", "<i8")])
+#: Set in an entry whose node stands for more nodes that met it before the exchange.
+MORE = np.uint64(1 << 63)
+SIGNED_DDL = "bucket int, payload binary, id long, n long, node long, name binary, profile binary"
+JOINED_DDL = "id long, n long, node long, name binary, profile binary, entry long, hub long, member long"
+
+
+def _meet(entry: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (entry, node), whether each is its entry's first, and the first node of its entry."""
+    order = np.lexsort((node, entry))
+    entry, node = entry[order], node[order]
+    if len(entry):
+        fresh = np.ones(len(entry), bool)
+        fresh[1:] = (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])
+        entry, node = entry[fresh], node[fresh]
+    head = np.ones(len(entry), bool)
+    head[1:] = entry[1:] != entry[:-1]
+    hub = node[np.flatnonzero(head)][np.cumsum(head) - 1] if len(node) else node
+    return entry, node, head, hub
+
+
+def signed(docs: DataFrame, frequent: np.ndarray, percent: int, buckets: int) -> DataFrame:
+    """Rows of three kinds for one exchange: documents (bucket < 0), entries packed by bucket, and meetings.
+
+    Nodes that share an entry within a run of documents meet before the exchange: only the first goes on under that
+    entry, marked with MORE, so that an entry of a third of all documents still sends one row per run.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(np.unpackbits(shared.value, count=CELLS).astype(bool), percent)
+        turn, held, size = 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            entry, node, head, hub = _meet(np.concatenate([e for e, _ in held]), np.concatenate([n for _, n in held]))
+            met = np.zeros(int((~head).sum()), MEETING)
+            met["entry"], met["hub"], met["node"] = entry[~head].view(np.int64), hub[~head], node[~head]
+            out = np.zeros(int(head.sum()), ENTRY)
+            first = np.flatnonzero(head)
+            several = np.diff(np.concatenate([first, [len(entry)]])) > 1
+            out["entry"], out["node"] = entry[first] | np.where(several, MORE, np.uint64(0)), node[first]
+            bucket = (entry[first] % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            out, bucket = out[order], bucket[order]
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows = [(b, out[ends[b] : ends[b + 1]].tobytes()) for b in range(buckets) if ends[b + 1] > ends[b]]
+            if len(met):
+                rows.append((-1 - turn % buckets, met.tobytes()))
+            nothing = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), nothing, nothing, nothing, *[pa.nulls(len(rows), pa.binary())] * 2],
+                ["bucket", "payload", "id", "n", "node", "name", "profile"],
+            )
+
         for b in batches:
             ids = b.column(0)
-            for first, data, offsets in blocks(b.column(1), BLOCK):
-                group = list(sets(data, offsets))
+            for first, texts in slices(b.column(1), BLOCK):
+                group = list(sets(texts))
                 names = [digest(s) for s in group]
-                entries = signer.entries(group)
-                ends = np.concatenate([[0], np.cumsum([len(e) for e in entries])])
-                flat = np.concatenate(entries) if entries else np.zeros(0, np.uint64)
+                nodes = np.array([int.from_bytes(x[:8], "little", signed=True) for x in names], np.int64)
+                turn += 1
+                k = len(group)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids[first : first + len(group)], pa.array([len(s) for s in group], pa.int64()),
-                        pa.array([int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64()), pa.array(names, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))),
+                        pa.array(np.full(k, -1 - turn % buckets, np.int32)), pa.nulls(k, pa.binary()), ids[first : first + k],
+                        pa.array([len(s) for s in group], pa.int64()), pa.array(nodes), pa.array(names, pa.binary()),
+                        pa.array([profile(s) for s in group], pa.binary()),
                     ],
-                    ["id", "n", "node", "name", "entries"],
+                    ["bucket", "payload", "id", "n", "node", "name", "profile"],
                 )
+                once = np.unique(nodes, return_index=True)[1]
+                entries = signer.entries([group[i] for i in once])
+                held.append((np.concatenate(entries), np.repeat(nodes[once], [len(e) for e in entries])))
+                size += len(held[-1][0])
+                if size >= RUN:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, node long, name binary, entries array<long>")
+    return docs.select("id", "text").mapInArrow(run, SIGNED_DDL)
 
 
-def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (entry, node): (entry, hub, node) for every node after an entry's first.
+def meetings(part: pa.Table) -> pa.Table:
+    """Of one bucket: document rows as they are, and (entry, hub, member) for every node after an entry's first.
 
-    Rows stream through; just the current entry's first node is kept. Where an entry certainly has two nodes only, its
-    name is not needed any more and stays null, and equal pairs of a batch become one.
+    An entry of exactly two nodes that stand for themselves is done once these are compared: its name stays null.
     """
-    last_entry = last_node = hub = None
-    for b in batches:
-        entry, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(entry):
-            continue
-        fresh = np.ones(len(entry), bool)
-        fresh[1:] = (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])
-        fresh[0] = entry[0] != last_entry or node[0] != last_node
-        tail = entry[-1]
-        end_node = node[-1]
-        entry, node = entry[fresh], node[fresh]
-        if len(entry):
-            head = np.ones(len(entry), bool)
-            head[1:] = entry[1:] != entry[:-1]
-            head[0] = entry[0] != last_entry
-            at = np.flatnonzero(head)
-            run = np.cumsum(head) - 1
-            hubs = node[at][run] if len(at) and at[0] == 0 else np.where(run >= 0, np.concatenate([node[at], [0]])[run], hub)
-            size = np.bincount(run[run >= 0], minlength=len(at)) if len(at) else np.zeros(0, np.int64)
-            pair = np.zeros(len(entry), bool)
-            if len(at):
-                two = size == 2
-                two[-1] = False  # may go on in the next batch
-                pair = (run >= 0) & two[np.maximum(run, 0)]
-            rest = ~head
-            duo = np.unique(np.column_stack([hubs[rest & pair], node[rest & pair]]), axis=0) if (rest & pair).any() else np.zeros((0, 2), np.int64)
-            more = rest & ~pair
-            e = pa.concat_arrays([pa.nulls(len(duo), pa.int64()), pa.array(entry[more], pa.int64())])
-            yield pa.RecordBatch.from_arrays(
-                [e, pa.array(np.concatenate([duo[:, 0], hubs[more]]), pa.int64()), pa.array(np.concatenate([duo[:, 1], node[more]]), pa.int64())],
-                ["entry", "hub", "node"],
-            )
-            if len(at):
-                hub = node[at[-1]]
-        last_entry, last_node = tail, end_node
+    docs = part.filter(pc.is_valid(part["node"])).select(["id", "n", "node", "name", "profile"])
+    rest = part.filter(pc.is_valid(part["payload"]))
+    raw = b"".join(x.as_py() for x in rest["payload"])
+    if part["bucket"][0].as_py() < 0:
+        met = np.frombuffer(raw, MEETING)
+        entry, hub, node = pa.array(met["entry"]), met["hub"], met["node"]
+    else:
+        rows = np.frombuffer(raw, ENTRY)
+        name, node, head, hub = _meet(rows["entry"] & ~MORE, rows["node"])
+        marked = np.unique(rows["entry"][rows["entry"] >= MORE] & ~MORE)
+        size = np.diff(np.concatenate([np.flatnonzero(head), [len(head)]]))[np.cumsum(head) - 1] if len(head) else np.zeros(0, np.int64)
+        done = (size == 2) & ~np.isin(name, marked)
+        duo = np.unique(np.column_stack([hub[done & ~head], node[done & ~head]]), axis=0) if (done & ~head).any() else np.zeros((0, 2), np.int64)
+        more = ~head & ~done
+        entry = pa.concat_arrays([pa.nulls(len(duo), pa.int64()), pa.array(name[more].view(np.int64), pa.int64())])
+        hub, node = np.concatenate([duo[:, 0], hub[more]]), np.concatenate([duo[:, 1], node[more]])
+    k = len(hub)
+    met = pa.table([*[pa.nulls(k, pa.int64())] * 3, *[pa.nulls(k, pa.binary())] * 2, entry, pa.array(hub, pa.int64()), pa.array(node, pa.int64())], names=["id", "n", "node", "name", "profile", "entry", "hub", "member"])
+    for c in ("entry", "hub", "member"):
+        docs = docs.append_column(c, pa.nulls(len(docs), pa.int64()))
+    return pa.concat_tables([docs.cast(met.schema), met])
 
 
 def cross_pairs(small: int, seed: int):
@@ -266,13 +323,16 @@ def _pairs(rows: np.ndarray) -> pa.RecordBatch:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, members) of the given (node, id): sets from the whole texts, made where they are needed."""
+    """(node, members) of the given (node, id): sets from the whole texts, made where they are needed.
+
+    An id that repeats with equal text gives equal rows, which do no harm.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             want = b.column(0).to_numpy()
-            for first, data, offsets in blocks(b.column(1), BLOCK):
-                group = list(sets(data, offsets))
+            for first, texts in slices(b.column(1), BLOCK):
+                group = list(sets(texts))
                 named = [int.from_bytes(digest(s)[:8], "little", signed=True) for s in group]
                 keep = [i for i, x in enumerate(named) if x == want[first + i]]
                 yield pa.RecordBatch.from_arrays(
@@ -280,7 +340,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 )
 
     rows = docs.join(nodes, "id").select("node", "text")
-    return rows.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, members binary")
 
 
 def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -298,81 +358,99 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Shuffle files go as soon as the job that made them has ended: results are written to tables anyway."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id that links reach), class_id (smallest id of an equal set)."""
     spark = docs.sparkSession
     docs = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).filter("id IS NOT NULL")
-    with shuffles_removed(spark):
-        out = _components(spark, docs, percent)
-    return out.withColumnRenamed("id", id_col)
+    return _components(spark, docs, percent).withColumnRenamed("id", id_col)
+
+
+def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and profiles do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PROFILE) for i in (4, 5))
+            shared = at_most_shared(x, y, np.minimum(n, m))
+            yield b.select(["a", "b"]).filter(pa.array(100 * shared >= percent * (n + m - shared)))
+
+    p = pairs.join(classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), "a")
+    p = p.join(classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb")), "b")
+    p = p.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return p.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
+def relabelled(label: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, component) after more edges: only the components that they touch are joined anew."""
+    if label is None:
+        return stored(connected_components(edges, "a", "b"), "ngram-labels")
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    label = label.union(ends.join(label, "node", "left_anti").select("node", F.col("node").alias("component")))
+    label = stored(label, "ngram-labels")
+    q = edges.join(label.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(label.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    over = connected_components(q.select("x", "y"), "x", "y").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return stored(label.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "ngram-labels")
 
 
 def _components(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
-    path = scratch(spark, "ngram-signed")
-    signed(docs, frequent_cells(docs), percent).write.option("parquet.enable.dictionary", "false").parquet(path)
-    rows = spark.read.schema("id long, n long, node long, name binary, entries array<long>").parquet(path)
-    plain = stored(rows.select("id", "n", "node"), "ngram-rows")
-    classes = stored(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("class_id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.min("name").alias("x"), F.max("name").alias("y")), "ngram-classes")
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    everything = signed(docs, frequent_cells(docs), percent, buckets).groupBy("bucket").applyInArrow(meetings, JOINED_DDL)
+    everything = stored(everything, "ngram-joined", heavy=True)
+    rows = everything.filter("node IS NOT NULL")
+    met = everything.filter("member IS NOT NULL").select("entry", "hub", F.col("member").alias("node"))
+    classes = stored(
+        rows.filter("n > 0").groupBy("node").agg(
+            F.min("id").alias("class_id"), F.max("n").alias("n"), F.min("name").alias("x"), F.max("name").alias("y"), F.first("profile").alias("profile")
+        ),
+        "ngram-classes",
+    )
     if not is_empty(classes.filter("x <> y")):
         raise RuntimeError("two sets share 64 bits of their names; widen the node")
-    # Of equal sets one is indexed: the others' ids, usually few, are taken out first.
-    copies = plain.join(classes.filter("copies > 1").select("node", "class_id"), "node").filter("id <> class_id").select("id")
-    entries = rows.filter("size(entries) > 0").join(stored(copies, "ngram-copies"), "id", "left_anti").select(F.explode("entries").alias("entry"), "node")
-    met = entries.repartition("entry").sortWithinPartitions("entry", "node").mapInArrow(meetings, "entry long, hub long, node long")
-    met = stored(met, "ngram-met")
-    remove(spark, path)
-    pairs = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    size = classes.select("node", "n")
-
-    def fitting(p: DataFrame) -> DataFrame:
-        p = p.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        return p.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
-    tried = stored(fitting(pairs), "ngram-pairs")
-    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
-    # Nodes that meet others at all; later rounds compare nodes of the same entries, so no others are needed.
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs."""
+        good = stored(promising(pairs, classes, percent), "ngram-pairs")
+        wanted = good.select(F.col("a").alias("node")).union(good.select("b")).distinct()
+        wanted = stored(wanted.join(classes.select("node", F.col("class_id").alias("id")), "node"), "ngram-wanted")
+        members = stored(full_sets(docs, wanted), "ngram-sets", heavy=True)
+        return stored(verified(good, members, percent), "ngram-edges", heavy=True)
+
+    tried = stored(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "ngram-tried")
+    label = relabelled(None, compare(tried))
     many = met.filter("entry IS NOT NULL")
-    wanted = wanted.union(many.select("node")).union(many.select("hub")).distinct().join(classes.select("node", F.col("class_id").alias("id")), "node")
-    members = stored(full_sets(docs, wanted), "ngram-sets")
-    edges = stored(verified(tried, members, percent), "ngram-edges")
-    label = stored(connected_components(edges, "a", "b"), "ngram-labels")
-    at = many.select("entry", "node").union(many.select("entry", F.col("hub")).distinct())
-    for turn in range(ROUNDS + 1):
+    at = many.select("entry", "node").union(many.select("entry", "hub")).distinct()
+    full = False
+    for turn in range(ROUNDS + 2):
+        full = full or turn >= ROUNDS
         comp = label.select("node", F.col("component").alias("comp"))
-        now = at.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(size, "node")
+        now = at.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(classes.select("node", "n"), "node")
+        now = now if turn else stored(now, "ngram-at")
         open_ = now.groupBy("entry").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("k")).filter("p <> q")
         open_ = stored(open_.select("entry", "k"), "ngram-open")
         if is_empty(open_):
             break
-        last = turn == ROUNDS
-        at = stored(now.join(open_.select("entry"), "entry").select("entry", "node", "comp", "n"), "ngram-at")
-        found = at.repartition("entry").sortWithinPartitions("entry").mapInArrow(cross_pairs(None if last else SMALL, turn + 1), "a long, b long")
-        new = stored(found.distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-        # Entries that were compared in full are done.
-        at = at.join(open_.filter(F.col("k") > SMALL).select("entry"), "entry", "left_semi").select("entry", "node")
-        tried = tried.union(new)
-        edges = edges.union(stored(verified(new, members, percent), "ngram-edges"))
-        label = stored(connected_components(edges, "a", "b"), "ngram-labels")
-        if last or is_empty(open_.filter(F.col("k") > SMALL)):
+        now = stored(now.join(open_, "entry").select("entry", "node", "comp", "n", "k"), "ngram-at")
+        found = now.select("entry", "node", "comp", "n").repartition("entry").sortWithinPartitions("entry")
+        found = found.mapInArrow(cross_pairs(None if full else SMALL, turn + 1), "a long, b long").distinct()
+        new = stored(found.join(tried, ["a", "b"], "left_anti"), "ngram-tried")
+        edges = compare(new)
+        large = now.filter(F.col("k") > SMALL).select("entry", "node")
+        linked = not is_empty(edges)
+        if linked:
+            label = relabelled(label, edges)
+        if full or is_empty(large):
             break
+        # Where more hubs found nothing, all that still meets is compared.
+        tried, at, full = tried.union(new), large, not linked
     # From nodes to rows: a component's smallest id.
     groups = classes.select("node", "class_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = groups.join(least, "component").select(F.col("node").alias("cnode"), "class_id", "component_id")
     named = stored(named, "ngram-named")
-    out = plain.join(named, (F.col("node") == F.col("cnode")) & (F.col("n") > 0), "left")
+    out = rows.join(named, (F.col("node") == F.col("cnode")) & (F.col("n") > 0), "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 

@@ -6,15 +6,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from lipika.llm.textbytes import whole
 
 WIDTH = 5
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,41 +27,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), _BASE)]))[: max(n, 1)]
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every word, A-Z lower-cased."""
+def _hash_all(strings: pa.Array) -> np.ndarray:
+    """A polynomial hash of each string's bytes, mixed."""
+    data, offsets = whole(strings)
     n = len(offsets) - 1
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    blank = _BLANK[data]
-    start = ~blank
-    start[1:] &= blank[:-1]
-    bounds = offsets[1:-1]
-    bounds = bounds[bounds < len(data)]
-    start[bounds] = ~blank[bounds]
-    first = np.flatnonzero(start)
-    if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    place = np.arange(len(data)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(data)]])))
-    place[blank] = 0
-    mixed = _BYTE[data] * _powers(int(place.max()) + 1)[place]
-    mixed[blank] = 0
-    owner = np.searchsorted(offsets, first, side="right") - 1
-    return mix(np.add.reduceat(mixed, first)), owner
-
-
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not n:
+        return np.zeros(0, np.uint64)
+    length = np.diff(offsets)
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(length.max()), _BASE)]))
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], length)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * powers[place])])
+    return mix(sums[offsets[1:]] - sums[offsets[:-1]] + length.astype(np.uint64))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every word, A-Z lower-cased; words end at the six ASCII white-space characters.
+
+    The split leaves empty strings at the ends of texts, which are dropped; each distinct word is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+    if not len(owner):
+        return np.zeros(0, np.uint64), owner
+    h = _hash_all(words.dictionary)
+    filled = (pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False) > 0)[words.indices.to_numpy()]
+    return h[words.indices.to_numpy()][filled], owner[filled]
+
+
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every shingle; a text of fewer words is one shingle, a text without words has none."""
-    h, owner = word_hashes(data, offsets)
-    n = len(offsets) - 1
+    h, owner = word_hashes(texts)
+    n = len(texts)
     words = np.bincount(owner, minlength=n)
     total = len(h)
     sums = np.zeros(total, np.uint64)
-    for j in range(WIDTH):
-        sums[: total - j] += h[j:] * _PLACE[j] if j else h * _PLACE[0]
+    for j in range(min(WIDTH, total)):
+        sums[: total - j] += h[j:] * _PLACE[j]
     nth = np.arange(total) - (np.cumsum(words) - words)[owner]
     full = nth + WIDTH <= words[owner]
     out, of = mix(sums[full] + np.uint64(WIDTH)), owner[full]
@@ -74,10 +77,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, of
 
 
-def sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+def sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """Per text its sorted distinct shingles."""
-    s, of = shingles(data, offsets)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(offsets) - 1))])
+    s, of = shingles(texts)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))])
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         yield np.unique(s[a:b])
 

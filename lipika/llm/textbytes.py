@@ -32,3 +32,14 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, np.ndarra
         last = min(last, n)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+
+
+def slices(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) for runs of whole texts of about ``size`` bytes; null becomes empty."""
+    column = pc.fill_null(column, "")
+    _, offsets = whole(column)
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = min(max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1), n)
+        yield first, column[first:last]
+        first = last
