@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +32,12 @@ from pyspark.sql import functions as F
 
 from lipika.llm.common import is_empty, stored, table
 from lipika.llm.components import connected_components
+from lipika.llm.counting import cell_counts
 from lipika.llm.shingles import digest, links, mix, sets, shingles
 from lipika.llm.textbytes import slices
 
 PERCENT = 75
 CELLS = 1 << 18
-CHUNKS = 64
 #: Largest sizes of the bands; each is three times the one before.
 FIRST_BAND, GROWTH = 5, 3
 #: Entries with at most so many sets are compared in full at once; larger ones through more hubs first.
@@ -47,6 +46,8 @@ ROUNDS = 4
 PROFILE = 256
 #: Entries that a task holds before they go out.
 RUN = 1_000_000
+#: Segments that are made at a time.
+SEGMENTS = 500_000
 #: What an entry met by chance costs, in entries.
 DRAG = 4
 BLOCK = 2 << 20
@@ -105,9 +106,10 @@ class Signer:
                     full = group[i].sum(dtype=np.uint64)
                     out[i].append(mix(np.concatenate([[full], full - group[i]]) ^ salt))
                 continue
-            for lo in range(0, len(mine), 2048):
-                part = mine[lo : lo + 2048]
-                for i, e in zip(part, self._segments([group[i] for i in part], u[lo : lo + 2048], m, salt), strict=True):
+            step = min(2048, max(1, SEGMENTS // m))
+            for lo in range(0, len(mine), step):
+                part = mine[lo : lo + step]
+                for i, e in zip(part, self._segments([group[i] for i in part], u[lo : lo + step], m, salt), strict=True):
                     out[i].append(e)
         return [np.concatenate(o) if o else np.zeros(0, np.uint64) for o in out]
 
@@ -133,23 +135,7 @@ class Signer:
 
 def frequent_cells(docs: DataFrame) -> np.ndarray:
     """Which of CELLS cells of shingle hashes hold clearly more than their share, over all rows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for b in batches:
-            for _, texts in slices(b.column(0), BLOCK):
-                s, _ = shingles(texts)
-                total += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        parts = np.minimum(total, 2**31 - 1).astype("<i4").reshape(CHUNKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(v, "<i4").astype(np.int64) for v in pdf["n"])
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "n": [total.astype("<i8").tobytes()]})
-
-    sums = docs.select("text").mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInPandas(add, "chunk int, n binary")
-    rows = sorted((r["chunk"], r["n"]) for r in sums.collect())  # CHUNKS rows, 2 MB in all
-    total = np.concatenate([np.frombuffer(v, "<i8") for _, v in rows]) if rows else np.zeros(CELLS, np.int64)
+    total = cell_counts(docs.select("text"), lambda column: (shingles(t)[0] for _, t in slices(column, BLOCK)), CELLS)
     mean = total.mean()
     return total > mean + 8 * np.sqrt(mean) + 32
 
