@@ -43,7 +43,7 @@ RUN = 400_000
 DENSE, FIRST = 8, 2
 LINE_BITS = 24
 ENTRY = np.dtype([("word", "<u8"), ("at", "<i8"), ("sum", "<u8"), ("n", "<i4"), ("i", "<i4"), ("cells", "u1", 16)])
-FOUND_DDL = "later long, earlier long, record binary"
+FOUND_DDL = "later long, earlier long, word long, at long, record binary"
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def candidates(part: pa.Table) -> pa.Table:
     """Of one bucket: removed positions (later alone), pairs to verify (later, earlier), entries of words to come back to."""
     raw = b"".join(x.as_py() for x in part["payload"])
     if part["bucket"][0].as_py() < 0:
-        return _found(np.frombuffer(raw, "<i8"), np.zeros((0, 2), np.int64), [])
+        return _found(np.frombuffer(raw, "<i8"), np.zeros((0, 2), np.int64), np.zeros(0, ENTRY))
     e = np.frombuffer(raw, ENTRY)
     e = e[np.lexsort((e["at"], e["n"], e["word"]))]
     got = list(pairs_under_words(e))
@@ -215,17 +215,18 @@ def candidates(part: pa.Table) -> pa.Table:
     nth = np.arange(len(later)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(later) else later
     keep = ~dense[group] | (nth < FIRST) if len(later) else np.zeros(0, bool)
     pairs = np.unique(np.column_stack([later[keep], earlier[keep]]), axis=0)
-    again = [x.tobytes() for x in e[np.isin(e["word"], word[dense])]] if dense.any() else []
-    return _found(gone, pairs, again)
+    return _found(gone, pairs, e[np.isin(e["word"], word[dense])] if dense.any() else e[:0])
 
 
-def _found(gone: np.ndarray, pairs: np.ndarray, again: list[bytes]) -> pa.Table:
+def _found(gone: np.ndarray, pairs: np.ndarray, again: np.ndarray) -> pa.Table:
     g, p, a = len(gone), len(pairs), len(again)
     return pa.table(
         {
             "later": pa.concat_arrays([pa.array(gone, pa.int64()), pa.array(pairs[:, 0], pa.int64()), pa.nulls(a, pa.int64())]),
             "earlier": pa.concat_arrays([pa.nulls(g, pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.nulls(a, pa.int64())]),
-            "record": pa.concat_arrays([pa.nulls(g + p, pa.binary()), pa.array(again, pa.binary())]),
+            "word": pa.concat_arrays([pa.nulls(g + p, pa.int64()), pa.array(again["word"].astype(np.int64), pa.int64())]),
+            "at": pa.concat_arrays([pa.nulls(g + p, pa.int64()), pa.array(again["at"].astype(np.int64), pa.int64())]),
+            "record": pa.concat_arrays([pa.nulls(g + p, pa.binary()), pa.array([r.tobytes() for r in again], pa.binary())]),
         }
     )
 
@@ -290,13 +291,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     gone = stored(found.filter("later IS NOT NULL AND earlier IS NULL").select("later").distinct(), "lines-gone")
     pairs = stored(found.filter("earlier IS NOT NULL").select("later", "earlier").distinct().join(gone, "later", "left_anti"), "lines-pairs")
     gone = gone.union(stored(similar(pairs, docs, rarity), "lines-gone", heavy=True))
-    again = found.filter("record IS NOT NULL").select(
-        F.conv(F.hex(F.reverse(F.substring("record", 1, 8))), 16, 10).alias("word"), F.substring("record", 9, 8).alias("at8"), "record"
-    )
+    again = found.filter("record IS NOT NULL").select("word", "at", "record")
     if not is_empty(again):
-        at = F.conv(F.hex(F.reverse("at8")), 16, 10).cast("decimal(20,0)")
-        at = F.when(at >= 2**63, at - 2**64).otherwise(at).cast("long")
-        left = again.withColumn("at", at).join(gone.distinct().withColumn("hit", F.lit(True)), F.col("at") == F.col("later"), "left")
+        left = again.join(gone.distinct().withColumn("hit", F.lit(True)), F.col("at") == F.col("later"), "left")
         left = left.select("word", "record", F.col("hit").isNull().alias("live"))
         more = stored(left.groupBy("word").applyInArrow(rest_of_word, "later long, earlier long").distinct().join(pairs, ["later", "earlier"], "left_anti"), "lines-pairs")
         gone = gone.union(stored(similar(more, docs, rarity), "lines-gone", heavy=True))
