@@ -60,66 +60,83 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return per.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap=CAP, seed="mix") -> DataFrame:
-    """Per row: id, size, source_size, target, taken (words taken, copies times size)."""
-    size = F.coalesce(F.regexp_count(docs[f"`{text_col}`"], F.lit(WORD_RE)), F.lit(0)).cast("long")
-    sized = stored(
-        docs.select(
-            docs[f"`{id_col}`"].alias("id"), docs[f"`{source_col}`"].alias("source"), size.alias("size"),
-            uniform(docs[f"`{id_col}`"], seed).alias("u"),
-        ),
-        "mix-sized",
-    )
+def _ranked(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Add the source's target and marks, and the row's place in its source's ranking and the bins of it."""
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
+    place = F.when(F.col("f") > 0, odds / (1 + odds))  # same order as the odds, inside [0, 1]
+    b1 = F.least(F.floor(F.col("place") * BINS), F.lit(BINS - 1))
+    b2 = F.least(F.floor((F.col("place") * BINS - F.col("b1")) * BINS), F.lit(BINS - 1))
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("place", place)
+    return rows.withColumn("b1", b1).withColumn("b2", b2)
+
+
+def _mark(cells: DataFrame, b: str, done: Column) -> DataFrame:
+    """The bin that the mark falls in: the last one that starts below it; and the words before that bin."""
+    upto = W.partitionBy("s").orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("before", done + F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    return cells.filter(F.col("before") < F.col("extra")).groupBy("s").agg(F.max(F.struct(b, "before")).alias("m"))
+
+
+def _decide(sized: DataFrame, weights, cap) -> tuple[DataFrame, DataFrame]:
+    """(targets and marks, a row per source; the rows of the marks' cells that are taken once more)"""
     ratio = F.col("target") / F.greatest("source_size", F.lit(1))
     targets = source_targets(sized, weights, cap).withColumns(
         {"copies": F.floor(ratio), "f": ratio - F.floor(ratio), "extra": F.col("target") - F.floor(ratio) * F.col("source_size")}
     )
     targets = stored(targets.withColumnRenamed("source", "s"), "mix-targets")
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
-    place = F.when(F.col("f") > 0, odds / (1 + odds))  # same order as the odds, inside [0, 1]
-    b1 = F.least(F.floor(place * BINS), F.lit(BINS - 1))
-    b2 = F.least(F.floor((place * BINS - b1) * BINS), F.lit(BINS - 1))
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("place", place)
-    rows = rows.withColumns({"b1": b1, "b2": b2})
-
-    def mark(cells: DataFrame, b: str, done: Column) -> DataFrame:
-        """The bin that the mark falls in: the last one that starts below it; and the words before that bin."""
-        upto = W.partitionBy("s").orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-        cells = cells.withColumn("before", done + F.coalesce(F.sum("words").over(upto), F.lit(0)))
-        return cells.filter(F.col("before") < F.col("extra")).groupBy("s").agg(F.max(F.struct(b, "before")).alias("m"))
-
-    cells = rows.filter("f > 0").groupBy("s", "b1").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"))
-    m1 = mark(cells, "b1", F.lit(0)).select(F.col("s").alias("s1"), F.col("m.b1").alias("at1"), F.col("m.before").alias("w1"))
-    m1 = stored(m1, "mix-bin1")
-    rows = rows.join(m1, F.col("s").eqNullSafe(F.col("s1")), "left")
-    cells = rows.filter("b1 = at1").groupBy("s", "b2").agg(
+
+    def with_mark(found: DataFrame, bin: str, n: int) -> DataFrame:
+        m = found.select(F.col("s").alias(f"s{n}"), F.col(f"m.{bin}").alias(f"at{n}"), F.col("m.before").alias(f"w{n}"))
+        return stored(targets.join(m, F.col("s").eqNullSafe(F.col(f"s{n}")), "left").drop(f"s{n}"), "mix-targets")
+
+    cells = _ranked(sized, targets).filter("f > 0").groupBy("s", "b1").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"))
+    targets = with_mark(_mark(cells, "b1", F.lit(0)), "b1", 1)
+    cells = _ranked(sized, targets).filter("b1 = at1").groupBy("s", "b2").agg(
         F.sum("size").alias("words"), F.first("extra").alias("extra"), F.first("w1").alias("w1")
     )
-    m2 = mark(cells, "b2", F.col("w1")).select(F.col("s").alias("s2"), F.col("m.b2").alias("at2"), F.col("m.before").alias("w2"))
-    m2 = stored(m2, "mix-bin2")
-    rows = rows.join(m2, F.col("s").eqNullSafe(F.col("s2")), "left")
-    cell = F.coalesce((F.col("b1") == F.col("at1")) & (F.col("b2") == F.col("at2")), F.lit(False))
-    front = (F.col("b1") < F.col("at1")) | ((F.col("b1") == F.col("at1")) & (F.col("b2") < F.col("at2")))
-    plain = rows.filter(~cell).withColumn("more", F.coalesce(front, F.lit(False)))
+    targets = with_mark(_mark(cells, "b2", F.col("w1")), "b2", 2)
     upto = W.partitionBy("s").orderBy("place", "u", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("w2") + F.coalesce(F.sum("size").over(upto), F.lit(0))
+    edge = _ranked(sized, targets).filter("b1 = at1 AND b2 = at2").withColumn("start", start)
     # Whole documents up to the mark; the one that crosses it only if half of it or more lies before the mark.
-    edge = rows.filter(cell).withColumn("start", start).withColumn("more", 2 * (F.col("extra") - F.col("start")) >= F.col("size"))
-    both = plain.select("id", "size", "source_size", "target", "copies", "more").unionByName(
-        edge.select("id", "size", "source_size", "target", "copies", "more")
-    )
-    taken = F.least(F.col("copies") + F.col("more").cast("int"), F.lit(cap)) * F.col("size")
-    return both.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    edge = edge.filter(2 * (F.col("extra") - F.col("start")) >= F.col("size"))
+    edge = edge.groupBy(F.col("id").alias("eid"), F.col("s").alias("es"), F.col("size").alias("esize")).agg(F.count("*").alias("n"))
+    return targets, stored(edge, "mix-edge")
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them; all columns and whole texts."""
-    plan = mix(docs, **kw).filter("taken > 0 AND size > 0").select(
-        F.col("doc_id").alias("_id"), F.expr("CAST(taken / size AS INT)").alias("_copies")
-    )
-    plan = plan.groupBy("_id").agg(F.max("_copies").alias("_copies"))  # ids that repeat are taken alike
-    out = docs.join(plan, docs["`doc_id`"].eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[f"`{c}`"] for c in docs.columns))
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> dict[str, Column]:
+    size = F.coalesce(F.regexp_count(docs[f"`{text_col}`"], F.lit(WORD_RE)), F.lit(0)).cast("long")
+    return {"id": docs[f"`{id_col}`"], "source": docs[f"`{source_col}`"], "size": size, "u": uniform(docs[f"`{id_col}`"], seed)}
+
+
+def _copies(rows: DataFrame, targets: DataFrame, edge: DataFrame, cap: int) -> DataFrame:
+    """Add ``times``, how often the mix takes a row. Rows of one id and size in a mark's cell are taken alike."""
+    rows = _ranked(rows, targets)
+    rows = rows.join(edge, F.col("id").eqNullSafe(F.col("eid")) & F.col("s").eqNullSafe(F.col("es")) & (F.col("size") == F.col("esize")), "left")
+    front = (F.col("b1") < F.col("at1")) | ((F.col("b1") == F.col("at1")) & (F.col("b2") < F.col("at2")))
+    more = F.coalesce(front, F.lit(False)) | F.col("n").isNotNull()
+    return rows.withColumn("times", F.least(F.col("copies") + more.cast("int"), F.lit(cap)).cast("int"))
+
+
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap=CAP, seed="mix") -> DataFrame:
+    """Per row: id, size, source_size, target, taken (words taken, copies times size)."""
+    sized = stored(docs.select(*(c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col, seed).items())), "mix-sized")
+    targets, edge = _decide(sized, weights, cap)
+    out = _copies(sized, targets, edge, cap)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap=CAP, seed="mix") -> DataFrame:
+    """The documents that the mix takes, each as often as it takes them, with all columns and whole texts.
+
+    The decision for a row follows from its source's marks, so texts are not moved. Documents of size 0 are not taken.
+    """
+    parts = _sized(docs, id_col, text_col, source_col, seed)
+    sized = stored(docs.select(*(c.alias(n) for n, c in parts.items())), "mix-sized")
+    targets, edge = _decide(sized, weights, cap)
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in parts.items()))
+    out = _copies(rows.filter("size > 0"), targets, edge, cap).filter("times > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
