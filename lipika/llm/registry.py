@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lipika.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_filters
+from lipika.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {
