@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lipika.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, url_filters
+from lipika.llm import chroma, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_chroma_fingerprints": chroma.op6_chroma_fingerprints,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_mix_sources": mixing.op9_mix_sources,
