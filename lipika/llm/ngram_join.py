@@ -5,7 +5,7 @@ hashed into m segments, the same for all sets of the band; a pair that differs i
 m - u segments. Cost-based allocation decides which are indexed:
 
 * Segments get an order from how rare their content is: by how many of their shingles are not frequent in the corpus
-  (a count of all shingles in CELLS cells says which are), empty and frequent ones last, ties by hash. A set indexes only
+  (a count of all shingles in CELLS cells says which are), frequent ones late, empty ones last, ties by hash. A set indexes only
   the first u + 1 segments of that order; under a common order any pair in question meets in one of them. So the
   costly segments, those that many sets share, get no allocation.
 * In bands where one segment with its one-deletion neighbourhood costs fewer index entries than that, the whole set is
@@ -37,12 +37,13 @@ from lipika.llm.shingles import digest, links, mix, sets, shingles
 from lipika.llm.textbytes import slices
 
 PERCENT = 75
-CELLS = 1 << 18
+CELLS = 1 << 20
 #: Largest sizes of the bands; each is three times the one before.
 FIRST_BAND, GROWTH = 5, 3
-#: Entries with at most so many sets are compared in full at once; larger ones through more hubs first.
-SMALL = 48
-ROUNDS = 4
+#: Entries with at most so many sets are compared in full at once; larger ones through HUBS of them first.
+SMALL, HUBS = 48, 8
+#: Sets that a task compares with all others of a group, and pairs that it looks at together.
+PART, STRIP = 512, 4096
 PROFILE = 256
 #: Entries that a task holds before they go out.
 RUN = 1_000_000
@@ -126,7 +127,8 @@ class Signer:
         segment = np.tile(np.arange(m, dtype=np.uint64), k)
         name = mix(low ^ mix(count ^ mix(segment ^ salt)))
         # 11 bits of set, 2 bits of rarity (rarest first), 51 bits of name: one sort orders all.
-        tier = np.uint64(3) - np.minimum(rare, 3).astype(np.uint64)
+        filled = (low != 0) | (count != 0)
+        tier = np.where(filled, 2 - np.minimum(rare, 2), 3).astype(np.uint64)
         packed = np.repeat(np.arange(k, dtype=np.uint64), m) << np.uint64(53) | tier << np.uint64(51) | name >> np.uint64(13)
         packed.sort()
         names = packed & np.uint64((1 << 51) - 1)
@@ -137,7 +139,7 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
     """Which of CELLS cells of shingle hashes hold clearly more than their share, over all rows."""
     total = cell_counts(docs.select("text"), lambda column: (shingles(t)[0] for _, t in slices(column, BLOCK)), CELLS)
     mean = total.mean()
-    return total > mean + 8 * np.sqrt(mean) + 32
+    return total > mean + 3 * np.sqrt(mean) + 4
 
 
 def profile(members: np.ndarray) -> bytes:
@@ -147,8 +149,8 @@ def profile(members: np.ndarray) -> bytes:
 
 def at_most_shared(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Bound of the intersections of profile rows; a full cell may hold anything up to n."""
-    both = np.minimum(x, y).astype(np.int64)
-    return np.where((both == 255).any(axis=1), n, both.sum(axis=1))
+    both = np.minimum(x, y)
+    return np.where((both == 255).any(axis=1), n, both.sum(axis=1, dtype=np.int64))
 
 
 ENTRY = np.dtype([("entry", "<u8"), ("node", "<i8")])
@@ -263,45 +265,59 @@ def meetings(part: pa.Table) -> pa.Table:
     return pa.concat_tables([docs.cast(met.schema), met])
 
 
-def cross_pairs(small: int, seed: int):
+def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For rows (entry, node, component, n) sorted by entry: pairs of nodes in different components, worth comparing.
 
-    Entries of at most ``small`` nodes give all of them. In larger ones a node of each of the 8 largest components,
-    chosen by the seed, meets all nodes outside its component. With ``small`` None every entry gives all its pairs.
+    Entries of at most SMALL nodes give all of them. In larger ones a node of each of the HUBS largest components meets
+    the nodes outside its component; what that leaves open is for ``far_pairs``.
     """
 
     def group(node, comp, n) -> np.ndarray:
         k = len(node)
-        if small is None or k <= small:
+        if k <= SMALL:
             a, b = np.triu_indices(k, 1)
         else:
-            ids, inverse, size = np.unique(comp, return_inverse=True, return_counts=True)
-            order = mix(node.view(np.uint64) ^ np.uint64(seed))
+            _, inverse, size = np.unique(comp, return_inverse=True, return_counts=True)
+            order = mix(node.view(np.uint64))
             hubs = []
-            for c in np.argsort(-size, kind="stable")[:8]:
+            for c in np.argsort(-size, kind="stable")[:HUBS]:
                 own = np.flatnonzero(inverse == c)
                 hubs.append(own[np.argmin(order[own])])
             a, b = np.repeat(hubs, k), np.tile(np.arange(k), len(hubs))
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         keep = (comp[a] != comp[b]) & (100 * low >= PERCENT * high)
         a, b = node[a[keep]], node[b[keep]]
-        return np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in batches:
-            rows = np.column_stack([b.column(i).to_numpy() for i in range(4)])
-            rows = np.concatenate([*held, rows]) if held else rows
-            cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            parts = np.split(rows, cut)
-            held = [parts.pop()]
-            got = [group(p[:, 1], p[:, 2], p[:, 3]) for p in parts if len(p) > 1]
-            if got:
-                yield _pairs(np.unique(np.concatenate(got), axis=0))
-        if held and len(held[0]) > 1:
-            yield _pairs(group(held[0][:, 1], held[0][:, 2], held[0][:, 3]))
-
-    return run
+        return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
+        rows = np.concatenate([*held, rows]) if held else rows
+        parts = np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1)
+        held = [parts.pop()]
+        got = [group(p[:, 1].copy(), p[:, 2], p[:, 3]) for p in parts if len(p) > 1]
+        if got:
+            yield _pairs(np.unique(np.concatenate(got), axis=0))
+    if held and len(held[0]) > 1:
+        yield _pairs(np.unique(group(held[0][:, 1].copy(), held[0][:, 2], held[0][:, 3]), axis=0))
+
+
+def far_pairs(part: pa.Table) -> pa.Table:
+    """Of nodes (node, comp, n, profile, mine): pairs of one that is mine and any other, in different components, that
+    sizes and profiles do not rule out. Rows of pairs are made and dropped by STRIP, so only the promising ones remain."""
+    node, comp, n = (part[c].to_numpy() for c in ("node", "comp", "n"))
+    cells = np.frombuffer(b"".join(part["profile"].to_pylist()), np.uint8).reshape(-1, PROFILE)
+    mine = np.flatnonzero(part["mine"].to_numpy())
+    out = [np.zeros((0, 2), np.int64)]
+    for i in mine:
+        j = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        for lo in range(0, len(j), STRIP):
+            k = j[lo : lo + STRIP]
+            shared = at_most_shared(cells[k], cells[i], np.minimum(n[k], n[i]))
+            k = k[100 * shared >= PERCENT * (n[k] + n[i] - shared)]
+            out.append(np.column_stack([np.minimum(node[k], node[i]), np.maximum(node[k], node[i])]))
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def _pairs(rows: np.ndarray) -> pa.RecordBatch:
@@ -404,33 +420,37 @@ def _components(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame
         members = stored(full_sets(docs, wanted), "ngram-sets", heavy=True)
         return stored(verified(good, members, percent), "ngram-edges", heavy=True)
 
+    def open_entries(at: DataFrame, label: DataFrame) -> DataFrame:
+        """(entry, node, comp, n, k) of entries whose nodes are not all connected yet."""
+        now = at.join(label.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        now = stored(now.join(classes.select("node", "n"), "node"), "ngram-at")
+        k = now.groupBy("entry").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("k")).filter("p <> q")
+        return stored(now.join(k.select("entry", "k"), "entry").select("entry", "node", "comp", "n", "k"), "ngram-open")
+
+    # First every node of an entry meets the entry's first node.
     tried = stored(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "ngram-tried")
     label = relabelled(None, compare(tried))
     many = met.filter("entry IS NOT NULL")
-    at = many.select("entry", "node").union(many.select("entry", "hub")).distinct()
-    full = False
-    for turn in range(ROUNDS + 2):
-        full = full or turn >= ROUNDS
-        comp = label.select("node", F.col("component").alias("comp"))
-        now = at.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(classes.select("node", "n"), "node")
-        now = now if turn else stored(now, "ngram-at")
-        open_ = now.groupBy("entry").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("k")).filter("p <> q")
-        open_ = stored(open_.select("entry", "k"), "ngram-open")
-        if is_empty(open_):
-            break
-        now = stored(now.join(open_, "entry").select("entry", "node", "comp", "n", "k"), "ngram-at")
-        found = now.select("entry", "node", "comp", "n").repartition("entry").sortWithinPartitions("entry")
-        found = found.mapInArrow(cross_pairs(None if full else SMALL, turn + 1), "a long, b long").distinct()
-        new = stored(found.join(tried, ["a", "b"], "left_anti"), "ngram-tried")
-        edges = compare(new)
-        large = now.filter(F.col("k") > SMALL).select("entry", "node")
-        linked = not is_empty(edges)
-        if linked:
-            label = relabelled(label, edges)
-        if full or is_empty(large):
-            break
-        # Where more hubs found nothing, all that still meets is compared.
-        tried, at, full = tried.union(new), large, not linked
+    # Then the nodes of an entry that are not connected by that meet each other, or hubs of a large entry.
+    open_ = open_entries(many.select("entry", "node").union(many.select("entry", "hub")).distinct(), label)
+    if not is_empty(open_):
+        found = open_.select("entry", "node", "comp", "n").repartition("entry").sortWithinPartitions("entry").mapInArrow(cross_pairs, "a long, b long").distinct()
+        edges = compare(stored(found, "ngram-tried"))
+        label = label if is_empty(edges) else relabelled(label, edges)
+        # Last, in what large entries leave open, all pairs that sizes and profiles allow. Large entries of a group of
+        # near copies hold much the same nodes: entries that overlap are treated as one, so a pair is made once.
+        open_ = open_entries(open_.filter(F.col("k") > SMALL).select("entry", "node"), label)
+        if not is_empty(open_):
+            first = open_.groupBy("entry").agg(F.min("node").alias("first"))
+            group = connected_components(open_.join(first, "entry").select("first", "node"), "first", "node").withColumnRenamed("component", "group")
+            rows_ = open_.select("node", "comp", "n").distinct().join(group, "node").join(classes.select("node", "profile"), "node")
+            rows_ = stored(rows_, "ngram-groups")
+            parts = rows_.groupBy("group").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+            spread = rows_.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), "parts") == F.col("part"))
+            found = spread.select("group", "part", "node", "comp", "n", "profile", "mine").groupBy("group", "part").applyInArrow(far_pairs, "a long, b long")
+            edges = compare(stored(found.distinct(), "ngram-tried"))
+            label = label if is_empty(edges) else relabelled(label, edges)
     # From nodes to rows: a component's smallest id.
     groups = classes.select("node", "class_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("class_id").alias("component_id"))
