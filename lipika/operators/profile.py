@@ -70,7 +70,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     )
     b = F.least(F.floor((x - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1)).cast("bigint")
     counts = df.filter(x.isNotNull()).join(F.broadcast(span)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
-    edges = span.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"), "lo", "hi")
+    edges = span.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"), "lo", "hi")
     width = (F.col("hi") - F.col("lo")) / bins
     return edges.join(counts, "bin", "left").select(
         "bin", (F.col("lo") + F.col("bin") * width).alias("bin_from"), (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_to"),
