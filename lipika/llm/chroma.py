@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import stored, table
+from lipika.llm.common import share, stored, table
 
 FRAME_S, HOP_S = 0.256, 0.064
 LOWEST, HIGHEST = 110.0, 1760.0
@@ -185,13 +185,15 @@ def alignments(prints: DataFrame, queries: DataFrame) -> DataFrame:
     found = None
     for k in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast(Block(sorted((r["id"], np.array(r["codes"], np.int32)) for r in part.collect())))
+        members = sorted(((r["id"], np.array(r["codes"], np.int32)) for r in part.collect()), key=lambda q: q[0])
+        block = share(spark, Block(members))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            aligner = block()
             for b in batches:
                 rows = []
                 for i, codes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    got = block.value.align(codes.values.to_numpy().view(np.uint32), i) if len(codes.values) else []
+                    got = aligner.align(codes.values.to_numpy().view(np.uint32), i) if len(codes.values) else []
                     if got:
                         rows.append((i, got[0][1], got[0][2], got[0][0], len(got)))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,5 +63,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def share(spark: SparkSession, value):
+    """Broadcast an object of this package by value; call the result on an executor to get it, made once per worker."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(made=[]):  # noqa: B006
+        if not made:
+            made.append(pickle.loads(sent.value))
+        return made[0]
+
+    return get
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()

@@ -42,7 +42,9 @@ RUN = 400_000
 #: Under a word: pairs per entry up to which all are verified at once, and partners each line starts with otherwise.
 DENSE, FIRST = 8, 2
 LINE_BITS = 24
-ENTRY = np.dtype([("word", "<u8"), ("at", "<i8"), ("sum", "<u8"), ("n", "<i4"), ("i", "<i4"), ("cells", "u1", 16)])
+#: ``sum`` is 32 bits of the set's hash: with the size, the cells and a shared word it tells equal sets. ``cells`` holds
+#: 16 counts of four bits, 15 for that many or more.
+ENTRY = np.dtype([("word", "<u8"), ("at", "<i8"), ("sum", "<u4"), ("n", "<u4"), ("i", "<u2"), ("cells", "<u8")])
 FOUND_DDL = "later long, earlier long, word long, at long, record binary"
 
 
@@ -95,15 +97,16 @@ def entries_of(lines: pa.Array, at: np.ndarray, rarity: np.ndarray) -> np.ndarra
     if len(words):
         total[filled] = np.add.reduceat(mix(words), start[filled])
     line = np.repeat(np.arange(len(n)), n)
-    cells = np.minimum(np.bincount(line * 16 + (words & np.uint64(15)).astype(np.int64), minlength=len(n) * 16), 255).astype(np.uint8).reshape(-1, 16)
+    cells = np.minimum(np.bincount(line * 16 + (words & np.uint64(15)).astype(np.int64), minlength=len(n) * 16), 15).astype(np.uint64).reshape(-1, 16)
+    cells = (cells << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
     short = np.flatnonzero(filled & (n < LEAST))
     place = np.arange(len(words)) - start[line]
     take = np.flatnonzero((n[line] >= LEAST) & (place < prefix(n)[line]))
     out = np.zeros(len(take) + len(short), ENTRY)
     out["word"] = np.concatenate([words[take], total[short] | np.uint64(1 << 63)])
     owner = np.concatenate([line[take], short])
-    out["i"] = np.concatenate([place[take], np.zeros(len(short), np.int64)])
-    out["at"], out["sum"], out["n"], out["cells"] = at[owner], total[owner], n[owner], cells[owner]
+    out["i"] = np.minimum(np.concatenate([place[take], np.zeros(len(short), np.int64)]), 65535)
+    out["at"], out["sum"], out["n"], out["cells"] = at[owner], total[owner] >> np.uint64(32), n[owner], cells[owner]
     return out
 
 
@@ -117,10 +120,10 @@ def packed_entries(rarity, buckets: int):
         def flush() -> pa.RecordBatch:
             e = np.concatenate(held)
             # Of equal lines of the run the earliest stays; a line's entries share its sum and position.
-            order = np.lexsort((e["at"], e["n"], e["sum"]))
+            order = np.lexsort((e["at"], e["cells"], e["n"], e["sum"]))
             e = e[order]
             head = np.ones(len(e), bool)
-            head[1:] = (e["sum"][1:] != e["sum"][:-1]) | (e["n"][1:] != e["n"][:-1])
+            head[1:] = (e["sum"][1:] != e["sum"][:-1]) | (e["n"][1:] != e["n"][:-1]) | (e["cells"][1:] != e["cells"][:-1])
             first = e["at"][np.flatnonzero(head)][np.cumsum(head) - 1]
             gone = np.unique(e["at"][e["at"] != first])
             e = e[e["at"] == first]
@@ -156,6 +159,10 @@ def positions(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
     return ids << LINE_BITS | number
 
 
+def same_set(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (e["sum"][x] == e["sum"][y]) & (e["n"][x] == e["n"][y]) & (e["cells"][x] == e["cells"][y])
+
+
 def pairs_under_words(e: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (x, y) of entries, sorted by (word, n), that the filters leave. ``wanted``: only pairs whose later line is marked."""
     start = np.searchsorted(e["word"], e["word"], side="left")
@@ -180,13 +187,18 @@ def pairs_under_words(e: np.ndarray, wanted: np.ndarray | None = None) -> Iterat
         x, y = x[keep], y[keep]
         need = overlap(n[x], n[y])
         short = n[x] < LEAST
-        equal = (e["sum"][x] == e["sum"][y]) & (n[x] == n[y])
-        reach = 1 + np.minimum(n[x] - e["i"][x] - 1, n[y] - e["i"][y] - 1) >= need
+        equal = same_set(e, x, y)
+        i = e["i"].astype(np.int64)
+        reach = 1 + np.minimum(n[x] - i[x] - 1, n[y] - i[y] - 1) >= need
         keep = equal | (~short & reach)
         x, y, need, equal = x[keep], y[keep], need[keep], equal[keep]
+        both, full = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         cx, cy = e["cells"][x], e["cells"][y]
-        both = np.minimum(cx, cy).astype(np.int64)
-        fits = (both.sum(axis=1) >= need) | (both == 255).any(axis=1)
+        for k in range(16):
+            c = np.minimum(cx >> np.uint64(4 * k) & np.uint64(15), cy >> np.uint64(4 * k) & np.uint64(15))
+            both += c.astype(np.int64)
+            full |= c == 15
+        fits = (both >= need) | full
         yield x[equal | fits], y[equal | fits]
 
 
@@ -200,7 +212,7 @@ def candidates(part: pa.Table) -> pa.Table:
     got = list(pairs_under_words(e))
     x = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
     y = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-    equal = (e["sum"][x] == e["sum"][y]) & (e["n"][x] == e["n"][y])
+    equal = same_set(e, x, y)
     later, earlier = np.maximum(e["at"][x], e["at"][y]), np.minimum(e["at"][x], e["at"][y])
     gone = np.unique(later[equal])
     open_ = ~np.isin(later, gone)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import fold, stored, table
+from lipika.llm.common import fold, share, stored, table
 from lipika.llm.isotonic import pool_adjacent, probability
 
 EXAMPLES = 6000
@@ -220,13 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", folds=5, held=0, **kw) -> DataFrame:
     """Per row: id, held_out, score, predicted, evidence (nearest examples and their cosines)."""
     index, _, vectors = fit(docs, labels, id_col, text_col, folds=folds, held=held, **kw)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = share(docs.sparkSession, index)
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
+        index = shared()
         for b in batches:
-            got = [shared.value.score(t, c, memo) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            got = [index.score(t, c, memo) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             evidence = pa.array([[{"id": i, "similarity": s} for i, s in e] for _, e in got], pa.list_(pa.struct([("id", b.schema.field(0).type), ("similarity", pa.float64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in got], pa.float64()), evidence], ["id", "score", "evidence"])
 
@@ -240,11 +241,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", **kw) -> DataFrame:
     """The rows of ``docs`` whose score is below one half; each row is judged by its own text, none is moved."""
     index, terms, _ = fit(docs, labels, id_col, text_col, **kw)
-    shared = docs.sparkSession.sparkContext.broadcast((index, terms))
+    shared = share(docs.sparkSession, (index, terms))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, terms = shared.value
+        index, terms = shared()
         place, memo = {w: i + 1 for i, w in enumerate(terms)}, {}
         for b in batches:
             yield b.filter(pa.array([index.score(*vector(t.as_py(), place), memo)[0] < 0.5 for t in b.column(at)], pa.bool_()))
