@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import time
 import uuid
 
 from pyspark import cloudpickle
@@ -36,12 +37,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str, heavy: bool = False) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: cuts the lineage and survives a lost executor.
 
-    Shuffle files stay until the driver collects what refers to them; after a ``heavy`` job it is asked to at once.
+    Shuffle files stay until the driver collects what refers to them; after a ``heavy`` job it is asked to at once, and
+    once more for what the job's own end still held.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     df.write.parquet(path)
-    if heavy:
+    for _ in range(2 * heavy):
         spark._jvm.System.gc()
+        time.sleep(0.3)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -341,7 +341,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     [pa.array([named[i] for i in keep], pa.int64()), pa.array([group[i].tobytes() for i in keep], pa.binary())], ["node", "members"]
                 )
 
-    rows = docs.join(nodes, "id").select("node", "text")
+    # The same plan at any size: texts are shuffled by id, and the few rows wanted are the hashed side.
+    rows = docs.join(nodes.hint("shuffle_hash"), "id").select("node", "text")
     return rows.mapInArrow(run, "node long, members binary")
 
 
@@ -414,7 +415,7 @@ def _components(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame
 
     def compare(pairs: DataFrame) -> DataFrame:
         """Links among the pairs."""
-        good = stored(promising(pairs, classes, percent), "ngram-pairs")
+        good = stored(promising(pairs, classes, percent), "ngram-pairs", heavy=True)
         wanted = good.select(F.col("a").alias("node")).union(good.select("b")).distinct()
         wanted = stored(wanted.join(classes.select("node", F.col("class_id").alias("id")), "node"), "ngram-wanted")
         members = stored(full_sets(docs, wanted), "ngram-sets", heavy=True)
