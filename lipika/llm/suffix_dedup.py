@@ -37,8 +37,8 @@ GRAM = 32
 GRAMS = WIDTH - GRAM + 1
 #: Bits for the start within a document; the rest hold the id.
 START_BITS = 26
-BLOCK = 2 << 20
-RUN = 500_000
+BLOCK = 1 << 19
+RUN = 200_000
 SPAN = WIDTH + GRAMS - 1
 ANCHOR = np.dtype([("gram", "<u8"), ("a", "<u8"), ("b", "<u8"), ("at", "<i8"), ("off", "u1"), ("run", "u1")])
 EDGE = np.dtype([("gram", "<u8"), ("at", "<i8"), ("off", "u1"), ("run", "u1"), ("bytes", "u1", SPAN)])
@@ -56,7 +56,7 @@ class Powers:
 
     def upto(self, n: int) -> None:
         if n > self.n:
-            self.n = max(n, 2 * self.n)
+            self.n = max(n, BLOCK + 1)
             one = np.ones(1, np.uint64)
             self.up = [np.cumprod(np.concatenate([one, np.full(self.n, np.uint64(b))])) for b in _BASES]
             self.down = [np.cumprod(np.concatenate([one, np.full(self.n, np.uint64(pow(b, -1, 2**64)))])) for b in _BASES]
