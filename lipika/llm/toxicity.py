@@ -250,7 +250,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
         for b in batches:
             yield b.filter(pa.array([index.score(*vector(t.as_py(), place), memo)[0] < 0.5 for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots do not pass
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
