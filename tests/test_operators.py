@@ -116,3 +116,17 @@ def test_resume_stream(spark, tmp_path):
         spark.createDataFrame([(x,) for x in wave], "input STRING").write.mode("append").json(f"{tmp_path}/in")
         resume_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", work)
     assert sorted(r["output"] for r in records.read_pairs(spark, f"{tmp_path}/out").collect()) == ["a!", "b!", "c!"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lipika.__main__ import main
+
+    with open(f"{tmp_path}/p.jsonl", "w") as f:
+        for t in ("एक दोन.", "तीन?"):
+            f.write(json.dumps({"instruction": "i", "input": t, "output": t}) + "\n")
+    main(["evaluate", f"{tmp_path}/p.jsonl", f"{tmp_path}/r", "--runs", f"{tmp_path}/runs", "--limit", "1"])
+    assert records.read_runs(spark, f"{tmp_path}/runs").first()["eval_rows"] == 1
+    main(["speak", "एक.", f"{tmp_path}/audio"])
+    assert records.read_audio(spark, f"{tmp_path}/audio").count() == 1
+    main(["profile", f"{tmp_path}/p.jsonl"])
+    assert "question" in capsys.readouterr().out
