@@ -1,17 +1,40 @@
-"""Connected components by randomised contraction, DataFrame functions only.
+"""Connected components by randomised contraction.
 
 Each round every node points to the neighbour (or itself) with the smallest hash under the round's seed, and edges are
 re-drawn between the nodes pointed to; the expected number of nodes falls by a constant factor, so rounds grow with the
-logarithm of the longest chain. The maps of all rounds are then composed from the last to the first. Minima are
-pre-aggregated before the exchange, so a hub costs one row per task; every round is written to the shared folder.
+logarithm of the longest chain. Once at most TASK_EDGES edges are left, a bound that does not depend on the input, one
+task joins them. The maps of all rounds are then composed from the last to the first. Minima are pre-aggregated before
+the exchange, so a hub costs one row per task; every round is written to the shared folder.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipika.llm.common import is_empty, stored
+from lipika.llm.common import stored
+
+TASK_EDGES = 500_000
+
+
+def joined(part: pa.Table) -> pa.Table:
+    """(node, to) of edges (a, b): union-find, the smallest node of a component stands for it."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(part["a"].to_pylist(), part["b"].to_pylist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    kind = part.schema.field("a").type
+    return pa.table({"node": pa.array(nodes, kind), "to": pa.array([root(x) for x in nodes], kind)})
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -23,7 +46,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = edges.select(F.col(a).alias("a"), F.col(b).cast(kind).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     e = stored(e.distinct(), "cc-edges")
     maps: list[DataFrame] = []
-    while not is_empty(e):
+    while n := e.count():
+        if n <= TASK_EDGES:
+            one = e.groupBy(F.lit(0).alias("all")).applyInArrow(joined, f"node {kind.simpleString()}, to {kind.simpleString()}")
+            maps.append(stored(one, "cc-map"))
+            break
         seed = F.lit(len(maps))
         order = lambda c: F.struct(F.xxhash64(seed, F.col(c)).alias("h"), F.col(c).alias("n"))
         both = e.union(e.select("b", "a"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lipika.llm import components, exact_dedup, line_dedup, ngram_join, suffix_dedup, suffix_sort
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 40, 10**6])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "TASK_EDGES", at_once)
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (7, None)]
     edges += [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
