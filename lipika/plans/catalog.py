@@ -403,8 +403,8 @@ def resume_todo(spark, d):
 @query
 def grow_corpus(spark, d):
     """Batches of benchmark texts until all texts of documents and 10 more are there."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lipika-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lipika-"))
     docs = read(spark, d, "documents").select(F.col("text").alias("input")).filter("input <> ''").distinct()
     bench = read(spark, d, "benchmark").select("item_id", F.concat(F.lit("bench "), F.col("item_id").cast("string")).alias("input"))
     return corpus.grow(docs, lambda i: bench.filter((F.col("item_id") % 4) == i % 4).select("input"), docs.count() + 10, batch_size=25)
