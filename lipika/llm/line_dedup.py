@@ -8,7 +8,7 @@ is judged on the input, not on what is left.
    hash), and the first n - ceil(3n/4) + 1 of them, its prefix, are its index entries: two lines that are similar share
    a word there. Entries go out packed by bucket of the word; equal lines of a run become one before the exchange.
 2. Under a word, entries are sorted by size. The length filter leaves a range of partners; the positional filter bounds
-   the overlap by what follows the shared word; a count of each line's words in 16 cells bounds it once more.
+   the overlap by what follows the shared word; counts of each line's words in 32 cells bound it once more.
 3. Pairs that remain are verified on the full sets, which are read again from the texts. Under a word where the pairs
    outnumber the entries, each line is first compared with its earliest partners only, and what that does not settle
    is compared in full afterwards, so a group of near copies costs its size and not its square.
@@ -42,9 +42,11 @@ RUN = 400_000
 #: Under a word: pairs per entry up to which all are verified at once, and partners each line starts with otherwise.
 DENSE, FIRST = 8, 2
 LINE_BITS = 24
+HASH_BYTES = 5
 #: ``sum`` is 32 bits of the set's hash: with the size, the cells and a shared word it tells equal sets. ``cells`` holds
-#: 16 counts of four bits, 15 for that many or more.
-ENTRY = np.dtype([("word", "<u8"), ("at", "<i8"), ("sum", "<u4"), ("n", "<u4"), ("i", "<u2"), ("cells", "<u8")])
+#: 32 counts of four bits, 15 for that many or more.
+ENTRY = np.dtype([("word", "<u8"), ("at", "<i8"), ("sum", "<u4"), ("n", "<u4"), ("i", "<u2"), ("cells", "u1", 16)])
+LINE = np.dtype([("at", "<i8"), ("sum", "<u8"), ("n", "<u4")])
 FOUND_DDL = "later long, earlier long, word long, at long, record binary"
 
 
@@ -88,8 +90,8 @@ def overlap(n, m):
     return -(-NUM * (n + m) // (NUM + DEN))
 
 
-def entries_of(lines: pa.Array, at: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Index entries of lines: the prefix of each; for short lines one, named by the whole set."""
+def entries_of(lines: pa.Array, at: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, lines): the prefix of each line, for short lines one entry named by the whole set; and a record for each line with words."""
     words, n = line_sets(lines, rarity)
     start = np.cumsum(n) - n
     filled = n > 0
@@ -97,8 +99,8 @@ def entries_of(lines: pa.Array, at: np.ndarray, rarity: np.ndarray) -> np.ndarra
     if len(words):
         total[filled] = np.add.reduceat(mix(words), start[filled])
     line = np.repeat(np.arange(len(n)), n)
-    cells = np.minimum(np.bincount(line * 16 + (words & np.uint64(15)).astype(np.int64), minlength=len(n) * 16), 15).astype(np.uint64).reshape(-1, 16)
-    cells = (cells << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+    cells = np.minimum(np.bincount(line * 32 + (words & np.uint64(31)).astype(np.int64), minlength=len(n) * 32), 15).astype(np.uint8).reshape(-1, 32)
+    cells = cells[:, :16] | cells[:, 16:] << 4
     short = np.flatnonzero(filled & (n < LEAST))
     place = np.arange(len(words)) - start[line]
     take = np.flatnonzero((n[line] >= LEAST) & (place < prefix(n)[line]))
@@ -107,26 +109,27 @@ def entries_of(lines: pa.Array, at: np.ndarray, rarity: np.ndarray) -> np.ndarra
     owner = np.concatenate([line[take], short])
     out["i"] = np.minimum(np.concatenate([place[take], np.zeros(len(short), np.int64)]), 65535)
     out["at"], out["sum"], out["n"], out["cells"] = at[owner], total[owner] >> np.uint64(32), n[owner], cells[owner]
-    return out
+    every = np.zeros(int(filled.sum()), LINE)
+    every["at"], every["sum"], every["n"] = at[filled], total[filled], n[filled]
+    return out, every
 
 
 def packed_entries(rarity, buckets: int):
     """(bucket, payload): packed entries; positions that an equal earlier line of the same run already removes in buckets below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = turn = 0
 
         def flush() -> pa.RecordBatch:
-            e = np.concatenate(held)
-            # Of equal lines of the run the earliest stays; a line's entries share its sum and position.
-            order = np.lexsort((e["at"], e["cells"], e["n"], e["sum"]))
-            e = e[order]
-            head = np.ones(len(e), bool)
-            head[1:] = (e["sum"][1:] != e["sum"][:-1]) | (e["n"][1:] != e["n"][:-1]) | (e["cells"][1:] != e["cells"][:-1])
-            first = e["at"][np.flatnonzero(head)][np.cumsum(head) - 1]
-            gone = np.unique(e["at"][e["at"] != first])
-            e = e[e["at"] == first]
+            e, line = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            # Of equal lines of the run the earliest stays.
+            line = line[np.lexsort((line["at"], line["n"], line["sum"]))]
+            head = np.ones(len(line), bool)
+            head[1:] = (line["sum"][1:] != line["sum"][:-1]) | (line["n"][1:] != line["n"][:-1])
+            first = line["at"][np.flatnonzero(head)][np.cumsum(head) - 1] if len(line) else line["at"]
+            gone = np.unique(line["at"][line["at"] != first])
+            e = e[~np.isin(e["at"], gone)]
             bucket = (mix(e["word"].copy()) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             e, bucket = e[order], bucket[order]
@@ -140,9 +143,8 @@ def packed_entries(rarity, buckets: int):
             ids = b.column(0).to_numpy()
             for first, texts in slices(b.column(1), BLOCK):
                 lines, row, number = lines_of(texts)
-                e = entries_of(lines, positions(ids[first + row], number), rarity.value)
-                held.append(e)
-                size, turn = size + len(e), turn + 1
+                held.append(entries_of(lines, positions(ids[first + row], number), rarity.value))
+                size, turn = size + len(held[-1][0]), turn + 1
                 if size >= RUN:
                     yield flush()
                     held, size = [], 0
@@ -159,21 +161,39 @@ def positions(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
     return ids << LINE_BITS | number
 
 
-def same_set(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (e["sum"][x] == e["sum"][y]) & (e["n"][x] == e["n"][y]) & (e["cells"][x] == e["cells"][y])
+def same_set(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (e["sum"][x] == e["sum"][y]) & (e["n"][x] == e["n"][y]) & (e["cells"][x] == e["cells"][y]).all(axis=1)
 
 
-def pairs_under_words(e: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sorted_entries(e: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns of the entries whose word is not alone, sorted by (word, n, at); ``row`` is the place in ``e``."""
+    word = np.ascontiguousarray(e["word"])
+    row = np.argsort(word)
+    word = word[row]
+    same = word[1:] == word[:-1]
+    several = np.zeros(len(word), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    row = row[several]
+    row = row[np.lexsort((e["at"][row], e["n"][row], word[several]))]
+    return {k: np.ascontiguousarray(e[k][row]) for k in e.dtype.names} | {"row": row}
+
+
+def pairs_under_words(e: dict[str, np.ndarray], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (x, y) of entries, sorted by (word, n), that the filters leave. ``wanted``: only pairs whose later line is marked."""
-    start = np.searchsorted(e["word"], e["word"], side="left")
+    size = len(e["word"])
     n = e["n"].astype(np.int64)
-    group = np.cumsum(np.concatenate([[0], e["word"][1:] != e["word"][:-1]])) if len(e) else np.zeros(0, np.int64)
-    span = int(n.max()) + 2 if len(e) else 1
+    i = e["i"].astype(np.int64)
+    head = np.ones(size, bool)
+    head[1:] = e["word"][1:] != e["word"][:-1]
+    group = np.cumsum(head) - 1
+    start = np.flatnonzero(head)[group] if size else group
+    span = int(n.max()) + 2 if size else 1
     low = np.maximum(np.searchsorted(group * span + n, group * span + -(-NUM * n // DEN), side="left"), start)
-    many = np.arange(len(e)) - low
+    many = np.arange(size) - low
     ends = np.cumsum(many)
     lo = 0
-    while lo < len(e):
+    while lo < size:
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000, side="right")))
         k = many[lo:hi]
         x = np.repeat(np.arange(lo, hi), k)
@@ -187,18 +207,16 @@ def pairs_under_words(e: np.ndarray, wanted: np.ndarray | None = None) -> Iterat
         x, y = x[keep], y[keep]
         need = overlap(n[x], n[y])
         short = n[x] < LEAST
-        equal = same_set(e, x, y)
-        i = e["i"].astype(np.int64)
         reach = 1 + np.minimum(n[x] - i[x] - 1, n[y] - i[y] - 1) >= need
-        keep = equal | (~short & reach)
+        keep = np.where(short, n[x] == n[y], reach)
+        x, y, need, short = x[keep], y[keep], need[keep], short[keep]
+        equal = same_set(e, x, y)
+        keep = equal | ~short
         x, y, need, equal = x[keep], y[keep], need[keep], equal[keep]
-        both, full = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         cx, cy = e["cells"][x], e["cells"][y]
-        for k in range(16):
-            c = np.minimum(cx >> np.uint64(4 * k) & np.uint64(15), cy >> np.uint64(4 * k) & np.uint64(15))
-            both += c.astype(np.int64)
-            full |= c == 15
-        fits = (both >= need) | full
+        low, high = np.minimum(cx & 15, cy & 15), np.minimum(cx >> 4, cy >> 4)
+        both = low.sum(axis=1, dtype=np.int64) + high.sum(axis=1, dtype=np.int64)
+        fits = (both >= need) | (low == 15).any(axis=1) | (high == 15).any(axis=1)
         yield x[equal | fits], y[equal | fits]
 
 
@@ -207,8 +225,8 @@ def candidates(part: pa.Table) -> pa.Table:
     raw = b"".join(x.as_py() for x in part["payload"])
     if part["bucket"][0].as_py() < 0:
         return _found(np.frombuffer(raw, "<i8"), np.zeros((0, 2), np.int64), np.zeros(0, ENTRY))
-    e = np.frombuffer(raw, ENTRY)
-    e = e[np.lexsort((e["at"], e["n"], e["word"]))]
+    rows = np.frombuffer(raw, ENTRY)
+    e = sorted_entries(rows)
     got = list(pairs_under_words(e))
     x = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
     y = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
@@ -227,7 +245,7 @@ def candidates(part: pa.Table) -> pa.Table:
     nth = np.arange(len(later)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(later) else later
     keep = ~dense[group] | (nth < FIRST) if len(later) else np.zeros(0, bool)
     pairs = np.unique(np.column_stack([later[keep], earlier[keep]]), axis=0)
-    return _found(gone, pairs, e[np.isin(e["word"], word[dense])] if dense.any() else e[:0])
+    return _found(gone, pairs, rows[e["row"][np.isin(e["word"], word[dense])]] if dense.any() else rows[:0])
 
 
 def _found(gone: np.ndarray, pairs: np.ndarray, again: np.ndarray) -> pa.Table:
@@ -247,13 +265,20 @@ def rest_of_word(part: pa.Table) -> pa.Table:
     """Of a dense word: all pairs whose later line is still there."""
     e = np.frombuffer(b"".join(x.as_py() for x in part["record"]), ENTRY)
     live = part["live"].to_numpy(zero_copy_only=False)
-    order = np.lexsort((e["at"], e["n"], e["word"]))
-    e, live = e[order], live[order]
+    e = sorted_entries(e)
+    live = live[e["row"]]
     got = [np.unique(np.column_stack([np.maximum(e["at"][x], e["at"][y]), np.minimum(e["at"][x], e["at"][y])]), axis=0) for x, y in pairs_under_words(e, live)]
     pairs = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), np.int64)
     return pa.table({"later": pa.array(pairs[:, 0], pa.int64()), "earlier": pa.array(pairs[:, 1], pa.int64())})
 
 
+def unpacked(words: bytes) -> np.ndarray:
+    """The hashes of a line's words."""
+    out = np.zeros((len(words) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(words, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
+
+
 def similar(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
     """The later positions of the pairs whose full sets are similar."""
     need = pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")).distinct()
@@ -270,6 +295,7 @@ def similar(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
                 want = positions(np.repeat(ids[first : first + len(texts)], count), part.flatten().to_numpy())
                 hit = np.flatnonzero(np.isin(at, want))
                 words, n = line_sets(lines.take(pa.array(hit)), rarity.value)
+                words = np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
                 ends = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(at[hit], pa.int64()), pa.array([words[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["at", "words"]
@@ -281,8 +307,8 @@ def similar(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                a, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.intersect1d(a, c, assume_unique=True).size
+                a, c = unpacked(x), unpacked(y)
+                both = np.intersect1d(a, c).size
                 ok.append(DEN * both >= NUM * (len(a) + len(c) - both) and (len(a) >= LEAST and len(c) >= LEAST or both == len(a) == len(c)))
             yield b.select(["later"]).filter(pa.array(ok, pa.bool_()))
 
