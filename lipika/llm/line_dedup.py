@@ -43,6 +43,8 @@ RUN = 400_000
 DENSE, FIRST = 8, 2
 LINE_BITS = 24
 HASH_BYTES = 5
+#: Pairs that are looked at together.
+PAIRS = 1_000_000
 #: ``sum`` is 32 bits of the set's hash: with the size, the cells and a shared word it tells equal sets. ``cells`` holds
 #: 32 counts of four bits, 15 for that many or more.
 ENTRY = np.dtype([("word", "<u8"), ("at", "<i8"), ("sum", "<u4"), ("n", "<u4"), ("i", "<u2"), ("cells", "u1", 16)])
@@ -194,7 +196,7 @@ def pairs_under_words(e: dict[str, np.ndarray], wanted: np.ndarray | None = None
     ends = np.cumsum(many)
     lo = 0
     while lo < size:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
         k = many[lo:hi]
         x = np.repeat(np.arange(lo, hi), k)
         y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[lo:hi], k)
@@ -214,9 +216,9 @@ def pairs_under_words(e: dict[str, np.ndarray], wanted: np.ndarray | None = None
         keep = equal | ~short
         x, y, need, equal = x[keep], y[keep], need[keep], equal[keep]
         cx, cy = e["cells"][x], e["cells"][y]
-        low, high = np.minimum(cx & 15, cy & 15), np.minimum(cx >> 4, cy >> 4)
-        both = low.sum(axis=1, dtype=np.int64) + high.sum(axis=1, dtype=np.int64)
-        fits = (both >= need) | (low == 15).any(axis=1) | (high == 15).any(axis=1)
+        even, odd = np.minimum(cx & 15, cy & 15), np.minimum(cx >> 4, cy >> 4)
+        both = even.sum(axis=1, dtype=np.int64) + odd.sum(axis=1, dtype=np.int64)
+        fits = (both >= need) | (even == 15).any(axis=1) | (odd == 15).any(axis=1)
         yield x[equal | fits], y[equal | fits]
 
 
@@ -301,7 +303,8 @@ def similar(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
                     [pa.array(at[hit], pa.int64()), pa.array([words[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["at", "words"]
                 )
 
-    sets = stored(docs.join(need, F.col("id") == F.col("nid")).select("id", "text", "numbers").mapInArrow(read, "at long, words binary"), "lines-sets", heavy=True)
+    # The same plan at any size: texts are shuffled by id, and the few rows wanted are the hashed side.
+    sets = stored(docs.join(need.hint("shuffle_hash"), F.col("id") == F.col("nid")).select("id", "text", "numbers").mapInArrow(read, "at long, words binary"), "lines-sets", heavy=True)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -107,6 +107,7 @@ def test_one_of_each(docs, unique_rows):
 @pytest.mark.parametrize("dense", [8, 0])
 def test_lines(docs, rows, unique_rows, nothing, monkeypatch, dense):
     monkeypatch.setattr(line_dedup, "DENSE", dense)
+    monkeypatch.setattr(line_dedup, "PAIRS", 7)
     want = brute.lines([r[:2] for r in unique_rows])
     out = line_dedup.without_repeated_lines(docs)
     assert out.columns == docs.columns
