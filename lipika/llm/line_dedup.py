@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lipika.llm.common import is_empty, stored, table
 from lipika.llm.counting import cell_counts
 from lipika.llm.shingles import mix, word_hashes
-from lipika.llm.textbytes import slices
+from lipika.llm.textbytes import slices, whole
 
 #: Jaccard at least 3/4: 7 * intersection >= 3 * (n + m).
 NUM, DEN = 3, 4
@@ -222,6 +222,14 @@ def pairs_under_words(e: dict[str, np.ndarray], wanted: np.ndarray | None = None
         yield x[equal | fits], y[equal | fits]
 
 
+def distinct_pairs(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    order = np.lexsort((earlier, later))
+    rows = np.column_stack([later[order], earlier[order]])
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[fresh]
+
+
 def candidates(part: pa.Table) -> pa.Table:
     """Of one bucket: removed positions (later alone), pairs to verify (later, earlier), entries of words to come back to."""
     raw = b"".join(x.as_py() for x in part["payload"])
@@ -236,6 +244,8 @@ def candidates(part: pa.Table) -> pa.Table:
     later, earlier = np.maximum(e["at"][x], e["at"][y]), np.minimum(e["at"][x], e["at"][y])
     gone = np.unique(later[equal])
     open_ = ~np.isin(later, gone)
+    # Equal lines meet under every word of their prefix; the first one reports them.
+    gone = np.unique(later[equal & (e["i"][x] == 0)])
     later, earlier, x = later[open_], earlier[open_], x[open_]
     word, group = np.unique(e["word"][x], return_inverse=True)
     size = np.searchsorted(e["word"], word, side="right") - np.searchsorted(e["word"], word, side="left")
@@ -246,7 +256,7 @@ def candidates(part: pa.Table) -> pa.Table:
     fresh[1:] = (later[1:] != later[:-1]) | (group[1:] != group[:-1])
     nth = np.arange(len(later)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(later) else later
     keep = ~dense[group] | (nth < FIRST) if len(later) else np.zeros(0, bool)
-    pairs = np.unique(np.column_stack([later[keep], earlier[keep]]), axis=0)
+    pairs = distinct_pairs(later[keep], earlier[keep])
     return _found(gone, pairs, rows[e["row"][np.isin(e["word"], word[dense])]] if dense.any() else rows[:0])
 
 
@@ -269,16 +279,18 @@ def rest_of_word(part: pa.Table) -> pa.Table:
     live = part["live"].to_numpy(zero_copy_only=False)
     e = sorted_entries(e)
     live = live[e["row"]]
-    got = [np.unique(np.column_stack([np.maximum(e["at"][x], e["at"][y]), np.minimum(e["at"][x], e["at"][y])]), axis=0) for x, y in pairs_under_words(e, live)]
-    pairs = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), np.int64)
+    got = [distinct_pairs(np.maximum(e["at"][x], e["at"][y]), np.minimum(e["at"][x], e["at"][y])) for x, y in pairs_under_words(e, live)]
+    pairs = distinct_pairs(*np.concatenate(got).T) if got else np.zeros((0, 2), np.int64)
     return pa.table({"later": pa.array(pairs[:, 0], pa.int64()), "earlier": pa.array(pairs[:, 1], pa.int64())})
 
 
-def unpacked(words: bytes) -> np.ndarray:
-    """The hashes of a line's words."""
-    out = np.zeros((len(words) // HASH_BYTES, 8), np.uint8)
-    out[:, :HASH_BYTES] = np.frombuffer(words, np.uint8).reshape(-1, HASH_BYTES)
-    return out.view("<u8").ravel()
+def side(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(pair and hash of each word as one number, sizes) of one side of a batch of pairs."""
+    data, ends = whole(words)
+    wide = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    wide[:, :HASH_BYTES] = data.reshape(-1, HASH_BYTES)
+    n = np.diff(ends) // HASH_BYTES
+    return np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(8 * HASH_BYTES) | wide.view("<u8").ravel(), n
 
 
 def similar(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
@@ -307,12 +319,12 @@ def similar(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
     sets = stored(docs.join(need.hint("shuffle_hash"), F.col("id") == F.col("nid")).select("id", "text", "numbers").mapInArrow(read, "at long, words binary"), "lines-sets", heavy=True)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                a, c = unpacked(x), unpacked(y)
-                both = np.intersect1d(a, c).size
-                ok.append(DEN * both >= NUM * (len(a) + len(c) - both) and (len(a) >= LEAST and len(c) >= LEAST or both == len(a) == len(c)))
+        for b in (batch.slice(lo, 512) for batch in batches for lo in range(0, batch.num_rows, 512)):
+            (x, n), (y, m) = side(b.column(1)), side(b.column(2))
+            every = np.sort(np.concatenate([x, y]))
+            shared = every[1:][every[1:] == every[:-1]] >> np.uint64(8 * HASH_BYTES)
+            both = np.bincount(shared.astype(np.int64), minlength=b.num_rows)
+            ok = (DEN * both >= NUM * (n + m - both)) & ((np.minimum(n, m) >= LEAST) | ((both == n) & (both == m)))
             yield b.select(["later"]).filter(pa.array(ok, pa.bool_()))
 
     a = sets.select(F.col("at").alias("later"), F.col("words").alias("x"))
