@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from lipika.functions import numbers as N
 from lipika.functions import postprocess as P
-from lipika.functions import wer as E
 
 LEX = "[" + ", ".join(f"'{w}'" for w in N.ONES) + "]"
 WS = r"[\s\x{85}\x{A0}\x{1C}-\x{1F}\p{Z}]"
