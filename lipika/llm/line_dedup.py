@@ -43,6 +43,8 @@ RUN = 400_000
 DENSE, FIRST = 8, 2
 LINE_BITS = 24
 HASH_BYTES = 5
+#: A one in each byte.
+EACH = np.uint64(0x0101010101010101)
 #: Pairs that are looked at together.
 PAIRS = 1_000_000
 #: ``sum`` is 32 bits of the set's hash: with the size, the cells and a shared word it tells equal sets. ``cells`` holds
@@ -131,10 +133,10 @@ def packed_entries(rarity, buckets: int):
             head[1:] = (line["sum"][1:] != line["sum"][:-1]) | (line["n"][1:] != line["n"][:-1])
             first = line["at"][np.flatnonzero(head)][np.cumsum(head) - 1] if len(line) else line["at"]
             gone = np.unique(line["at"][line["at"] != first])
-            e = e[~np.isin(e["at"], gone)]
-            bucket = (mix(e["word"].copy()) % np.uint64(buckets)).astype(np.int32)
+            kept = np.flatnonzero(~np.isin(e["at"], gone))
+            bucket = (mix(e["word"][kept]) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            e, bucket = e[order], bucket[order]
+            e, bucket = e[kept[order]], bucket[order]
             ends = np.searchsorted(bucket, np.arange(buckets + 1))
             rows = [(b, e[ends[b] : ends[b + 1]].tobytes()) for b in range(buckets) if ends[b + 1] > ends[b]]
             if len(gone):
@@ -164,7 +166,8 @@ def positions(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
 
 
 def same_set(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (e["sum"][x] == e["sum"][y]) & (e["n"][x] == e["n"][y]) & (e["cells"][x] == e["cells"][y]).all(axis=1)
+    a, b = e["cells"][x].view("<u8"), e["cells"][y].view("<u8")
+    return (e["sum"][x] == e["sum"][y]) & (e["n"][x] == e["n"][y]) & (a[:, 0] == b[:, 0]) & (a[:, 1] == b[:, 1])
 
 
 def sorted_entries(e: np.ndarray) -> dict[str, np.ndarray]:
@@ -216,9 +219,13 @@ def pairs_under_words(e: dict[str, np.ndarray], wanted: np.ndarray | None = None
         keep = equal | ~short
         x, y, need, equal = x[keep], y[keep], need[keep], equal[keep]
         cx, cy = e["cells"][x], e["cells"][y]
-        even, odd = np.minimum(cx & 15, cy & 15), np.minimum(cx >> 4, cy >> 4)
-        both = even.sum(axis=1, dtype=np.int64) + odd.sum(axis=1, dtype=np.int64)
-        fits = (both >= need) | (even == 15).any(axis=1) | (odd == 15).any(axis=1)
+        both, full = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64)
+        for counts in (np.minimum(cx & 15, cy & 15), np.minimum(cx >> 4, cy >> 4)):
+            # Eight counts to a number: one product adds them up, one sum shows a count of 15.
+            eight = counts.view("<u8")
+            both += (eight[:, 0] * EACH >> np.uint64(56)).astype(np.int64) + (eight[:, 1] * EACH >> np.uint64(56)).astype(np.int64)
+            full |= (eight[:, 0] + EACH * np.uint64(0x71) | eight[:, 1] + EACH * np.uint64(0x71)) & (EACH << np.uint64(7))
+        fits = (both >= need) | (full != 0)
         yield x[equal | fits], y[equal | fits]
 
 

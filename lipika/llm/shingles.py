@@ -50,9 +50,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
     if not len(owner):
         return np.zeros(0, np.uint64), owner
-    h = _hash_all(words.dictionary)
-    filled = (pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False) > 0)[words.indices.to_numpy()]
-    return h[words.indices.to_numpy()][filled], owner[filled]
+    place = words.indices.to_numpy()
+    h = _hash_all(words.dictionary)[place]
+    filled = pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False) > 0
+    return (h, owner) if filled.all() else (h[filled[place]], owner[filled[place]])
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
