@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lipika.functions import chars as C
-from lipika.functions.text import rewrite
+from lipika.functions.text import let, rewrite
 
 # The words for 0 to 99 and the words of number composition; spellings are part of the results.
 ONES = (
@@ -65,9 +65,8 @@ def _or_token(found: Column, token: Column, on_overflow: str) -> Column:
 
 def expand_comma_integers(c: Column, on_overflow: str = "keep") -> Column:
     """``62,000`` to words; numbers without words keep their digits, or raise."""
-    return rewrite(
-        c, COMMA_INT, lambda m: _or_token(int_words(_number(F.replace(ascii_digits(m), F.lit(","), F.lit("")))), m, on_overflow)
-    )
+    value = lambda m: _number(F.replace(ascii_digits(m), F.lit(","), F.lit("")))
+    return rewrite(c, COMMA_INT, lambda m: let(value(m), lambda n: _or_token(int_words(n), m, on_overflow)))
 
 
 def collapse_currency_space(c: Column) -> Column:
@@ -78,8 +77,10 @@ def expand_decimals(c: Column, on_overflow: str = "keep") -> Column:
     """``18.5`` to words: half idioms for a fraction of exactly 5, digit by digit otherwise; money is left alone."""
 
     def spoken(m: Column) -> Column:
-        whole, frac = F.substring_index(m, ".", 1), F.substring_index(m, ".", -1)
-        n = _number(ascii_digits(whole))
+        return let(_number(ascii_digits(F.substring_index(m, ".", 1))), lambda n: said_of(m, n))
+
+    def said_of(m: Column, n: Column) -> Column:
+        frac = F.substring_index(m, ".", -1)
         half = F.translate(frac, C.DEVANAGARI_DIGITS, "0123456789") == "5"
         digits = F.transform(F.regexp_extract_all(ascii_digits(frac), F.lit("[0-9]"), F.lit(0)), _ones)
         generic = F.concat(int_words(n), F.lit(f" {POINT} "), F.array_join(digits, " "))

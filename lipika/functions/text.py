@@ -39,6 +39,11 @@ def pause_count(c: Column) -> Column:
     return count_matches(c, PAUSE)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in a lambda's body, where Catalyst would repeat the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rewrite(c: Column, pattern: str, to: Callable[[Column], Column]) -> Column:
     """Replace every match of ``pattern`` by an expression of it, without a UDF.
 
