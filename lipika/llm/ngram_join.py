@@ -105,7 +105,8 @@ class Signer:
             if deletions:
                 for i in mine:
                     full = group[i].sum(dtype=np.uint64)
-                    out[i].append(mix(np.concatenate([[full], full - group[i]]) ^ salt))
+                    # Bit 63 stays clear for MORE.
+                    out[i].append(mix(np.concatenate([[full], full - group[i]]) ^ salt) >> np.uint64(1))
                 continue
             step = min(2048, max(1, SEGMENTS // m))
             for lo in range(0, len(mine), step):
@@ -155,7 +156,7 @@ def at_most_shared(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 ENTRY = np.dtype([("entry", "<u8"), ("node", "<i8")])
 MEETING = np.dtype([("entry", "<i8"), ("hub", "<i8"), ("node", "<i8")])
-#: Set in an entry whose node stands for more nodes that met it before the exchange.
+#: Set in an entry whose node stands for more nodes that met it before the exchange; clear in every entry's own name.
 MORE = np.uint64(1 << 63)
 SIGNED_DDL = "bucket int, payload binary, id long, n long, node long, name binary, profile binary"
 JOINED_DDL = "id long, n long, node long, name binary, profile binary, entry long, hub long, member long"

@@ -84,6 +84,18 @@ def test_ngram_on_chains_of_edits(spark, monkeypatch, small):
     assert got == brute.ngram(rows)
 
 
+def test_ngram_of_short_texts_across_tasks(spark):
+    """Two extensions of a text meet in one task, the text that links them is in another."""
+    several, alone = [], []
+    for salt in range(24):
+        base = [f"s{salt}w{i}" for i in range(8)]
+        several += [(3 * salt, " ".join([*base, "x"])), (3 * salt + 1, " ".join([*base, "y"]))]
+        alone.append((3 * salt + 2, " ".join(base)))
+    rows = spark.sparkContext.parallelize([several, alone], 2).flatMap(lambda part: part)
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    assert got == brute.ngram([*several, *alone])
+
+
 def test_every_similar_pair_meets():
     """Index entries alone: each pair above the threshold shares one."""
     rng = np.random.default_rng(0)
