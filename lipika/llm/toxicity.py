@@ -1,19 +1,20 @@
-"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity scores from the nearest labelled examples by exact weighted TF-IDF cosine over a block-max inverted index.
 
 1. Examples: labelled rows of the folds that may be learned from, at most about ``examples`` of them, by a hash of the
-   id. Terms: the words whose document counts among the examples differ most between the labels (chi-squared of at
-   least CHI, at most ``terms``). Inverse document frequencies come from every document.
+   id. Terms: every word of theirs. Inverse document frequencies come from every document; each is multiplied by how
+   far the word's document counts tell the labels of the examples apart (the phi coefficient, 0 to 1), so common words
+   do not drown telling ones and no word is left out.
 2. The index holds, for each term, postings by block of BLOCK examples and the largest weight in each block. A query
-   bounds its cosine with any example of a block by the block's largest weights, opens blocks from the highest bound
-   down and stops when no bound reaches the k-th best cosine: the result is that of a full scan.
-3. The k neighbours vote with weights 1 / (distance + SOFTEN). Votes of the examples themselves, each without itself,
-   give an isotonic calibration. Neighbours and cosines are returned as evidence.
+   bounds its cosine with any example of a block by the block's largest weights, opens the blocks of the highest bounds
+   and then all whose bound reaches the k-th best cosine: the result is that of a full scan.
+3. The k neighbours vote with weights 1 / (distance + SOFTEN). Votes of the examples themselves, each without itself and
+   weighted by counts without itself, give an isotonic calibration. Neighbours and cosines are returned as evidence.
 
-Both the examples and the terms are bounded by documented parameters, so the index is the same size for any corpus;
-document frequencies and scores cover all rows and whole texts.
+The examples are bounded by a documented parameter, and their words with them, so the index does not grow with the
+corpus; document frequencies and scores cover all rows and whole texts.
 
-Defined results. Null and empty texts, like texts without any of the terms, have no neighbours and get the share of
-toxic examples without terms. Equal cosines go by the smaller example id. Null ids are scored and match no label; labels
+Defined results. Null and empty texts, like texts that share no telling word with an example, have no neighbours and
+get the share of toxic examples without neighbours. Equal cosines go by the smaller example id. Null ids are scored and match no label; labels
 with a null id or value are ignored; an example id that repeats with different texts gives several examples. Without
 any example every score is 0. Empty tables give no rows.
 """
@@ -25,18 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika.llm.common import fold, share, stored, table
+from lipika.llm.counting import CHUNKS, cell_counts
 from lipika.llm.isotonic import pool_adjacent, probability
 
 EXAMPLES = 6000
-TERMS = 512
-CHI = 30.0
-LEAST = 4  # documents with a term
 K = 15
 BLOCK = 64
+#: Blocks that a query opens at first.
+FIRST = 4
+#: Terms that are counted together.
+RUN = 1_000_000
 SOFTEN = 0.05
 #: ASCII letters in lower case, digits and non-ASCII bytes as they are, anything else a space.
 _WORDS = bytes(
@@ -48,60 +52,57 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def choose_terms(examples: DataFrame, terms: int, chi: float) -> list[bytes]:
-    """Words of examples (id, y, text) by the chi-squared of their document counts, highest first, ties by the word."""
+def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, y, text) as (id, y, distinct words, counts)."""
+    for b in batches:
+        found = [Counter(words(t.as_py())) for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns[:2], pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
+            ["id", "y", "words", "counts"],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[int(y)].update(set(words(text)))
-            both = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(both, pa.binary()), *(pa.array([c[w] for w in both], pa.int64()) for c in counts)], ["word", "n0", "n1"]
-            )
-
-    per = examples.groupBy("y").agg(F.count("*").alias("n")).collect()  # two rows
-    n = {int(r["y"]): float(r["n"]) for r in per}
-    if len(n) < 2:
-        return []
-    counts = examples.select("y", "text").mapInArrow(run, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b, all0, all1 = F.col("n1"), F.col("n0"), F.lit(n[0]), F.lit(n[1])
-    total, has = F.lit(n[0] + n[1]), F.col("n0") + F.col("n1")
-    value = total * F.pow(a * (all0 - b) - b * (all1 - a), F.lit(2)) / (all0 * all1 * has * F.greatest(total - has, F.lit(1e-9)))
-    best = counts.filter(has >= LEAST).withColumn("chi", value).filter(F.col("chi") >= chi)
-    return [bytes(r["word"]) for r in best.orderBy(F.desc("chi"), "word").limit(terms).collect()]
-
-
-def vector(text: str | None, place: dict[bytes, int]) -> tuple[list[int], list[int]]:
-    """(terms, counts) of a whole text."""
-    found = Counter(filter(None, map(place.get, words(text)))) if place else {}
-    at = sorted(found)
-    return at, [found[i] for i in at]
-
-
-def with_vectors(docs: DataFrame, terms: list[bytes], id_col: str, text_col: str) -> DataFrame:
-    """(id, terms, counts) for every row; terms count from 1."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i + 1 for i, w in enumerate(terms)}
-        for b in batches:
-            got = [vector(t.as_py(), place) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))],
-                ["id", "terms", "counts"],
-            )
+def telling(n0: np.ndarray, n1: np.ndarray, all0: float, all1: float) -> np.ndarray:
+    """Phi coefficient, without its sign, of words in n0 of all0 and n1 of all1 examples of the labels; 0 where a label has none."""
+    has, total = n0 + n1, all0 + all1
+    spread = all0 * all1 * has * (total - has)
+    return np.abs(n1 * (all0 - n0) - n0 * (all1 - n1)) / np.sqrt(np.where(spread > 0, spread, np.inf))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"]).mapInArrow(run, f"id {kind}, terms array<int>, counts array<int>")
 
+def vector(text: str | None, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, counts) of a whole text; terms count from 1."""
+    found = Counter(map(place.get, words(text))) if place else Counter()
+    found.pop(None, None)
+    at = np.fromiter(found.keys(), np.int64, len(found))
+    order = np.argsort(at)
+    return at[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
-def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per term, a row for each term of a batch."""
-    for b in batches:
-        n = np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False))
-        t = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(n[t], pa.int64())], ["t", "n"])
+
+def document_counts(docs: DataFrame, terms: list[bytes], text_col: str) -> np.ndarray:
+    """Documents per term, over all rows."""
+
+    def found(column: pa.Array) -> Iterator[np.ndarray]:
+        if not place:
+            place.update({w: i + 1 for i, w in enumerate(shared())})
+        held, size = [], 0
+        for t in column:
+            held.append(vector(t.as_py(), place)[0].astype(np.uint64))
+            size += len(held[-1])
+            if size >= RUN:
+                yield np.concatenate(held)
+                held, size = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    shared, place = share(docs.sparkSession, terms), {}
+    cells = max(CHUNKS, 1 << len(terms).bit_length())
+    return cell_counts(docs.select(docs[f"`{text_col}`"]), found, cells)[: len(terms) + 1]
+
+
+def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its end, one span after the other."""
+    n = end - start
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
 class Index:
@@ -115,48 +116,61 @@ class Index:
         self.empty = (sum(ys[i] for i in bare) + prior) / (len(bare) + 1)
         order = sorted(
             (i for i, (t, _) in enumerate(vectors) if len(t)),
-            key=lambda i: ([int(t) for t in np.asarray(vectors[i][0])[np.argsort(-weighted[i], kind="stable")]], ids[i]),
+            key=lambda i: ([int(t) for t in np.asarray(vectors[i][0])[np.argsort(-weighted[i], kind="stable")[:8]]], ids[i]),
         )
         self.ids = np.array([ids[i] for i in order], dtype=object)
         self.rank = np.argsort(np.argsort(np.array([ids[i] for i in order], dtype=np.int64), kind="stable")) if order else np.zeros(0, np.int64)
         self.y = np.array([ys[i] for i in order])
         self.blocks = -(-len(order) // block)
-        self.most = np.zeros((len(idf), max(self.blocks, 1)))
-        rows: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for at, i in enumerate(order):
-            b = at // block
-            for t, w in zip(vectors[i][0], weighted[i], strict=True):
-                p = rows.setdefault((int(t), b), ([], []))
-                p[0].append(at % block)
-                p[1].append(w)
-                self.most[t, b] = max(self.most[t, b], w)
-        self.postings = {key: (np.array(a), np.array(w)) for key, (a, w) in rows.items()}
+        # Postings by (term, place); a run of them is a term's part in a block.
+        n = np.array([len(vectors[i][0]) for i in order], np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(np.asarray(vectors[i][0], np.int64) for i in order)])
+        weight = np.concatenate([np.zeros(0), *(weighted[i] for i in order)])
+        place = np.repeat(np.arange(len(order)), n)
+        some = np.flatnonzero(weight > 0)
+        some = some[np.lexsort((place[some], term[some]))]
+        term, self.place, self.weight = term[some], place[some].astype(np.int32), weight[some]
+        head = np.ones(len(term), bool)
+        head[1:] = (term[1:] != term[:-1]) | (self.place[1:] // block != self.place[:-1] // block)
+        first = np.flatnonzero(head)
+        self.part = np.append(first, len(term))
+        self.in_block = self.place[first] // block
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.start = np.searchsorted(term[first], np.arange(len(idf) + 1))
         self.curve: np.ndarray | None = None
 
-    def weigh(self, terms, counts) -> np.ndarray:
-        """Unit TF-IDF weights."""
+    def weigh(self, terms, counts, idf=None) -> np.ndarray:
+        """Unit TF-IDF weights; ``idf`` in place of the index's for these terms."""
         if not len(terms):
             return np.zeros(0)
-        w = (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(terms)]
-        return w / np.sqrt((w**2).sum())
+        w = (1 + np.log(np.asarray(counts, float))) * (self.idf[np.asarray(terms)] if idf is None else idf)
+        size = np.sqrt((w**2).sum())
+        return w / size if size else w
 
-    def nearest(self, terms, counts, but=None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms, counts, but=None, idf=None) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, nearest first, without the example of id ``but``."""
-        q = self.weigh(terms, counts)
-        bound = q @ self.most[np.asarray(terms)]
+        terms, q = np.asarray(terms, np.int64), self.weigh(terms, counts, idf)
+        part = spans(self.start[terms], self.start[terms + 1])
+        weight = np.repeat(q, self.start[terms + 1] - self.start[terms])
+        block = self.in_block[part]
+        bound = np.bincount(block, weight * self.most[part], minlength=self.blocks)
+        turn = np.argsort(-bound, kind="stable")
         sims, places, kth = np.zeros(0), np.zeros(0, np.int64), -1.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] < kth - 1e-12 or bound[b] <= 0:
-                break
-            got = np.zeros(self.block)
-            for t, w in zip(terms, q, strict=True):
-                if (p := self.postings.get((int(t), int(b)))) is not None:
-                    got[p[0]] += w * p[1]
-            at = np.flatnonzero(got > 0) + b * self.block
-            sims, places = np.concatenate([sims, np.round(got[at - b * self.block], 12)]), np.concatenate([places, at])
+        for now in (turn[:FIRST], turn[FIRST:]):
+            now = now[(bound[now] > 0) & (bound[now] >= kth - 1e-12)]
+            if not len(now):
+                continue
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            mine = chosen[block]
+            p, w = part[mine], weight[mine]
+            n = self.part[p + 1] - self.part[p]
+            at = spans(self.part[p], self.part[p + 1])
+            got = np.round(np.bincount(self.place[at], np.repeat(w, n) * self.weight[at], minlength=len(self.ids)), 12)
+            at = np.flatnonzero(got > 0)
             if but is not None:
-                keep = self.ids[places] != but
-                sims, places = sims[keep], places[keep]
+                at = at[self.ids[at] != but]
+            sims, places = np.concatenate([sims, got[at]]), np.concatenate([places, at])
             best = np.lexsort((self.rank[places], -sims))[: self.k]
             sims, places = sims[best], places[best]
             if len(sims) == self.k:
@@ -167,32 +181,30 @@ class Index:
         w = 1 / (1 - np.minimum(sims, 1) + SOFTEN)
         return float((w * self.y[places]).sum() / w.sum()) if len(places) else float(self.empty)
 
-    def calibrate(self, ids: list, ys: list[float], vectors) -> None:
-        raw = [(self.vote(*self.nearest(t, c, but=i)), y) for i, y, (t, c) in zip(ids, ys, vectors, strict=True) if len(t)]
+    def calibrate(self, ids: list, ys: list[float], vectors, idfs: list) -> None:
+        """From the examples' own votes; ``idfs`` are the weights of each one's terms without it."""
+        found = [(*self.nearest(t, c, but=i, idf=w), y) for i, y, (t, c), w in zip(ids, ys, vectors, idfs, strict=True)]
+        raw = [(self.vote(places, sims), y) for places, sims, y in found if len(places)]
+        bare = [y for places, _, y in found if not len(places)]
+        self.empty = (sum(bare) + (sum(ys) / len(ys) if ys else 0.0)) / (len(bare) + 1)
         if raw:
             x, inverse = np.unique(np.round([r for r, _ in raw], 3), return_inverse=True)
             y = np.bincount(inverse, [v for _, v in raw])
             self.curve = pool_adjacent(x, y, np.bincount(inverse).astype(float))
 
-    def score(self, terms, counts, memo: dict | None = None) -> tuple[float, list]:
+    def score(self, terms, counts) -> tuple[float, list]:
         """(probability, evidence as [(id, cosine), ...])"""
-        if not len(terms) or not len(self.ids):
+        places, sims = self.nearest(terms, counts) if len(terms) and len(self.ids) else ((), ())
+        if not len(places):
             return float(self.empty), []
-        key = (tuple(terms), tuple(counts))
-        if memo is not None and key in memo:
-            return memo[key]
-        places, sims = self.nearest(terms, counts)
         p = self.vote(places, sims)
         if self.curve is not None:
             p = float(probability(self.curve, np.array([p]))[0])
-        out = p, [(self.ids[i], float(s)) for i, s in zip(places[:3], sims[:3], strict=True)]
-        if memo is not None and len(memo) < 100_000:
-            memo[key] = out
-        return out
+        return p, [(self.ids[i], float(s)) for i, s in zip(places[:3], sims[:3], strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=5, held=0, examples=EXAMPLES, terms=TERMS, chi=CHI, k=K) -> tuple[Index, list[bytes], DataFrame]:
-    """(index, terms, vectors of all rows)"""
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", folds=5, held=0, examples=EXAMPLES, k=K) -> tuple[Index, list[bytes]]:
+    """(index, terms)"""
     known = labels.select(labels[f"`{id_col}`"].alias("lid"), labels[f"`{label_col}`"].cast("double").alias("y"))
     known = known.filter((fold(F.col("lid"), folds) != held) & F.col("y").isin(0.0, 1.0))
     n = known.count()
@@ -201,37 +213,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     # About ``examples`` rows of an id and a number: a proven bound for the broadcasts.
     known = known.filter(pick).groupBy("lid").agg(F.max("y").alias("y"))
     chosen = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).join(F.broadcast(known), F.col("id") == F.col("lid"))
-    found = choose_terms(stored(chosen.select("id", "y", "text"), "toxic-examples"), terms, chi)
-    vectors = stored(with_vectors(docs, found, id_col, text_col), "toxic-vectors")
-    df = vectors.select("terms").mapInArrow(document_counts, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    df = df.collect()  # ``terms`` rows at most
-    total = vectors.count()
-    idf = np.zeros(len(found) + 1)
-    for r in df:
-        idf[r["t"]] = np.log(1 + total / r["n"])
-    rows = vectors.join(F.broadcast(known), F.col("id") == F.col("lid")).select("id", "y", "terms", "counts").collect()  # the examples
-    rows.sort(key=lambda r: (r["id"], r["terms"], r["counts"]))
-    ids, ys, vs = [r["id"] for r in rows], [r["y"] for r in rows], [(r["terms"], r["counts"]) for r in rows]
-    index = Index(ids, ys, vs, idf, k)
-    index.calibrate(ids, ys, vs)
-    return index, found, vectors
+    kind = chosen.schema["id"].dataType.simpleString()
+    rows = stored(chosen.select("id", "y", "text"), "toxic-examples").mapInArrow(bags, f"id {kind}, y double, words array<binary>, counts array<int>")
+    rows = rows.toArrow()  # the examples
+    ids, ys = rows["id"].to_pylist(), rows["y"].to_numpy()
+    n = pc.list_value_length(rows["words"]).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
+    every, counts = coded.dictionary.to_pylist(), pc.list_flatten(rows["counts"]).to_numpy()
+    order = sorted(range(len(every)), key=every.__getitem__)
+    terms = [every[i] for i in order]
+    number = np.zeros(len(terms), np.int64)
+    number[order] = np.arange(1, len(terms) + 1)
+    term, end = number[coded.indices.to_numpy()], np.cumsum(n)
+    vs = []
+    for i, j in zip(end - n, end, strict=True):
+        by = np.argsort(term[i:j])
+        vs.append((term[i:j][by], counts[i:j][by]))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], vs[i][0].tolist(), vs[i][1].tolist()))
+    ids, ys, vs = [ids[i] for i in order], ys[order], [vs[i] for i in order]
+    per = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(v[0] for v, y in zip(vs, ys, strict=True) if y == label)]), minlength=len(terms) + 1) for label in (0, 1)]
+    all0, all1 = float((ys == 0).sum()), float((ys == 1).sum())
+    df = document_counts(docs, terms, text_col)
+    idf = np.log(1 + docs.count() / np.maximum(df, 1))
+    index = Index(ids, ys.tolist(), vs, idf * telling(*per, all0, all1), k)
+    without = [idf[t] * telling(per[0][t] - (1 - y), per[1][t] - y, all0 - (1 - y), all1 - y) for (t, _), y in zip(vs, ys, strict=True)]
+    index.calibrate(ids, ys.tolist(), vs, without)
+    return index, terms
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", folds=5, held=0, **kw) -> DataFrame:
     """Per row: id, held_out, score, predicted, evidence (nearest examples and their cosines)."""
-    index, _, vectors = fit(docs, labels, id_col, text_col, folds=folds, held=held, **kw)
-    shared = share(docs.sparkSession, index)
-    kind = vectors.schema["id"].dataType.simpleString()
+    index, terms = fit(docs, labels, id_col, text_col, folds=folds, held=held, **kw)
+    shared = share(docs.sparkSession, (index, terms))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}
-        index = shared()
+        index, terms = shared()
+        place = {w: i + 1 for i, w in enumerate(terms)}
         for b in batches:
-            got = [index.score(t, c, memo) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            got = [index.score(*vector(t.as_py(), place)) for t in b.column(1)]
             evidence = pa.array([[{"id": i, "similarity": s} for i, s in e] for _, e in got], pa.list_(pa.struct([("id", b.schema.field(0).type), ("similarity", pa.float64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in got], pa.float64()), evidence], ["id", "score", "evidence"])
 
-    out = vectors.select("id", "terms", "counts").mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:{kind},similarity:double>>")
+    out = docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"]).mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:{kind},similarity:double>>")
     return out.select(
         F.col("id").alias(id_col), F.coalesce(fold(F.col("id"), folds) == held, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence",
@@ -240,15 +264,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", **kw) -> DataFrame:
     """The rows of ``docs`` whose score is below one half; each row is judged by its own text, none is moved."""
-    index, terms, _ = fit(docs, labels, id_col, text_col, **kw)
+    index, terms = fit(docs, labels, id_col, text_col, **kw)
     shared = share(docs.sparkSession, (index, terms))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, terms = shared()
-        place, memo = {w: i + 1 for i, w in enumerate(terms)}, {}
+        place = {w: i + 1 for i, w in enumerate(terms)}
         for b in batches:
-            yield b.filter(pa.array([index.score(*vector(t.as_py(), place), memo)[0] < 0.5 for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([index.score(*vector(t.as_py(), place))[0] < 0.5 for t in b.column(at)], pa.bool_()))
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots do not pass
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

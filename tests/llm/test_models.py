@@ -79,6 +79,15 @@ def test_toxicity(spark, docs, nothing, rows):
     edge_cases_score("toxicity", docs, nothing, odd, rows)
 
 
+def test_toxicity_uses_rare_words(spark):
+    """Each telling word is in a few examples only, too few for any one of them to stand out by itself."""
+    rng = random.Random(4)
+    names = ["".join(rng.choices("kqxz", k=8)) for _ in range(40)]
+    d, labels, truth = labelled(spark, lambda rng, w: " ".join([*w, *rng.sample(names, 3)]), n=150)
+    got = [r for r in toxicity.toxicity_scores(d, labels, folds=3).collect() if r["held_out"] and truth[r["doc_id"]]]
+    assert got and sum(r["predicted"] for r in got) / len(got) > 0.9
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(2)
     idf = np.concatenate([[0], rng.uniform(0.5, 5, 40)])
