@@ -27,7 +27,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def parsed(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
@@ -55,21 +55,38 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _absolute(scheme: Column, host: Column, link: Column) -> Column:
-    """A link's target: absolute, scheme-relative or root-relative; anything else is not followed."""
+def _absolute(scheme: Column, host: Column, path: Column, link: Column) -> Column:
+    """A link's target: absolute, scheme-relative, root-relative, or relative to the page's path; other schemes are not followed."""
+    base = F.concat(scheme, F.lit("://"), host)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    own = F.regexp_extract(link, r"^([^?#]*)", 1)
+    full = F.when(own == "", F.when(path == "", F.lit("/")).otherwise(path)).when(own.startswith("/"), own).otherwise(F.concat(folder, own))
     return (
-        F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host, link))
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .otherwise(F.concat(base, _plain(full), F.substring(link, F.length(own) + 1, F.length(link))))
     )
 
 
+def _plain(path: Column) -> Column:
+    """A path from the root without its . and .. segments."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    start = F.array().cast("array<string>")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    # The first part is what is before the root's slash, so it stays out.
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    closing = F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), closing)
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): canonical links and refresh redirects of the pages, as nodes. Only pages that mention one are parsed."""
     page = pages.select(pages[f"`{url}`"].alias("url"), pages[f"`{html}`"].alias("html"))
     page = page.filter(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|http-equiv"))
     links = F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (CANONICAL, REFRESH)))
     found = parsed(page.select("url", F.explode(links).alias("link")), "url")
-    found = found.withColumn("to", _absolute(F.substring_index("url", "://", 1), F.col("host"), F.col("link")))
+    found = found.withColumn("to", _absolute(F.substring_index("url", "://", 1), F.col("host"), F.col("path"), F.col("link")))
     return _edges(found.select("url", "to"))
 
 
