@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import pickle
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,29 +30,113 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder that driver and executors share.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder takes its place.
+    Where that setting is absent, a single machine (tests) gets a temporary folder of its own; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lipika-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lipika/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/lipika/{label}-{uuid.uuid4().hex}"
+    (_open[-1] if _open else _kept).append(path)
+    return path
 
 
-def stored(df: DataFrame, label: str, heavy: bool = False) -> DataFrame:
+#: Scratch paths of the operator calls that are under way, innermost last; and those that results still read.
+_open: list[list[str]] = []
+_kept: list[str] = []
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for a block of code."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: cuts the lineage and survives a lost executor.
 
-    Shuffle files stay until the driver collects what refers to them; after a ``heavy`` job it is asked to at once, and
-    once more for what the job's own end still held.
+    The job's shuffle files go with the job's end, for nothing reads them once the table is written.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    for _ in range(2 * heavy):
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def paths_read(df: DataFrame) -> list[str]:
+    """The folders and files that a DataFrame's plan reads."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
+            roots = leaves.apply(i).relation().location().rootPaths()
+            found += [roots.apply(j).toString() for j in range(roots.size())]
+    return found
+
+
+def tidied(operator):
+    """For a function that returns a DataFrame: of the scratch tables it made, those that the result does not read go.
+
+    What the result reads stays until the caller's own ``tidied`` or ``settled`` call ends, or the program does.
+    """
+
+    @wraps(operator)
+    def run(*args, **kw):
+        _open.append([])
+        try:
+            out = operator(*args, **kw)
+        except BaseException:
+            (_open[-1] if _open else _kept).extend(_open.pop())
+            raise
+        made = _open.pop()
+        read = {_bare(p) for p in paths_read(out)}
+        for path in made:
+            if _bare(path) in read:
+                (_open[-1] if _open else _kept).append(path)
+            else:
+                remove(out.sparkSession, path)
+        return out
+
+    return run
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Store what ``make`` returns and delete every scratch table made for it."""
+    _open.append([])
+    try:
+        out = stored(make(), label)
+    finally:
+        made = _open.pop()
+    keep = made.pop()
+    for path in made:
+        remove(out.sparkSession, path)
+    (_open[-1] if _open else _kept).append(keep)
+    return out
+
+
+def _bare(path: str) -> str:
+    """A path without the ways to write its scheme."""
+    return re.sub("^file:/*", "/", path)
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete the tables that results still read when the program ends; without a session there is no way to."""
+    spark = SparkSession.getActiveSession()
+    if spark:
+        with contextlib.suppress(Exception):
+            for path in _kept:
+                remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -323,7 +323,7 @@ def similar(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
                 )
 
     # The same plan at any size: texts are shuffled by id, and the few rows wanted are the hashed side.
-    sets = stored(docs.join(need.hint("shuffle_hash"), F.col("id") == F.col("nid")).select("id", "text", "numbers").mapInArrow(read, "at long, words binary"), "lines-sets", heavy=True)
+    sets = stored(docs.join(need.hint("shuffle_hash"), F.col("id") == F.col("nid")).select("id", "text", "numbers").mapInArrow(read, "at long, words binary"), "lines-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (batch.slice(lo, 512) for batch in batches for lo in range(0, batch.num_rows, 512)):
@@ -347,16 +347,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     rarity = spark.sparkContext.broadcast(classes(counts))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select("id", "text").mapInArrow(packed_entries(rarity, buckets), "bucket int, payload binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(candidates, FOUND_DDL), "lines-found", heavy=True)
+    found = stored(packed.groupBy("bucket").applyInArrow(candidates, FOUND_DDL), "lines-found")
     gone = stored(found.filter("later IS NOT NULL AND earlier IS NULL").select("later").distinct(), "lines-gone")
     pairs = stored(found.filter("earlier IS NOT NULL").select("later", "earlier").distinct().join(gone, "later", "left_anti"), "lines-pairs")
-    gone = gone.union(stored(similar(pairs, docs, rarity), "lines-gone", heavy=True))
+    gone = gone.union(stored(similar(pairs, docs, rarity), "lines-gone"))
     again = found.filter("record IS NOT NULL").select("word", "at", "record")
     if not is_empty(again):
         left = again.join(gone.distinct().withColumn("hit", F.lit(True)), F.col("at") == F.col("later"), "left")
         left = left.select("word", "record", F.col("hit").isNull().alias("live"))
         more = stored(left.groupBy("word").applyInArrow(rest_of_word, "later long, earlier long").distinct().join(pairs, ["later", "earlier"], "left_anti"), "lines-pairs")
-        gone = gone.union(stored(similar(more, docs, rarity), "lines-gone", heavy=True))
+        gone = gone.union(stored(similar(more, docs, rarity), "lines-gone"))
     return gone.select(F.col("later").alias("at")).distinct()
 
 

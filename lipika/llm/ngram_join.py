@@ -402,7 +402,7 @@ def relabelled(label: DataFrame | None, edges: DataFrame) -> DataFrame:
 def _components(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     everything = signed(docs, frequent_cells(docs), percent, buckets).groupBy("bucket").applyInArrow(meetings, JOINED_DDL)
-    everything = stored(everything, "ngram-joined", heavy=True)
+    everything = stored(everything, "ngram-joined")
     rows = everything.filter("node IS NOT NULL")
     met = everything.filter("member IS NOT NULL").select("entry", "hub", F.col("member").alias("node"))
     classes = stored(
@@ -416,11 +416,11 @@ def _components(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame
 
     def compare(pairs: DataFrame) -> DataFrame:
         """Links among the pairs."""
-        good = stored(promising(pairs, classes, percent), "ngram-pairs", heavy=True)
+        good = stored(promising(pairs, classes, percent), "ngram-pairs")
         wanted = good.select(F.col("a").alias("node")).union(good.select("b")).distinct()
         wanted = stored(wanted.join(classes.select("node", F.col("class_id").alias("id")), "node"), "ngram-wanted")
-        members = stored(full_sets(docs, wanted), "ngram-sets", heavy=True)
-        return stored(verified(good, members, percent), "ngram-edges", heavy=True)
+        members = stored(full_sets(docs, wanted), "ngram-sets")
+        return stored(verified(good, members, percent), "ngram-edges")
 
     def open_entries(at: DataFrame, label: DataFrame) -> DataFrame:
         """(entry, node, comp, n, k) of entries whose nodes are not all connected yet."""

@@ -3,9 +3,10 @@
 1. Executors tokenise whole texts and cut only what is longer than a sequence; every piece becomes one row.
 2. The histogram of piece lengths (at most ``size`` rows) is all that the driver gets. A configuration is a multiset of
    lengths that fits a sequence. Multiplicative weights approximate the configuration program: each length has a dual
-   price, a knapsack dynamic program prices out the best configuration, and the prices of the lengths it covers fall
-   by a factor. Rounding takes whole multiples of the configurations found, fullest first; what is left is priced out
-   the same way with the lengths as prices, and the last sequences are filled best fit.
+   price that falls with its coverage, and a knapsack dynamic program prices out, for every length that is behind, the
+   best configuration with it. Rounding takes the whole multiples of the solution and one more by the fraction's
+   chance, as far as pieces are left; the program of what is left is solved and rounded again, PASSES times. The few
+   pieces that then remain are taken by the same knapsack at the last prices.
 3. Pieces are numbered within their length by counts per (length, bucket), never by a window over a length, and the
    plan, whose size depends on ``size`` and not on the documents, turns (length, number) into (sequence, offset).
 
@@ -28,11 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lipika.llm.common import stored, table
+from lipika.llm.common import stored, table, tidied
 
 SIZE = 1024
 END_ID = 2
-ROUNDS = 600
+PASSES, ROUNDS = 10, 24
+#: Prices fall by exp(-ETA) for a coverage of one; PART of a length's count is covered at a time, and a length LEAD ahead waits.
+ETA, PART, LEAD = 0.5, 0.34, 3.0
+#: Configurations priced this close to the best one count as best.
+NEAR = 0.02
+SEED = 1
 BUCKET = 50_000
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,8 +47,9 @@ class Encoder:
     """Text to the little-endian uint32 bytes of its ids.
 
     The ids are those of the byte-level BPE file at ``path``. Where its merges stand in the order of the ids they make,
-    they are ranks, which a faster library applies to the file's own vocabulary with the same ids; any other file, and
-    a text which that library cannot split, goes through the file's own library.
+    they are ranks, which a faster library applies to the file's own vocabulary with the same ids; any other file, a
+    text which that library cannot split, and a text that spells one of the file's added tokens go through the file's
+    own library.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -52,7 +59,7 @@ class Encoder:
 
         self.end = np.array([end_id], "<u4").tobytes()
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -67,7 +74,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         ids = None
-        if self.quick:
+        if self.quick and not any(t in text for t in self.added):
             with contextlib.suppress(Exception):  # a run of white space too long for its pattern library
                 ids = self.quick(text)
         if ids is None:
@@ -116,107 +123,98 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"]).mapInArrow(run, schema)
 
 
-def best_configuration(price: np.ndarray, capacity: int, most: np.ndarray) -> dict[int, int]:
-    """Knapsack: the multiset of lengths within ``capacity`` of the highest price, with at most ``most[l]`` of each.
-
-    ``price[l]`` is for length l (index 0 unused). The dynamic program is unbounded; a length that it uses too often is
-    fixed at its bound and the rest of the capacity is priced again without it.
-    """
-    chosen: dict[int, int] = {}
-    price = np.where(most > 0, price, -1.0)
-    while capacity > 0:
-        best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-        for c in range(1, capacity + 1):
-            m = min(c, len(price) - 1)
-            value = best[c - 1 :: -1][:m] + price[1 : m + 1]
-            i = int(value.argmax())
-            if value[i] > best[c - 1]:
-                best[c], take[c] = value[i], i + 1
-            else:
-                best[c] = best[c - 1]
-        found: dict[int, int] = {}
-        c = capacity
-        while c > 0:
-            if take[c]:
-                found[int(take[c])] = found.get(int(take[c]), 0) + 1
-                c -= int(take[c])
-            else:
-                c -= 1
-        over = {l: int(most[l]) for l, a in found.items() if a > most[l]}
-        if not over:
-            for l, a in found.items():
-                chosen[l] = chosen.get(l, 0) + a
-            return chosen
-        for l, a in over.items():
-            chosen[l] = chosen.get(l, 0) + a
-            capacity -= l * a
-            price[l] = -1.0
-    return chosen
-
-
-def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, eta: float = 0.5, part: float = 0.2) -> list[tuple[dict[int, int], int]]:
-    """(configuration, sequences) that hold every piece of the histogram exactly once."""
+class Knapsack:
+    """The highest price of any capacity, with at most ``count[l]`` of length l: a 0/1 dynamic program over powers of two."""
+
+    def __init__(self, price: np.ndarray, count: np.ndarray, size: int):
+        self.items: list[tuple[int, int]] = []
+        for l in np.flatnonzero((price > 0) & (count > 0)).tolist():
+            left, m = min(int(count[l]), size // l), 1
+            while left:
+                m = min(m, left)
+                self.items.append((l, m))
+                left, m = left - m, 2 * m
+        self.best = np.zeros(size + 1)
+        self.took = np.zeros((len(self.items), size + 1), bool)
+        for i, (l, m) in enumerate(self.items):
+            w = l * m
+            more = self.best[: size + 1 - w] + price[l] * m
+            hit = more > self.best[w:]
+            self.took[i, w:] = hit
+            self.best[w:] = np.where(hit, more, self.best[w:])
+
+    def configurations(self, capacity: np.ndarray) -> list[dict[int, int]]:
+        """The best one of each capacity."""
+        room, found = capacity.copy(), [{} for _ in capacity]
+        for i in range(len(self.items) - 1, -1, -1):
+            hit = np.flatnonzero(self.took[i, room])
+            if len(hit):
+                l, m = self.items[i]
+                room[hit] -= l * m
+                for j in hit.tolist():
+                    found[j][l] = found[j].get(l, 0) + m
+        return found
+
+
+def program(count: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], np.ndarray]:
+    """(configuration -> sequences, prices) that cover ``count`` pieces of each length, by multiplicative weights."""
+    lengths, length = np.flatnonzero(count), np.arange(size + 1, dtype=float)
+    per, cover, x, price = np.maximum(count, 1), np.zeros(size + 1), {}, length
+    for _ in range(rounds):
+        share = cover / per
+        ahead = share - share[lengths].min()
+        price = length * np.where((count > 0) & (ahead <= LEAD), np.exp(-ETA * ahead), 0.0)
+        best = Knapsack(price, count, size)
+        first = lengths[np.argsort(share[lengths], kind="stable")]
+        first = first[price[first] + best.best[size - first] >= (1 - NEAR) * best.best[size]]
+        # Prices hold for a round, in which no length may be covered by more than twice PART.
+        room = cover + 2 * PART * count
+        for l, c in zip(first.tolist(), best.configurations(size - first), strict=True):
+            c[l] = c.get(l, 0) + 1
+            step = PART * min(count[k] / a for k, a in c.items())
+            if c[l] > count[l] or cover[l] > room[l] - PART * count[l] or any(cover[k] + a * step > room[k] for k, a in c.items()):
+                continue
+            key = tuple(sorted(c.items()))
+            x[key] = x.get(key, 0.0) + step
+            for k, a in c.items():
+                cover[k] += a * step
+    scale = (length * count).sum() / max((length * cover).sum(), 1e-9)
+    return {c: v * scale for c, v in x.items()}, price
+
+
+def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, passes: int = PASSES) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(configuration, sequences) that hold every piece of the histogram exactly once, and how many pieces the rounded program left over."""
     left = np.zeros(size + 1, np.int64)
     for l, n in histogram.items():
         left[l] = n
     out: list[tuple[dict[int, int], int]] = []
-    if left[size]:
-        out.append(({size: 1}, int(left[size])))
-        left[size] = 0
-    total, demand = left.copy(), np.maximum(left, 1).astype(float)
-    length = np.arange(size + 1, dtype=float)
-    # Of configurations equally full, the one with long pieces comes first: short ones fit anywhere later.
-    price = length * (1 + 0.05 * length / size)
-    # The program by multiplicative weights: prices start at the lengths, covered lengths get cheaper.
-    weight, x = np.ones(size + 1), {}
-    for _ in range(rounds if (total > 0).sum() > 1 else 0):
-        c = best_configuration(price * weight, size, total)
-        if not c:
-            break
-        step = part * min(demand[l] / a for l, a in c.items())
-        key = tuple(sorted(c.items()))
-        x[key] = x.get(key, 0.0) + step
-        for l, a in c.items():
-            weight[l] *= np.exp(-eta * a * step / demand[l])
-    cover = np.zeros(size + 1)
-    for key, v in x.items():
-        for l, a in key:
-            cover[l] += a * v
-    scale = np.minimum(1.0, demand / np.maximum(cover, 1e-9))
-    # Rounding: whole multiples, no length beyond its count, fullest configurations first.
-    for key, v in sorted(x.items(), key=lambda kv: (-sum(l * a for l, a in kv[0]), kv[0])):
-        k = int(min([v * min(scale[l] for l, _ in key), *(left[l] // a for l, a in key)]))
-        if k and sum(l * a for l, a in key) == size:
-            out.append((dict(key), k))
-            for l, a in key:
-                left[l] -= a * k
-    # What is left: the same pricing, bounded by the pieces that are left.
-    while (left > 0).any():
-        if left.sum() <= 2 * size:
-            out += best_fit(left, size)
-            break
-        c = best_configuration(price, size, left)
-        k = max(1, int(min(left[l] // a for l, a in c.items())))
+
+    def take(c: dict[int, int], k: int) -> None:
         out.append((c, k))
         for l, a in c.items():
             left[l] -= a * k
-    return out
 
-
-def best_fit(left: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
-    """Longest first, each into the fullest sequence that still holds it."""
-    rooms: list[int] = []
-    packs: list[dict[int, int]] = []
-    for l in range(size, 0, -1):
-        for _ in range(int(left[l])):
-            fit = min((i for i, r in enumerate(rooms) if r >= l), key=lambda i: rooms[i], default=None)
-            if fit is None:
-                rooms.append(size)
-                packs.append({})
-                fit = len(rooms) - 1
-            rooms[fit] -= l
-            packs[fit][l] = packs[fit].get(l, 0) + 1
-    return [(p, 1) for p in packs]
+    if left[size]:
+        take({size: 1}, int(left[size]))
+    length, rng = np.arange(size + 1, dtype=float), np.random.default_rng(SEED)
+    # Of configurations equally full, the one with long pieces comes first: short ones fit anywhere later.
+    price = length * (1 + 0.05 * length / size)
+    for turn in range(passes if rounds else 0):
+        if not left.any():
+            break
+        x, price = program(left, size, rounds)
+        fill = {c: sum(l * a for l, a in c) for c in x}
+        least = sum(fill[c] * v for c, v in x.items()) / max(sum(x.values()), 1e-9) - 1 - turn * turn
+        for c, v in sorted(x.items(), key=lambda cv: (-cv[1], cv[0])):
+            if fill[c] >= least:  # emptier ones wait for a later pass
+                k = min(int(v) + int(rng.random() < v - int(v)), *(int(left[l]) // a for l, a in c))
+                if k:
+                    take(dict(c), k)
+    over = int(left.sum())
+    while left.any():
+        c = Knapsack(np.maximum(price, 1e-6 * length), left, size).configurations(np.array([size]))[0]
+        take(c, max(1, min(int(left[l]) // a for l, a in c.items())))
+    return out, over
 
 
 def _places(made: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
@@ -239,7 +237,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     cut = stored(cut, "pack-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
     buckets = max(1, -(-sum(histogram.values()) // BUCKET))
-    places = _places(plan(histogram, size))
+    places = _places(plan(histogram, size)[0])
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(buckets)))
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -264,6 +262,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     return numbered.mapInArrow(place, schema)
 
 
+@tidied
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     columns = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
     return pack(pieces(docs, id_col, text_col, size, tokenizer, with_ids), size).withColumnRenamed("id", id_col).select(columns)

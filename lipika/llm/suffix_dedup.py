@@ -263,12 +263,12 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
     """(at, length) of covered bytes; ``docs`` has id and text, neither null."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.mapInArrow(packed_anchors(buckets), "bucket int, payload binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(spans_of_bucket, FOUND_DDL), "suffix-found", heavy=True)
+    found = stored(packed.groupBy("bucket").applyInArrow(spans_of_bucket, FOUND_DDL), "suffix-found")
     edges = found.filter("gram IS NOT NULL")
     wanted = edges.groupBy(F.shiftright("at", START_BITS).alias("wid")).agg(F.collect_list(F.struct("at", "gram", "off", "run")).alias("wanted"))
     bytes_ = docs.join(stored(wanted, "suffix-wanted"), F.col("id") == F.col("wid")).select("id", "text", "wanted")
     more = bytes_.mapInArrow(edge_bytes(buckets), "bucket int, payload binary").groupBy("bucket").applyInArrow(covered_edges, "at long, length long")
-    more = stored(more, "suffix-edges", heavy=True)
+    more = stored(more, "suffix-edges")
     return found.filter("length IS NOT NULL").select("at", F.col("length").cast("long").alias("length")).union(more)
 
 
