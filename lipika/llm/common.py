@@ -143,6 +143,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets to deal packed rows of ``df`` into: by its size in bytes as the planner knows it, some for each shuffle partition at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 50 else min(max(least, size >> 24), 1 << 30)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the fast built-in; other text maps just the 26 letters."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

@@ -56,7 +56,7 @@ def lines(docs):
         for _, e in every[:n]:
             both = len(s & e)
             near = 4 * both >= 3 * (len(s) + len(e) - both)
-            if s and (s == e or near and min(len(s), len(e)) >= 5):
+            if s and near:
                 gone[place[0]].add(place[1])
                 break
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in docs}

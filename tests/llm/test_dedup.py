@@ -116,10 +116,11 @@ def test_one_of_each(docs, unique_rows):
     assert out.columns == docs.columns and sorted({r["doc_id"] for r in out.select("doc_id").collect()}) == want
 
 
-@pytest.mark.parametrize("dense", [8, 0])
-def test_lines(docs, rows, unique_rows, nothing, monkeypatch, dense):
-    monkeypatch.setattr(line_dedup, "DENSE", dense)
-    monkeypatch.setattr(line_dedup, "PAIRS", 7)
+@pytest.mark.parametrize("dense,most", [(8, 10**7), (0, 10**7), (8, 0)])
+def test_lines(docs, rows, unique_rows, nothing, monkeypatch, dense, most):
+    """Also with every word treated as dense, and with blocks of a few lines."""
+    for name, value in (("DENSE", dense), ("MOST", most), ("PAIRS", 7), ("LATER", 3), ("EARLIER", 4)):
+        monkeypatch.setattr(line_dedup, name, value)
     want = brute.lines([r[:2] for r in unique_rows])
     out = line_dedup.without_repeated_lines(docs)
     assert out.columns == docs.columns
@@ -128,10 +129,53 @@ def test_lines(docs, rows, unique_rows, nothing, monkeypatch, dense):
     assert line_dedup.without_repeated_lines(nothing).count() == 0
 
 
+def near_lines(seed=4, families=12, each=9):
+    """Lines of 1 to 20 words in families under common words: chains of changes just above and below the threshold."""
+    rng, rows = random.Random(seed), []
+    for _ in range(families):
+        base = ["the", "of", *(f"w{rng.randrange(30)}" for _ in range(rng.randint(0, 18)))]
+        for _ in range(each):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(["new", "old", f"v{rng.randrange(9)}"])
+            rows.append(" ".join(w[: rng.randint(1, len(w))]))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("dense", [8, 0])
+def test_near_lines(spark, monkeypatch, dense):
+    monkeypatch.setattr(line_dedup, "DENSE", dense)
+    monkeypatch.setattr(line_dedup, "EARLIER", 16)
+    lines = near_lines()
+    rows = [(2**62 + i if i % 2 else -(2**62) - i, "\n".join(lines[6 * i : 6 * i + 6])) for i in range(len(lines) // 6)]
+    got = {r[0]: r[1] for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(5)).collect()}
+    assert got == brute.lines(rows)
+
+
+def test_a_line_with_a_changing_number_costs_its_count():
+    """No word's pairs are made in full: of 20,000 lines that are all alike each meets a few."""
+    import pyarrow as pa
+
+    lines = pa.array([f"page {i} of the report about the weather in the north of the town by night" for i in range(20_000)])
+    counts = np.bincount((line_dedup.word_hashes(lines)[0] & np.uint64(line_dedup.CELLS - 1)).astype(np.int64), minlength=line_dedup.CELLS)
+    entries, _ = line_dedup.entries_of(lines, np.arange(20_000), np.zeros(20_000, np.int64), line_dedup.classes(counts))
+    out = line_dedup.candidates(pa.table({"bucket": pa.array([0], pa.int32()), "payload": pa.array([entries.tobytes()], pa.binary())}))
+    pairs = out.filter(pa.compute.is_valid(out["eid"]))
+    assert len(set(pairs["id"].to_pylist())) == 19_999 and len(pairs) <= 3 * line_dedup.FIRST * 20_000
+
+
+def test_a_very_long_text_of_lines(spark):
+    """Very many lines in one text: one pass, no cost of lines times removed lines."""
+    text = "\n".join(f"line {i % 1000} x" for i in range(300_000))
+    got = line_dedup.without_repeated_lines(spark.createDataFrame([(1, text)], "doc_id LONG, text STRING"), digest=True).first()
+    assert got[1:3] == (300_000, 299_000) and got[3] == hashlib.sha256("\n".join(f"line {i} x" for i in range(1000)).encode()).hexdigest()
+
+
 def test_lines_with_null_ids(spark):
-    df = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (1, "A b c d e f"), (3, "x\nx"), (4, "x y")], "doc_id LONG, text STRING")
+    df = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (1, "A b c d e f"), (3, "x\nx"), (4, "x y"), (5, "p q r"), (6, "q p r s")], "doc_id LONG, text STRING")
     got = {r[0]: r[1] for r in line_dedup.without_repeated_lines(df).collect()}
-    assert got == {None: "a b c d e", 1: "A b c d e f", 2: "", 3: "x", 4: "x y"}
+    assert got == {None: "a b c d e", 1: "A b c d e f", 2: "", 3: "x", 4: "x y", 5: "p q r", 6: ""}
 
 
 def test_line_sql(spark, sf, unique_rows, docs):
