@@ -150,6 +150,22 @@ def bucket_count(df: DataFrame) -> int:
     return least if size >= 1 << 50 else min(max(least, size >> 24), 1 << 30)
 
 
+def in_blocks(mine: DataFrame, theirs: DataFrame, keys: list[str], row: list[str], n: int, m: int) -> DataFrame:
+    """Both tables' rows, told apart by ``mine``, with a part and a block: each pair of rows of equal keys is in one (keys, part, block).
+
+    There are about ``n`` rows of the first and ``m`` of the second table in each, whatever the number of rows of a key.
+    Both have the same columns; rows are dealt by their columns ``row``.
+    """
+    count = lambda df, k, name: df.groupBy(keys).agg(F.ceil(F.count("*") / k).cast("int").alias(name))
+    deal = count(mine, n, "parts").join(count(theirs, m, "blocks"), keys)
+    own = lambda k: F.pmod(F.xxhash64(*row), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    a = mine.join(deal, keys).withColumn("part", own("parts")).withColumn("block", every("blocks")).withColumn("mine", F.lit(True))
+    b = theirs.join(deal, keys).withColumn("block", own("blocks")).withColumn("part", every("parts")).withColumn("mine", F.lit(False))
+    names = [*mine.columns, "part", "block", "mine"]
+    return a.select(names).unionByName(b.select(names))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the fast built-in; other text maps just the 26 letters."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

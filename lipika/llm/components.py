@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lipika.llm.common import stored
 
-TASK_EDGES = 500_000
+TASK_EDGES = 20_000
 
 
 def joined(part: pa.Table) -> pa.Table:

@@ -8,8 +8,10 @@ m - u segments. Cost-based allocation decides which are indexed:
   (a count of all shingles in CELLS cells says which are), frequent ones late, empty ones last, ties by hash. A set indexes only
   the first u + 1 segments of that order; under a common order any pair in question meets in one of them. So the
   costly segments, those that many sets share, get no allocation.
-* In bands where one segment with its one-deletion neighbourhood costs fewer index entries than that, the whole set is
-  the segment: it and the sets that lack one element are indexed, and pairs that differ in one element meet.
+* Or a band has d = u / 2 + 1 segments: a pair differs by at most one shingle in one of them, so each segment is indexed
+  with its one-deletion neighbourhood. That is more entries, but of longer segments, none of which may be left out.
+* The costs come from the counts: the share of shingles that are frequent, and how often those occur, say how many
+  entries of either kind a band's sets would be forced to share with strangers. The cheaper kind is allocated.
 
 Sets of equal content are one node before anything is compared. Sets that meet in an entry are compared with the
 entry's first set, exactly, on their full sets; components are formed; then members of an entry that are still in
@@ -17,7 +19,8 @@ different components are compared with each other, until every pair that meets i
 pairs are made within what is already connected, so a group of near copies costs its size and not its square.
 
 Defined results. Null and empty texts have size 0 and are linked with nothing. Texts of fewer words than a shingle are
-one shingle. Equal texts, also under a repeated id, are linked. Null ids are ignored (no row). Empty tables: no rows.
+one shingle. Equal texts, also under a repeated id, are linked. A null id has a row, links like others and is never the
+smallest id unless all that it reaches are null. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import is_empty, stored, table
+from lipika.llm.common import bucket_count, in_blocks, is_empty, stored, table, tidied
 from lipika.llm.components import connected_components
 from lipika.llm.counting import cell_counts
 from lipika.llm.shingles import digest, links, mix, sets, shingles
@@ -42,15 +45,13 @@ CELLS = 1 << 20
 FIRST_BAND, GROWTH = 5, 3
 #: Entries with at most so many sets are compared in full at once; larger ones through HUBS of them first.
 SMALL, HUBS = 48, 8
-#: Sets that a task compares with all others of a group, and pairs that it looks at together.
-PART, STRIP = 512, 4096
+#: Sets that one task compares with how many others of a group, and pairs that it looks at together.
+PART, OTHERS, STRIP = 1024, 8192, 4096
 PROFILE = 256
 #: Entries that a task holds before they go out.
 RUN = 1_000_000
 #: Segments that are made at a time.
 SEGMENTS = 500_000
-#: What an entry met by chance costs, in entries.
-DRAG = 4
 BLOCK = 2 << 20
 
 
@@ -60,17 +61,23 @@ def most_different(n: np.ndarray, top: np.ndarray, percent: int) -> np.ndarray:
     return (n + top) * (100 - percent) // (100 + percent)
 
 
-def bands(largest: int, percent: int = PERCENT) -> list[tuple[int, int, int, bool]]:
-    """(low, high, segments, by deletions) up to the size ``largest``."""
+def bands(largest: int, percent: int = PERCENT, share: float = 0.0, load: float = 0.0) -> list[tuple[int, int, int, int]]:
+    """(low, high, segments, segments with deletions or 0) up to the size ``largest``.
+
+    ``share`` of the shingles are frequent, and those occur ``load`` times: what an entry costs that only they make up.
+    """
     out, low, high = [], 1, FIRST_BAND
     while low <= max(largest, 1):
-        u = int(most_different(np.array([high]), np.array([high]), percent)[0])
-        wide = int(most_different(np.array([high]), np.array([high * 100 // percent]), percent)[0])
-        m = max(wide + 1, high // 2)
-        # One segment with deletions: high + 1 entries, and it covers a difference of one. Segments: u + 1 entries, but
-        # of high / m shingles each, so short that sets meet by chance; an entry met by chance costs about DRAG entries.
-        deletions = u <= 1 and high + 1 <= (u + 1) * DRAG
-        out.append((low, high, m, deletions))
+        different = lambda n, top: int(most_different(np.array([n]), np.array([top]), percent)[0])  # noqa: E731, B023
+        m = max(different(high, high * 100 // percent) + 1, high // 2)
+        d = different(high, high) // 2 + 1
+        # The band's smallest sets that link with others at all are the ones that run out of segments.
+        n = next((n for n in range(low, high) if different(n, high)), high)
+        k = different(n, high) + 1
+        rare = m * (1 - (1 - 1 / m) ** n) * (1 - share ** max(1.0, n / m))
+        plain = k + load * max(0.0, k - rare)
+        deletions = n + d + load * (d * (1 - 1 / d) ** n + (n + d) * share ** max(1.0, n / d - 1))
+        out.append((low, high, m, d if deletions < plain else 0))
         low, high = high + 1, high * GROWTH
     return out
 
@@ -78,19 +85,22 @@ def bands(largest: int, percent: int = PERCENT) -> list[tuple[int, int, int, boo
 class Signer:
     """Index entries of sets."""
 
-    def __init__(self, frequent: np.ndarray, percent: int = PERCENT):
-        self.frequent, self.percent, self.bands = frequent, percent, bands(1 << 20, percent)
+    def __init__(self, frequent: np.ndarray, percent: int = PERCENT, share: float = 0.0, load: float = 0.0):
+        self.frequent, self.percent, self.counts = frequent, percent, (share, load)
+        self._grow(1 << 20)
+
+    def _grow(self, largest: int) -> None:
+        self.bands = bands(largest, self.percent, *self.counts)
         self.high = np.array([b[1] for b in self.bands])
 
     def entries(self, group: list[np.ndarray]) -> list[np.ndarray]:
         """Entries of each set; sorted within a band."""
         sizes = np.array([len(s) for s in group])
         while len(group) and sizes.max() > self.high[-1]:
-            self.bands = bands(int(self.high[-1]) * GROWTH, self.percent)
-            self.high = np.array([b[1] for b in self.bands])
+            self._grow(int(self.high[-1]) * GROWTH)
         own = np.searchsorted(self.high, sizes)
         out: list[list[np.ndarray]] = [[] for _ in group]
-        for b, (low, high, m, deletions) in enumerate(self.bands):
+        for b, (low, high, m, d) in enumerate(self.bands):
             # As a band's own set, or as the smaller partner of one of the band's sets.
             mine = np.flatnonzero((sizes > 0) & ((own == b) | ((own == b - 1) & (sizes * 100 // self.percent >= low))))
             if not len(mine):
@@ -102,19 +112,33 @@ class Signer:
             if not len(mine):
                 continue
             salt = np.uint64((b + 1) * 0xD6E8FEB86659FD93 % 2**64)
-            if deletions:
-                for i in mine:
-                    full = group[i].sum(dtype=np.uint64)
-                    # Bit 63 stays clear for MORE.
-                    out[i].append(mix(np.concatenate([[full], full - group[i]]) ^ salt) >> np.uint64(1))
-                continue
-            step = min(2048, max(1, SEGMENTS // m))
+            step = min(2048, max(1, SEGMENTS // (d or m)))
             for lo in range(0, len(mine), step):
                 part = mine[lo : lo + step]
-                for i, e in zip(part, self._segments([group[i] for i in part], u[lo : lo + step], m, salt), strict=True):
+                sets_ = [group[i] for i in part]
+                made = self._neighbourhoods(sets_, d, salt) if d else self._segments(sets_, u[lo : lo + step], m, salt)
+                for i, e in zip(part, made, strict=True):
                     out[i].append(e)
         return [np.concatenate(o) if o else np.zeros(0, np.uint64) for o in out]
 
+    def _neighbourhoods(self, group: list[np.ndarray], d: int, salt: np.uint64) -> list[np.ndarray]:
+        """Every segment, and every segment without one of its shingles."""
+        k, n = len(group), np.array([len(s) for s in group])
+        of = np.repeat(np.arange(k), n)
+        spread = mix(np.concatenate(group) ^ salt)
+        segment = ((spread >> np.uint64(32)) * np.uint64(d) >> np.uint64(32)).astype(np.int64)
+        code = of * d + segment
+        order = np.argsort(code, kind="stable")
+        used, first = np.unique(code[order], return_index=True)
+        total = np.zeros(k * d, np.uint64)
+        total[used] = np.add.reduceat(mix(spread)[order], first)
+        tag = mix(np.arange(d, dtype=np.uint64) ^ salt)
+        # Bit 63 stays clear for MORE.
+        whole = (mix(total ^ np.tile(tag, k)) >> np.uint64(1)).reshape(k, d)
+        less = mix((total[code] - mix(spread)) ^ tag[segment]) >> np.uint64(1)
+        ends = np.cumsum(n)
+        return [np.concatenate([whole[i], less[ends[i] - n[i] : ends[i]]]) for i in range(k)]
+
     def _segments(self, group: list[np.ndarray], u: np.ndarray, m: int, salt: np.uint64) -> list[np.ndarray]:
         k = len(group)
         flat = np.concatenate(group)
@@ -136,11 +160,13 @@ class Signer:
         return [names[i * m : i * m + min(int(u[i]) + 1, m)] for i in range(k)]
 
 
-def frequent_cells(docs: DataFrame) -> np.ndarray:
-    """Which of CELLS cells of shingle hashes hold clearly more than their share, over all rows."""
+def frequent_cells(docs: DataFrame) -> tuple[np.ndarray, float, float]:
+    """(which of CELLS cells of shingle hashes hold clearly more than their share, the share of shingles in them, how many a cell of theirs holds), over all rows."""
     total = cell_counts(docs.select("text"), lambda column: (shingles(t)[0] for _, t in slices(column, BLOCK)), CELLS)
     mean = total.mean()
-    return total > mean + 3 * np.sqrt(mean) + 4
+    frequent = total > mean + 3 * np.sqrt(mean) + 4
+    held = total[frequent].astype(float)
+    return frequent, float(held.sum() / max(total.sum(), 1)), float((held**2).sum() / max(held.sum(), 1))
 
 
 def profile(members: np.ndarray) -> bytes:
@@ -158,8 +184,12 @@ ENTRY = np.dtype([("entry", "<u8"), ("node", "<i8")])
 MEETING = np.dtype([("entry", "<i8"), ("hub", "<i8"), ("node", "<i8")])
 #: Set in an entry whose node stands for more nodes that met it before the exchange; clear in every entry's own name.
 MORE = np.uint64(1 << 63)
-SIGNED_DDL = "bucket int, payload binary, id long, n long, node long, name binary, profile binary"
-JOINED_DDL = "id long, n long, node long, name binary, profile binary, entry long, hub long, member long"
+MET_DDL = "entry long, hub long, member long"
+
+
+def number(name: bytes) -> int:
+    """The 64 bits of a set's name that stand for it in entries."""
+    return int.from_bytes(name[:8], "little", signed=True)
 
 
 def _meet(entry: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,19 +206,22 @@ def _meet(entry: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return entry, node, head, hub
 
 
-def signed(docs: DataFrame, frequent: np.ndarray, percent: int, buckets: int) -> DataFrame:
-    """Rows of three kinds for one exchange: documents (bucket < 0), entries packed by bucket, and meetings.
+def signed(docs: DataFrame, counts: tuple[np.ndarray, float, float], percent: int, buckets: int) -> DataFrame:
+    """Rows of three kinds: documents (with a name), entries packed by bucket, and meetings (a payload without a bucket).
 
-    Nodes that share an entry within a run of documents meet before the exchange: only the first goes on under that
-    entry, marked with MORE, so that an entry of a third of all documents still sends one row per run.
+    Nodes that share an entry within a run of documents meet here: only the first goes on under that entry, marked with
+    MORE, so that an entry of a third of all documents still sends one row per run.
     """
+    frequent, *rest = counts
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(np.unpackbits(shared.value, count=CELLS).astype(bool), percent)
-        turn, held, size = 0, [], 0
+        signer = Signer(np.unpackbits(shared.value, count=CELLS).astype(bool), percent, *rest)
+        held, size = [], 0
+        names = ["bucket", "payload", "id", "key", "n", "node", "name", "profile"]
 
-        def flush() -> pa.RecordBatch:
+        def flush(id_type: pa.DataType) -> pa.RecordBatch:
             entry, node, head, hub = _meet(np.concatenate([e for e, _ in held]), np.concatenate([n for _, n in held]))
             met = np.zeros(int((~head).sum()), MEETING)
             met["entry"], met["hub"], met["node"] = entry[~head].view(np.int64), hub[~head], node[~head]
@@ -199,74 +232,67 @@ def signed(docs: DataFrame, frequent: np.ndarray, percent: int, buckets: int) ->
             bucket = (entry[first] % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             out, bucket = out[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(b, out[ends[b] : ends[b + 1]].tobytes()) for b in range(buckets) if ends[b + 1] > ends[b]]
-            if len(met):
-                rows.append((-1 - turn % buckets, met.tobytes()))
-            nothing = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), nothing, nothing, nothing, *[pa.nulls(len(rows), pa.binary())] * 2],
-                ["bucket", "payload", "id", "n", "node", "name", "profile"],
-            )
+            used, first = np.unique(bucket, return_index=True)
+            rows = [(b, out[i:j].tobytes()) for b, i, j in zip(used.tolist(), first, np.append(first[1:], len(out)), strict=True)]
+            rows += [(None, met[i : i + RUN].tobytes()) for i in range(0, len(met), RUN)]
+            k = len(rows)
+            nothing = [pa.nulls(k, id_type), *[pa.nulls(k, pa.int64())] * 3, *[pa.nulls(k, pa.binary())] * 2]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *nothing], names)
 
         for b in batches:
-            ids = b.column(0)
+            ids, keys = b.column(0), b.column(2)
             for first, texts in slices(b.column(1), BLOCK):
                 group = list(sets(texts))
-                names = [digest(s) for s in group]
-                nodes = np.array([int.from_bytes(x[:8], "little", signed=True) for x in names], np.int64)
-                turn += 1
+                named = [digest(s) for s in group]
+                nodes = np.array([number(x) for x in named], np.int64)
                 k = len(group)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(k, -1 - turn % buckets, np.int32)), pa.nulls(k, pa.binary()), ids[first : first + k],
-                        pa.array([len(s) for s in group], pa.int64()), pa.array(nodes), pa.array(names, pa.binary()),
+                        pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), ids[first : first + k], keys[first : first + k],
+                        pa.array([len(s) for s in group], pa.int64()), pa.array(nodes), pa.array(named, pa.binary()),
                         pa.array([profile(s) for s in group], pa.binary()),
                     ],
-                    ["bucket", "payload", "id", "n", "node", "name", "profile"],
+                    names,
                 )
-                once = np.unique(nodes, return_index=True)[1]
+                once = list({x: i for i, x in enumerate(named)}.values())
                 entries = signer.entries([group[i] for i in once])
                 held.append((np.concatenate(entries), np.repeat(nodes[once], [len(e) for e in entries])))
                 size += len(held[-1][0])
                 if size >= RUN:
-                    yield flush()
+                    yield flush(ids.type)
                     held, size = [], 0
         if size:
-            yield flush()
+            yield flush(ids.type)
 
-    return docs.select("id", "text").mapInArrow(run, SIGNED_DDL)
+    return docs.select("id", "text", "key").mapInArrow(run, f"bucket int, payload binary, id {kind}, key long, n long, node long, name binary, profile binary")
+
+
+def before_exchange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The meetings (entry, hub, member) of payloads."""
+    for b in batches:
+        for x in b.column(0):
+            met = np.frombuffer(x.as_buffer(), MEETING)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(met[c]), pa.int64()) for c in ("entry", "hub", "node")], ["entry", "hub", "member"])
 
 
 def meetings(part: pa.Table) -> pa.Table:
-    """Of one bucket: document rows as they are, and (entry, hub, member) for every node after an entry's first.
+    """Of one bucket: (entry, hub, member) for every node after an entry's first.
 
     An entry of exactly two nodes that stand for themselves is done once these are compared: its name stays null.
     """
-    docs = part.filter(pc.is_valid(part["node"])).select(["id", "n", "node", "name", "profile"])
-    rest = part.filter(pc.is_valid(part["payload"]))
-    raw = b"".join(x.as_py() for x in rest["payload"])
-    if part["bucket"][0].as_py() < 0:
-        met = np.frombuffer(raw, MEETING)
-        entry, hub, node = pa.array(met["entry"]), met["hub"], met["node"]
-    else:
-        rows = np.frombuffer(raw, ENTRY)
-        name, node, head, hub = _meet(rows["entry"] & ~MORE, rows["node"])
-        marked = np.unique(rows["entry"][rows["entry"] >= MORE] & ~MORE)
-        size = np.diff(np.concatenate([np.flatnonzero(head), [len(head)]]))[np.cumsum(head) - 1] if len(head) else np.zeros(0, np.int64)
-        done = (size == 2) & ~np.isin(name, marked)
-        duo = np.unique(np.column_stack([hub[done & ~head], node[done & ~head]]), axis=0) if (done & ~head).any() else np.zeros((0, 2), np.int64)
-        more = ~head & ~done
-        entry = pa.concat_arrays([pa.nulls(len(duo), pa.int64()), pa.array(name[more].view(np.int64), pa.int64())])
-        hub, node = np.concatenate([duo[:, 0], hub[more]]), np.concatenate([duo[:, 1], node[more]])
-    k = len(hub)
-    met = pa.table([*[pa.nulls(k, pa.int64())] * 3, *[pa.nulls(k, pa.binary())] * 2, entry, pa.array(hub, pa.int64()), pa.array(node, pa.int64())], names=["id", "n", "node", "name", "profile", "entry", "hub", "member"])
-    for c in ("entry", "hub", "member"):
-        docs = docs.append_column(c, pa.nulls(len(docs), pa.int64()))
-    return pa.concat_tables([docs.cast(met.schema), met])
-
-
-def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = np.frombuffer(b"".join(x.as_py() for x in part["payload"]), ENTRY)
+    name, node, head, hub = _meet(rows["entry"] & ~MORE, rows["node"])
+    marked = np.unique(rows["entry"][rows["entry"] >= MORE] & ~MORE)
+    size = np.diff(np.concatenate([np.flatnonzero(head), [len(head)]]))[np.cumsum(head) - 1] if len(head) else np.zeros(0, np.int64)
+    done = (size == 2) & ~np.isin(name, marked)
+    duo = np.unique(np.column_stack([hub[done & ~head], node[done & ~head]]), axis=0) if (done & ~head).any() else np.zeros((0, 2), np.int64)
+    more = ~head & ~done
+    entry = pa.concat_arrays([pa.nulls(len(duo), pa.int64()), pa.array(name[more].view(np.int64), pa.int64())])
+    hub, node = np.concatenate([duo[:, 0], hub[more]]), np.concatenate([duo[:, 1], node[more]])
+    return pa.table([entry, pa.array(hub, pa.int64()), pa.array(node, pa.int64())], names=["entry", "hub", "member"])
+
+
+def cross_pairs(percent: int):
     """For rows (entry, node, component, n) sorted by entry: pairs of nodes in different components, worth comparing.
 
     Entries of at most SMALL nodes give all of them. In larger ones a node of each of the HUBS largest components meets
@@ -286,39 +312,46 @@ def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hubs.append(own[np.argmin(order[own])])
             a, b = np.repeat(hubs, k), np.tile(np.arange(k), len(hubs))
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        keep = (comp[a] != comp[b]) & (100 * low >= PERCENT * high)
+        keep = (comp[a] != comp[b]) & (100 * low >= percent * high)
         a, b = node[a[keep]], node[b[keep]]
         return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
 
-    held: list[np.ndarray] = []
-    for batch in batches:
-        rows = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
-        rows = np.concatenate([*held, rows]) if held else rows
-        parts = np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1)
-        held = [parts.pop()]
-        got = [group(p[:, 1].copy(), p[:, 2], p[:, 3]) for p in parts if len(p) > 1]
-        if got:
-            yield _pairs(np.unique(np.concatenate(got), axis=0))
-    if held and len(held[0]) > 1:
-        yield _pairs(np.unique(group(held[0][:, 1].copy(), held[0][:, 2], held[0][:, 3]), axis=0))
-
-
-def far_pairs(part: pa.Table) -> pa.Table:
-    """Of nodes (node, comp, n, profile, mine): pairs of one that is mine and any other, in different components, that
-    sizes and profiles do not rule out. Rows of pairs are made and dropped by STRIP, so only the promising ones remain."""
-    node, comp, n = (part[c].to_numpy() for c in ("node", "comp", "n"))
-    cells = np.frombuffer(b"".join(part["profile"].to_pylist()), np.uint8).reshape(-1, PROFILE)
-    mine = np.flatnonzero(part["mine"].to_numpy())
-    out = [np.zeros((0, 2), np.int64)]
-    for i in mine:
-        j = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-        for lo in range(0, len(j), STRIP):
-            k = j[lo : lo + STRIP]
-            shared = at_most_shared(cells[k], cells[i], np.minimum(n[k], n[i]))
-            k = k[100 * shared >= PERCENT * (n[k] + n[i] - shared)]
-            out.append(np.column_stack([np.minimum(node[k], node[i]), np.maximum(node[k], node[i])]))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
+            rows = np.concatenate([*held, rows]) if held else rows
+            parts = np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1)
+            held = [parts.pop()]
+            got = [group(p[:, 1].copy(), p[:, 2], p[:, 3]) for p in parts if len(p) > 1]
+            if got:
+                yield _pairs(np.unique(np.concatenate(got), axis=0))
+        if held and len(held[0]) > 1:
+            yield _pairs(np.unique(group(held[0][:, 1].copy(), held[0][:, 2], held[0][:, 3]), axis=0))
+
+    return run
+
+
+def far_pairs(percent: int):
+    """Of nodes (node, comp, n, profile, mine): pairs of one that is mine and one that is not, in different components,
+    that sizes and profiles do not rule out. Rows of pairs are made and dropped by STRIP, so only the promising ones remain."""
+
+    def run(part: pa.Table) -> pa.Table:
+        node, comp, n = (part[c].to_numpy() for c in ("node", "comp", "n"))
+        cells = np.frombuffer(b"".join(part["profile"].to_pylist()), np.uint8).reshape(-1, PROFILE)
+        mine = part["mine"].to_numpy()
+        out = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(mine):
+            j = np.flatnonzero(~mine & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            for lo in range(0, len(j), STRIP):
+                k = j[lo : lo + STRIP]
+                shared = at_most_shared(cells[k], cells[i], np.minimum(n[k], n[i]))
+                k = k[100 * shared >= percent * (n[k] + n[i] - shared)]
+                out.append(np.column_stack([np.minimum(node[k], node[i]), np.maximum(node[k], node[i])]))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
 
 
 def _pairs(rows: np.ndarray) -> pa.RecordBatch:
@@ -326,24 +359,24 @@ def _pairs(rows: np.ndarray) -> pa.RecordBatch:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, members) of the given (node, id): sets from the whole texts, made where they are needed.
+    """(node, members) of the given (node, name, id, key): sets from the whole texts, made where they are needed.
 
     An id that repeats with equal text gives equal rows, which do no harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            want = b.column(0).to_numpy()
-            for first, texts in slices(b.column(1), BLOCK):
+            nodes, want = b.column(0), b.column(1).to_pylist()
+            for first, texts in slices(b.column(2), BLOCK):
                 group = list(sets(texts))
-                named = [int.from_bytes(digest(s)[:8], "little", signed=True) for s in group]
-                keep = [i for i, x in enumerate(named) if x == want[first + i]]
+                keep = [i for i, s in enumerate(group) if digest(s) == want[first + i]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([named[i] for i in keep], pa.int64()), pa.array([group[i].tobytes() for i in keep], pa.binary())], ["node", "members"]
+                    [nodes.take(pa.array([first + i for i in keep], pa.int64())), pa.array([group[i].tobytes() for i in keep], pa.binary())], ["node", "members"]
                 )
 
     # The same plan at any size: texts are shuffled by id, and the few rows wanted are the hashed side.
-    rows = docs.join(nodes.hint("shuffle_hash"), "id").select("node", "text")
+    wanted = nodes.select("node", "name", F.col("id").alias("wid"), F.col("key").alias("wkey")).hint("shuffle_hash")
+    rows = docs.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & F.col("key").eqNullSafe(F.col("wkey"))).select("node", "name", "text")
     return rows.mapInArrow(run, "node long, members binary")
 
 
@@ -362,11 +395,13 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+@tidied
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id that links reach), class_id (smallest id of an equal set)."""
-    spark = docs.sparkSession
-    docs = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).filter("id IS NOT NULL")
-    return _components(spark, docs, percent).withColumnRenamed("id", id_col)
+    docs = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
+    # Rows without an id are found again by their text.
+    docs = docs.withColumn("key", F.when(F.col("id").isNull(), F.xxhash64("text")))
+    return _components(docs, percent).withColumnRenamed("id", id_col)
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -399,26 +434,51 @@ def relabelled(label: DataFrame | None, edges: DataFrame) -> DataFrame:
     return stored(label.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "ngram-labels")
 
 
-def _components(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    everything = signed(docs, frequent_cells(docs), percent, buckets).groupBy("bucket").applyInArrow(meetings, JOINED_DDL)
-    everything = stored(everything, "ngram-joined")
-    rows = everything.filter("node IS NOT NULL")
-    met = everything.filter("member IS NOT NULL").select("entry", "hub", F.col("member").alias("node"))
+def told_apart(classes: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes with a node of their own each, and the meetings between those: names that share a node get new ones.
+
+    Each of them takes the meetings of the shared node, and they meet each other under an entry of their own.
+    """
+    shared = stored(classes.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node"), "ngram-shared")
+    if is_empty(shared):
+        return classes, met
+    turn, new = 0, classes
+    while not is_empty(clash := new.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("node").alias("old"))):
+        turn += 1
+        other = F.when(F.col("old").isNotNull(), F.xxhash64("name", F.lit(turn))).otherwise(F.col("node"))
+        new = stored(new.join(clash, F.col("node") == F.col("old"), "left").withColumn("node", other).drop("old"), "ngram-classes")
+    names = classes.join(shared, "node", "left_semi").select(F.col("node").alias("old"), "name").join(new.select("name", F.col("node").alias("new")), "name")
+    names = stored(names.select("old", "new"), "ngram-renamed")
+    for c in ("hub", "member"):
+        met = met.join(names, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
+    first = names.groupBy("old").agg(F.min("new").alias("hub"))
+    # Entries are never below 0, so these are entries of their own.
+    own = names.join(first, "old").filter("new <> hub").select((-1 - F.col("old").bitwiseAND(2**63 - 1)).alias("entry"), "hub", F.col("new").alias("member"))
+    return new, stored(met.filter("hub <> member").union(own), "ngram-met")
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    everything = stored(signed(docs, frequent_cells(docs), percent, bucket_count(docs)), "ngram-signed")
+    rows = everything.filter("name IS NOT NULL").select("id", "key", "n", "node", "name", "profile")
+    met = everything.filter("bucket IS NOT NULL").select("bucket", "payload").groupBy("bucket").applyInArrow(meetings, MET_DDL)
+    met = met.union(everything.filter("payload IS NOT NULL AND bucket IS NULL").select("payload").mapInArrow(before_exchange, MET_DDL))
+    met = stored(met, "ngram-met")
     classes = stored(
-        rows.filter("n > 0").groupBy("node").agg(
-            F.min("id").alias("class_id"), F.max("n").alias("n"), F.min("name").alias("x"), F.max("name").alias("y"), F.first("profile").alias("profile")
+        rows.filter("n > 0").groupBy("name").agg(
+            F.min("id").alias("class_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("profile").alias("profile")
         ),
         "ngram-classes",
     )
-    if not is_empty(classes.filter("x <> y")):
-        raise RuntimeError("two sets share 64 bits of their names; widen the node")
+    classes, met = told_apart(classes, met)
+    met = met.withColumnRenamed("member", "node")
 
     def compare(pairs: DataFrame) -> DataFrame:
         """Links among the pairs."""
         good = stored(promising(pairs, classes, percent), "ngram-pairs")
         wanted = good.select(F.col("a").alias("node")).union(good.select("b")).distinct()
-        wanted = stored(wanted.join(classes.select("node", F.col("class_id").alias("id")), "node"), "ngram-wanted")
+        # A class that has an id is found by it, else by its text.
+        key = F.when(F.col("class_id").isNull(), F.col("key")).alias("key")
+        wanted = stored(wanted.join(classes.select("node", "name", F.col("class_id").alias("id"), key), "node"), "ngram-wanted")
         members = stored(full_sets(docs, wanted), "ngram-sets")
         return stored(verified(good, members, percent), "ngram-edges")
 
@@ -436,7 +496,7 @@ def _components(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame
     # Then the nodes of an entry that are not connected by that meet each other, or hubs of a large entry.
     open_ = open_entries(many.select("entry", "node").union(many.select("entry", "hub")).distinct(), label)
     if not is_empty(open_):
-        found = open_.select("entry", "node", "comp", "n").repartition("entry").sortWithinPartitions("entry").mapInArrow(cross_pairs, "a long, b long").distinct()
+        found = open_.select("entry", "node", "comp", "n").repartition("entry").sortWithinPartitions("entry").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
         edges = compare(stored(found, "ngram-tried"))
         label = label if is_empty(edges) else relabelled(label, edges)
         # Last, in what large entries leave open, all pairs that sizes and profiles allow. Large entries of a group of
@@ -447,21 +507,27 @@ def _components(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame
             group = connected_components(open_.join(first, "entry").select("first", "node"), "first", "node").withColumnRenamed("component", "group")
             rows_ = open_.select("node", "comp", "n").distinct().join(group, "node").join(classes.select("node", "profile"), "node")
             rows_ = stored(rows_, "ngram-groups")
-            parts = rows_.groupBy("group").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-            spread = rows_.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), "parts") == F.col("part"))
-            found = spread.select("group", "part", "node", "comp", "n", "profile", "mine").groupBy("group", "part").applyInArrow(far_pairs, "a long, b long")
+            # All of a group but its largest component, with all of it: those in the largest are connected already.
+            largest = rows_.groupBy("group", "comp").agg(F.count("*").alias("k")).groupBy("group").agg(F.max(F.struct("k", "comp"))["comp"].alias("most"))
+            # Sets that can link are in the same or in neighbouring bands of their size.
+            rows_ = rows_.withColumn("band", F.floor(F.log("n") / np.log(100 / percent) + 1e-9)).join(largest, "group")
+            mine = rows_.filter("comp <> most").drop("most")
+            theirs = rows_.drop("most").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+            spread = in_blocks(mine, theirs, ["group", "band"], ["node"], PART, OTHERS)
+            found = spread.groupBy("group", "band", "part", "block").applyInArrow(far_pairs(percent), "a long, b long")
             edges = compare(stored(found.distinct(), "ngram-tried"))
             label = label if is_empty(edges) else relabelled(label, edges)
     # From nodes to rows: a component's smallest id.
-    groups = classes.select("node", "class_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = classes.select("name", "node", "class_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = groups.join(least, "component").select(F.col("node").alias("cnode"), "class_id", "component_id")
-    named = stored(named, "ngram-named")
-    out = rows.join(named, (F.col("node") == F.col("cnode")) & (F.col("n") > 0), "left")
+    named = stored(groups.join(least, "component").select("name", "class_id", "component_id"), "ngram-named")
+    # Of what is read from here on only the names are wide.
+    rows = stored(rows.select("id", "n", "name"), "ngram-rows")
+    out = rows.join(named, "name", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 
+@tidied
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents of smallest id in their component; rows with a null id stay."""
     found = ngram_components(docs, id_col, text_col, percent)

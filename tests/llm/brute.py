@@ -34,7 +34,7 @@ def components(nodes, edges):
     return {n: root(n) for n in nodes}
 
 
-def ngram(docs):
+def ngram(docs, percent=75):
     """id -> (shingles, component)"""
     sets = {i: shingles(t) for i, t in docs}
     ids = sorted(sets)
@@ -42,7 +42,7 @@ def ngram(docs):
     for k, a in enumerate(ids):
         for b in ids[:k]:
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 edges.append((a, b))
     comp = components(ids, edges)
     return {i: (len(sets[i]), comp[i]) for i in ids}

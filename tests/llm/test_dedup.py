@@ -64,24 +64,64 @@ def test_ngram(docs, unique_rows, nothing):
     assert ngram_join.ngram_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_ngram_on_chains_of_edits(spark, monkeypatch, small):
-    """Groups of near copies whose links are just above and below the threshold; also with every entry treated as large."""
-    monkeypatch.setattr(ngram_join, "SMALL", small)
-    monkeypatch.setattr(ngram_join, "PART", 16)
-    rng = random.Random(5)
-    rows = []
-    for n in (3, 5, 6, 8, 12, 17, 30, 60, 140):
+def chains_of_edits(seed=5, sizes=(3, 5, 6, 8, 12, 17, 30, 60, 140), each=25):
+    """Groups of near copies whose links are just above and below the threshold."""
+    rng, rows = random.Random(seed), []
+    for n in sizes:
         base = [f"w{rng.randrange(400)}" for _ in range(n)]
-        for _ in range(25):
+        for _ in range(each):
             w = list(base)
             for _ in range(rng.randint(0, max(1, n // 12))):
                 w[rng.randrange(len(w))] = f"v{rng.randrange(30)}"
             if rng.random() < 0.3:
                 w = w[: -rng.randint(1, max(1, n // 5))]
             rows.append((len(rows), " ".join(w)))
-    got = {r[0]: (r[1], r[2]) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id LONG, text STRING")).select("doc_id", "n_shingles", "component_id").collect()}
-    assert got == brute.ngram(rows)
+    return rows
+
+
+def ngram_of(spark, rows, **kw):
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id LONG, text STRING"), **kw)
+    return {r[0]: (r[1], r[2]) for r in got.select("doc_id", "n_shingles", "component_id").collect()}
+
+
+@pytest.mark.parametrize("small,percent", [(48, 75), (2, 75), (2, 50), (2, 90)])
+def test_ngram_on_chains_of_edits(spark, monkeypatch, small, percent):
+    """Also with every entry treated as large, in blocks of a few nodes, and at other similarities."""
+    for name, value in (("SMALL", small), ("HUBS", 1), ("PART", 4), ("OTHERS", 8)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = chains_of_edits()
+    assert ngram_of(spark, rows, percent=percent) == brute.ngram(rows, percent)
+
+
+def test_ngram_names_that_clash(spark, monkeypatch):
+    """Sets whose names share the number that stands for them: here it has five bits."""
+    monkeypatch.setattr(ngram_join, "number", lambda name: name[0] & 31)
+    rows = chains_of_edits(6, (6, 9, 30, 60), 12)
+    assert ngram_of(spark, rows) == brute.ngram(rows)
+
+
+def all_by_deletions(plain):
+    """Every band with one-deletion neighbourhoods, whatever the counts."""
+    return lambda *a: [(low, high, m, int(ngram_join.most_different(np.array([high]), np.array([high]), a[1])[0]) // 2 + 1) for low, high, m, _ in plain(*a)]
+
+
+def test_ngram_by_deletions(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "bands", all_by_deletions(ngram_join.bands))
+    rows = chains_of_edits(7)
+    assert ngram_of(spark, rows) == brute.ngram(rows)
+
+
+def test_allocation_follows_the_counts():
+    """Without frequent shingles segments are cheapest; with them the smallest sets, short of rare segments, get neighbourhoods."""
+    by_deletions = lambda share, load: [d for *_, d in ngram_join.bands(1000, 75, share, load)]
+    assert not any(by_deletions(0.0, 0.0)) and by_deletions(0.05, 1e3)[0] == 1 and not any(by_deletions(0.05, 1e3)[1:])
+
+
+def test_ngram_with_null_ids(spark):
+    text = "a b c d e f g h i j k l"
+    rows = [(None, text), (7, text + " m"), (9, "other words that are linked with nothing at all here"), (None, "only null ids have this one text"), (None, "only null ids have this one text"), (None, None)]
+    got = sorted(tuple(r) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id LONG, text STRING")).select(F.coalesce("doc_id", F.lit(-1)), "n_shingles", F.coalesce("component_id", F.lit(-1))).collect())
+    assert got == [(-1, 0, -1), (-1, 3, -1), (-1, 3, -1), (-1, 8, 7), (7, 9, 7), (9, 6, 9)]
 
 
 def test_ngram_of_short_texts_across_tasks(spark):
@@ -96,8 +136,11 @@ def test_ngram_of_short_texts_across_tasks(spark):
     assert got == brute.ngram([*several, *alone])
 
 
-def test_every_similar_pair_meets():
-    """Index entries alone: each pair above the threshold shares one."""
+@pytest.mark.parametrize("deletions", [False, True])
+def test_every_similar_pair_meets(monkeypatch, deletions):
+    """Index entries alone: each pair above the threshold shares one, by segments and by one-deletion neighbourhoods."""
+    if deletions:
+        monkeypatch.setattr(ngram_join, "bands", all_by_deletions(ngram_join.bands))
     rng = np.random.default_rng(0)
     signer = ngram_join.Signer(np.zeros(ngram_join.CELLS, bool))
     for _ in range(400):
