@@ -30,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import fold, share, stored, table
+from lipika.llm.common import fold, share, stored, table, tidied
 from lipika.llm.counting import CHUNKS, cell_counts
 from lipika.llm.isotonic import pool_adjacent, probability
 
-EXAMPLES = 6000
+EXAMPLES = 4000
 K = 15
 BLOCK = 64
 #: Blocks that a query opens at first.
@@ -102,7 +102,8 @@ def document_counts(docs: DataFrame, terms: list[bytes], text_col: str) -> np.nd
 def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers from each start up to its end, one span after the other."""
     n = end - start
-    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(n) else 0) + np.repeat(start - (ends - n), n)
 
 
 class Index:
@@ -150,8 +151,8 @@ class Index:
     def nearest(self, terms, counts, but=None, idf=None) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, nearest first, without the example of id ``but``."""
         terms, q = np.asarray(terms, np.int64), self.weigh(terms, counts, idf)
-        part = spans(self.start[terms], self.start[terms + 1])
-        weight = np.repeat(q, self.start[terms + 1] - self.start[terms])
+        first, last = self.start[terms], self.start[terms + 1]
+        part, weight = spans(first, last), np.repeat(q, last - first)
         block = self.in_block[part]
         bound = np.bincount(block, weight * self.most[part], minlength=self.blocks)
         turn = np.argsort(-bound, kind="stable")
@@ -162,15 +163,17 @@ class Index:
                 continue
             chosen = np.zeros(self.blocks, bool)
             chosen[now] = True
-            mine = chosen[block]
-            p, w = part[mine], weight[mine]
+            mine = np.flatnonzero(chosen[block])
+            p = part[mine]
             n = self.part[p + 1] - self.part[p]
             at = spans(self.part[p], self.part[p + 1])
-            got = np.round(np.bincount(self.place[at], np.repeat(w, n) * self.weight[at], minlength=len(self.ids)), 12)
-            at = np.flatnonzero(got > 0)
+            got = np.bincount(self.place[at], np.repeat(weight[mine], n) * self.weight[at], minlength=len(self.ids))
             if but is not None:
-                at = at[self.ids[at] != but]
-            sims, places = np.concatenate([sims, got[at]]), np.concatenate([places, at])
+                got[self.ids == but] = 0
+            # Only what may be among the k best is rounded and sorted.
+            at = np.flatnonzero(got > max(0.0, np.partition(got, -self.k)[-self.k] - 1e-9) if len(got) > self.k else got > 0)
+            at = at[got[at] >= 5e-13]
+            sims, places = np.concatenate([sims, np.round(got[at], 12)]), np.concatenate([places, at])
             best = np.lexsort((self.rank[places], -sims))[: self.k]
             sims, places = sims[best], places[best]
             if len(sims) == self.k:
@@ -241,6 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     return index, terms
 
 
+@tidied
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", folds=5, held=0, **kw) -> DataFrame:
     """Per row: id, held_out, score, predicted, evidence (nearest examples and their cosines)."""
     index, terms = fit(docs, labels, id_col, text_col, folds=folds, held=held, **kw)
@@ -262,6 +266,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
     )
 
 
+@tidied
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", **kw) -> DataFrame:
     """The rows of ``docs`` whose score is below one half; each row is judged by its own text, none is moved."""
     index, terms = fit(docs, labels, id_col, text_col, **kw)
