@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import bucket_count, is_empty, stored, table, tidied
+from lipika.llm.common import bucket_count, in_blocks, is_empty, stored, table, tidied
 from lipika.llm.counting import cell_counts
 from lipika.llm.shingles import mix, word_hashes
 from lipika.llm.textbytes import slices, whole
@@ -362,12 +362,12 @@ class Sets:
 
 
 def settle(part: pa.Table) -> pa.Table:
-    """Of a block of a dense word (id, line, later, record, words): the lines to settle that an earlier line of the block is similar to."""
+    """Of a block of a dense word (id, line, mine, record, words): the lines to settle that an earlier line of the block is similar to."""
     rows = np.frombuffer(b"".join(x.as_py() for x in part["record"]), ENTRY)
     places, at = ranks(rows)
     e, sets = columns(rows, np.arange(len(rows)), at), Sets(part["words"].combine_chunks())
-    later = part["later"].to_numpy(zero_copy_only=False)
-    mine, theirs = np.flatnonzero(later), np.flatnonzero(~later)
+    own = part["mine"].to_numpy(zero_copy_only=False)
+    mine, theirs = np.flatnonzero(own), np.flatnonzero(~own)
     theirs = theirs[np.argsort(at[theirs], kind="stable")]
     gone = []
     for x in mine:
@@ -413,6 +413,7 @@ def read_sets(places: DataFrame, docs: DataFrame, rarity) -> DataFrame:
     return rows.mapInArrow(read, "id long, line int, words binary")
 
 
+@tidied
 def similar(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
     """(id, line) of the later places of the pairs whose full sets are similar."""
     places = pairs.select("id", "line").union(pairs.select("eid", "eline")).distinct()
@@ -426,26 +427,23 @@ def similar(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
 
     later = sets.withColumnRenamed("words", "x")
     earlier = sets.select(F.col("id").alias("eid"), F.col("line").alias("eline"), F.col("words").alias("y"))
-    return pairs.join(earlier, ["eid", "eline"]).join(later, ["id", "line"]).select("id", "line", "x", "y").mapInArrow(verify, "id long, line int").distinct()
+    both = pairs.join(earlier, ["eid", "eline"]).join(later, ["id", "line"]).select("id", "line", "x", "y")
+    return stored(both.mapInArrow(verify, "id long, line int").distinct(), "lines-gone")
 
 
+@tidied
 def settled_lines(dense: DataFrame, gone: DataFrame, docs: DataFrame, rarity) -> DataFrame:
     """(id, line) of the lines under dense words that are still there and have a similar earlier line under the word."""
     live = dense.join(gone, ["id", "line"], "left_anti")
-    last = live.groupBy("word", "band").agg(F.max(F.struct("id", "line")).alias("last"), F.ceil(F.count("*") / LATER).cast("int").alias("parts"))
+    last = live.groupBy("word", "band").agg(F.max(F.struct("id", "line")).alias("last"))
     near = dense.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     near = stored(near.join(last, ["word", "band"]).filter(F.struct("id", "line") < F.col("last")).drop("last"), "lines-near")
-    blocks = near.groupBy("word", "band").agg(F.max("parts").alias("parts"), F.ceil(F.count("*") / EARLIER).cast("int").alias("blocks"))
-    part = lambda n: F.pmod(F.xxhash64("id", "line"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = live.join(blocks, ["word", "band"]).withColumn("part", part("parts")).withColumn("block", every("blocks")).withColumn("later", F.lit(True))
-    b = near.join(blocks.drop("parts"), ["word", "band"]).withColumn("block", part("blocks")).withColumn("part", every("parts")).withColumn("later", F.lit(False))
-    names = ["word", "band", "part", "block", "id", "line", "later", "record"]
-    rows = stored(a.select(names).unionByName(b.select(names)), "lines-blocks")
+    rows = stored(in_blocks(live, near, ["word", "band"], ["id", "line"], LATER, EARLIER), "lines-blocks")
     sets = stored(read_sets(rows.select("id", "line").distinct(), docs, rarity), "lines-sets")
-    return rows.join(sets, ["id", "line"]).groupBy("word", "band", "part", "block").applyInArrow(settle, "id long, line int").distinct()
+    return stored(rows.join(sets, ["id", "line"]).groupBy("word", "band", "part", "block").applyInArrow(settle, "id long, line int").distinct(), "lines-gone")
 
 
+@tidied
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id, line), distinct, of all lines that go; ``docs`` has id and text."""
     spark = docs.sparkSession
@@ -456,10 +454,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     found = stored(packed.groupBy("bucket").applyInArrow(candidates, FOUND_DDL), "lines-found")
     gone = stored(found.filter("eid IS NULL AND word IS NULL").select("id", "line").distinct(), "lines-gone")
     pairs = stored(found.filter("eid IS NOT NULL").select("id", "line", "eid", "eline").distinct().join(gone, ["id", "line"], "left_anti"), "lines-pairs")
-    gone = gone.union(stored(similar(pairs, docs, rarity), "lines-gone"))
+    gone = gone.union(similar(pairs, docs, rarity))
     dense = found.filter("word IS NOT NULL").select("word", "band", "id", "line", "record")
     if not is_empty(dense):
-        gone = gone.union(stored(settled_lines(dense, gone, docs, rarity), "lines-gone"))
+        gone = gone.union(settled_lines(dense, gone, docs, rarity))
     return gone.distinct()
 
 
