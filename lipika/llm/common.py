@@ -97,9 +97,9 @@ def tidied(operator):
             (_open[-1] if _open else _kept).extend(_open.pop())
             raise
         made = _open.pop()
-        read = {_bare(p) for p in paths_read(out)}
+        read = [_bare(p) + "/" for p in paths_read(out)]
         for path in made:
-            if _bare(path) in read:
+            if any(p.startswith(_bare(path) + "/") for p in read):
                 (_open[-1] if _open else _kept).append(path)
             else:
                 remove(out.sparkSession, path)
@@ -150,20 +150,26 @@ def bucket_count(df: DataFrame) -> int:
     return least if size >= 1 << 50 else min(max(least, size >> 24), 1 << 30)
 
 
-def in_blocks(mine: DataFrame, theirs: DataFrame, keys: list[str], row: list[str], n: int, m: int) -> DataFrame:
-    """Both tables' rows, told apart by ``mine``, with a part and a block: each pair of rows of equal keys is in one (keys, part, block).
+def dealt(mine: DataFrame, theirs: DataFrame, keys: list[str], row: list[str], n: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a part and a block: each pair of rows of equal keys is in one (keys, part, block).
 
     There are about ``n`` rows of the first and ``m`` of the second table in each, whatever the number of rows of a key.
-    Both have the same columns; rows are dealt by their columns ``row``.
+    Rows are dealt by their columns ``row``; rows whose key the other table lacks go.
     """
     count = lambda df, k, name: df.groupBy(keys).agg(F.ceil(F.count("*") / k).cast("int").alias(name))
-    deal = count(mine, n, "parts").join(count(theirs, m, "blocks"), keys)
+    deal = count(mine, n, "_parts").join(count(theirs, m, "_blocks"), keys)
     own = lambda k: F.pmod(F.xxhash64(*row), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    a = mine.join(deal, keys).withColumn("part", own("parts")).withColumn("block", every("blocks")).withColumn("mine", F.lit(True))
-    b = theirs.join(deal, keys).withColumn("block", own("blocks")).withColumn("part", every("parts")).withColumn("mine", F.lit(False))
+    a = mine.join(deal, keys).withColumn("part", own("_parts")).withColumn("block", every("_blocks"))
+    b = theirs.join(deal, keys).withColumn("block", own("_blocks")).withColumn("part", every("_parts"))
+    return a.drop("_parts", "_blocks"), b.drop("_parts", "_blocks")
+
+
+def in_blocks(mine: DataFrame, theirs: DataFrame, keys: list[str], row: list[str], n: int, m: int) -> DataFrame:
+    """The dealt rows of both tables, which have the same columns, told apart by ``mine``."""
+    a, b = dealt(mine, theirs, keys, row, n, m)
     names = [*mine.columns, "part", "block", "mine"]
-    return a.select(names).unionByName(b.select(names))
+    return a.withColumn("mine", F.lit(True)).select(names).unionByName(b.withColumn("mine", F.lit(False)).select(names))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,19 +7,22 @@
    compared: min = max over a digest's texts holds only if all are byte-identical, and both are pre-aggregated before
    the exchange, so a hot group costs one row per task. A digest that covers different texts is split by the text.
 
+Files that an earlier run has seen must still be there while their rows are hit; only those with hits are read again.
+
 Defined results. Null text counts as empty. Null ids are allowed and rank lowest. Rows that repeat an id are separate
 rows; of equal (id, text) the one latest by (file, row) stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lipika.llm.common import ascii_lower, is_empty, remove, scratch, stored
+from lipika.llm.common import ascii_lower, is_empty, remove, scratch, settings, stored, tidied
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -32,30 +35,28 @@ STATE_CONF = {
 }
 
 
-@contextmanager
-def _conf(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def sha256_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _source(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFrame:
+def _wanted(spark: SparkSession, path: str, id_col: str, text_col: str) -> T.StructType:
+    """The two columns; a schema without the others keeps a column named ``_metadata`` away from the file source's own."""
     schema = spark.read.parquet(path).schema
-    wanted = T.StructType([schema[id_col], schema[text_col]])
+    return T.StructType([schema[id_col], schema[text_col]])
+
+
+def _source(spark: SparkSession, path: str, wanted: T.StructType) -> DataFrame:
     # A file stream takes a folder or a glob; one bracket makes a single file's path a glob of itself.
     glob = path[:-1] + f"[{path[-1]}]"
     return spark.readStream.schema(wanted).parquet(glob)
 
 
+def _literal(file: str) -> str:
+    """A file's path as a locator gives it, as a path to read: without escapes, and no glob."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file))
+
+
+@tidied
 def exact_dedup(
     spark: SparkSession,
     path: str,
@@ -71,14 +72,15 @@ def exact_dedup(
     """
     root = state_dir or scratch(spark, "dedup")
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = _source(spark, path, id_col, text_col).select(
+    wanted = _wanted(spark, path, id_col, text_col)
+    rows = _source(spark, path, wanted).select(
         F.col(id_col).alias("id"),
         digest(norm).alias("digest"),
         sha256_digest(norm).alias("text_sha256"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"),
     )
-    with _conf(spark, STATE_CONF):
+    with settings(spark, STATE_CONF):
         (
             rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/rows_cp")
             .trigger(availableNow=True).start(f"{root}/rows").awaitTermination()
@@ -104,10 +106,11 @@ def exact_dedup(
     )
     found = digests.join(state, "digest")
     hits = stored(found.filter("n > 1").select("id", "digest", "file", "row"), "dedup-hits")
-    docs = spark.read.parquet(path)
-    # The locator, unique to a row, fetches the hit rows' bytes; few hits are broadcast, many are shuffled by row.
+    # The locator, unique to a row, fetches the hit rows' bytes from their own files, of this run or an earlier one.
+    files = [_literal(r["file"]) for r in hits.select("file").distinct().collect()]  # names of files
+    docs = spark.read.schema(wanted).parquet(*files) if files else spark.createDataFrame([], wanted).withColumn("_metadata", F.struct(F.lit("").alias("file_path"), F.lit(0).alias("row_index")))
     located = docs.select(
-        F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     )
     content = located.join(hits, ["file", "row"]).select("id", "digest", "file", "row", ascii_lower(F.col("text")).alias("text"))

@@ -58,6 +58,16 @@ def test_exact_goes_on_from_its_state(spark, docs, rows, tmp_path):
     assert [r["keep_id"] for r in got] == [1, 1, 1] and sum(r["kept"] for r in got) == 1
 
 
+def test_exact_compares_bytes_across_runs(spark, tmp_path):
+    """One digest for all: rows of a second folder meet those of the first, whose bytes come from their own files."""
+    state, one = f"file://{tmp_path}/state", lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 0)
+    for name, rows in (("a b", [(1, "aaa"), (5, "ccc")]), ("c", [(2, "bbb"), (3, "AAA"), (4, "bbb")])):
+        df = spark.createDataFrame(rows, "doc_id LONG, text STRING").withColumn("_metadata", F.lit(0))
+        df.write.parquet(f"{tmp_path}/{name}")
+        got = exact_dedup.exact_dedup(spark, f"{tmp_path}/{name}", digest=one, state_dir=state).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == {1: (3, 2, False), 2: (4, 2, False), 3: (3, 2, True), 4: (4, 2, True), 5: (5, 1, True)}
+
+
 def test_ngram(docs, unique_rows, nothing):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()}
     assert got == brute.ngram([r[:2] for r in unique_rows])
