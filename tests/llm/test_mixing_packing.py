@@ -52,6 +52,16 @@ def test_mixed_documents(docs):
     assert Counter(r[0] for r in out.select("doc_id").collect()) == {i: k * repeats[i] for i, k in taken.items()}
 
 
+def test_mix_odds_differ_by_size(spark):
+    """In one source, by word counts of 4 and 400: both are sampled, and the longer ones more often."""
+    rows = [(i, "w " * (400 if i % 2 else 4), "b") for i in range(2000)] + [(-1, "w " * 250_000, "a")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")).filter("doc_id >= 0").collect()
+    target = got[0]["target"]
+    assert abs(sum(r["taken"] for r in got) - target) <= 400 and target % got[0]["source_size"]
+    share = {n: np.mean([r["taken"] % (3 * n) > 0 for r in got if r["size"] == n]) for n in (4, 400)}
+    assert 0.02 < share[4] < share[400] < 0.98
+
+
 def test_mix_sql_and_zero_sizes(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
