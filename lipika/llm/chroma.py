@@ -5,16 +5,18 @@
 2. FILTERS rectangles slide over the (time, pitch class) image. An integral image makes any rectangle's sum four
    look-ups; the log ratio of two areas is quantised to two Gray-coded bits, and the 16 filters fill a 32-bit integer
    for every position.
-3. Two recordings are aligned by the offsets between equal integers: the offsets that most integers agree on are
+3. Two recordings are aligned by the offsets between equal halves of integers: runs of an equal half are joined on it,
+   the offsets of each pair of recordings are counted in a histogram, and those that VOTES or more halves agree on are
    checked by the share of differing bits over the whole overlap.
 
-A search takes a query set against all recordings: queries come in blocks of at most BLOCK, a bound for the broadcast;
-in a block the integers are sorted, each recording's integers are looked up, and offsets with VOTES or more are checked.
+Recordings of equal integers are one class and searched once. A search takes a query set against all recordings: the
+join of halves is a shuffle, in which a half that many recordings hold, as silence or a held tone, is dealt into blocks
+of bounded size; a run of T equal halves is one row, and two runs give their offsets with counts, not T * T hits.
 
 Defined results. Null, empty, unreadable and too short audio has an empty fingerprint, aligns with nothing and is its
 own class. Equal fingerprints share a class, named by the smallest id. Of equally good alignments the smaller query id,
-then the smaller offset is taken; a recording is not aligned with its own id. Null ids get no alignment as queries.
-Empty tables give no rows.
+then the smaller offset is taken. A recording is not aligned with a query of its own id and fingerprint; rows that repeat
+an id with other audio are recordings of their own. Null ids are no queries. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import share, stored, table
+from lipika.llm.common import dealt, stored, table, tidied
 
 FRAME_S, HOP_S = 0.256, 0.064
 LOWEST, HIGHEST = 110.0, 1760.0
@@ -38,9 +40,10 @@ WINDOW = 16
 STEP = 0.25
 #: (kind, first class, classes, frames): kinds split the rectangle by class, by time, in quarters, or into middle and rest.
 FILTERS = tuple(((i * 5) % 4, (i * 7) % 12 if (i * 7) % 12 + 2 + i % 3 * 2 <= 12 else 12 - (2 + i % 3 * 2), 2 + i % 3 * 2, 4 + i % 4 * 4) for i in range(16))
-#: Alignment: equal integers at one offset, least overlap, most differing bits.
+#: Alignment: equal halves of integers at one offset, least overlap, most differing bits.
 VOTES, OVERLAP, ERROR = 4, 24, 0.25
-BLOCK = 8192
+#: Runs of queries and of recordings with one half that are joined in one block.
+QUERIES, OTHERS = 256, 8192
 
 
 def decode(audio: bytes | None) -> tuple[np.ndarray, int]:
@@ -52,6 +55,9 @@ def decode(audio: bytes | None) -> tuple[np.ndarray, int]:
             x = np.frombuffer(raw, np.uint8).astype(float) - 128
         elif width in (2, 4):
             x = np.frombuffer(raw, f"<i{width}").astype(float)
+        elif width == 3:
+            three = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+            x = ((three[:, 2] << 24 | three[:, 1] << 16 | three[:, 0] << 8) >> 8).astype(float)
         else:
             return np.zeros(0), 0
         return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), rate
@@ -140,85 +146,93 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     return media.select(media[f"`{id_col}`"], media[f"`{audio_col}`"]).mapInArrow(run, f"id {kind}, codes array<int>")
 
 
-class Block:
-    """A block of queries with their integers sorted."""
-
-    def __init__(self, queries: list[tuple[int, np.ndarray]]):
-        self.ids = np.array([q for q, _ in queries], np.int64)
-        self.codes = [c.astype(np.int32).view(np.uint32) for _, c in queries]
-        owner = np.repeat(np.arange(len(queries)), [len(c) for c in self.codes])
-        place = np.concatenate([np.arange(len(c)) for c in self.codes]) if queries else np.zeros(0, np.int64)
-        flat = np.concatenate(self.codes) if queries else np.zeros(0, np.uint32)
-        order = np.argsort(flat, kind="stable")
-        self.flat, self.owner, self.place = flat[order], owner[order], place[order]
-
-    def align(self, codes: np.ndarray, own: int | None) -> list[tuple[float, int, int]]:
-        """(bit error, query id, offset) for every query that aligns, best first; offset is the place in the recording minus that in the query."""
-        lo, hi = np.searchsorted(self.flat, codes, "left"), np.searchsorted(self.flat, codes, "right")
-        n = hi - lo
-        if not n.sum():
-            return []
-        hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        offset = np.repeat(np.arange(len(codes)), n) - self.place[hit]
-        key, votes = np.unique(self.owner[hit] << 32 | offset + (1 << 31), return_counts=True)
-        key = key[votes >= VOTES]
-        found: dict[int, tuple[float, int, int]] = {}
-        for q, off in zip((key >> 32).tolist(), ((key & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True):
-            if self.ids[q] == own:
-                continue
-            other = self.codes[q]
-            a, b = max(0, off), max(0, -off)
-            k = min(len(codes) - a, len(other) - b)
-            if k < OVERLAP:
-                continue
-            error = float(np.bitwise_count(codes[a : a + k] ^ other[b : b + k]).sum()) / (32 * k)
+def runs_of_halves(prints: DataFrame) -> DataFrame:
+    """(c, half, start, n) of (c, codes): runs of equal upper and of equal lower halves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                rows = [np.zeros((0, 4), np.int64)]
+                for c, codes in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    x = codes.values.to_numpy().view(np.uint32).astype(np.int64)
+                    for k in (0, 1):
+                        half = (x >> 16 * k & 0xFFFF) | k << 16
+                        start = np.flatnonzero(np.append(True, half[1:] != half[:-1]))
+                        rows.append(np.column_stack([np.full(len(start), c), half[start], start, np.diff(np.append(start, len(x)))]))
+                c, half, start, n = np.concatenate(rows).T
+                yield pa.RecordBatch.from_arrays([pa.array(c), *(pa.array(x.astype(np.int32)) for x in (half, start, n))], ["c", "half", "start", "n"])
+
+    return prints.select("c", "codes").mapInArrow(run, "c long, half int, start int, n int")
+
+
+def offsets(queries: DataFrame, prints: DataFrame) -> DataFrame:
+    """(q, c, offsets): the offsets, place in the recording minus place in the query, that VOTES halves agree on."""
+    a, b = dealt(stored(runs_of_halves(queries), "chroma-query-runs"), stored(runs_of_halves(prints), "chroma-runs"), ["half"], ["c", "start"], QUERIES, OTHERS)
+    a = a.select("half", "part", "block", F.col("c").alias("q"), F.col("start").alias("at"), F.col("n").alias("m"))
+    pairs = b.join(a, ["half", "part", "block"])
+    every = F.sequence(F.col("start") - F.col("at") - F.col("m") + 1, F.col("start") + F.col("n") - 1 - F.col("at"))
+    hits = pairs.withColumn("offset", F.explode(every))
+    agree = F.least(F.col("start") + F.col("n"), F.col("at") + F.col("m") + F.col("offset")) - F.greatest("start", F.col("at") + F.col("offset"))
+    votes = hits.groupBy("q", "c", "offset").agg(F.sum(agree).alias("votes")).filter(F.col("votes") >= VOTES)
+    return votes.groupBy("q", "c").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+
+
+def best_offset(recording: np.ndarray, query: np.ndarray, tried: np.ndarray) -> tuple[float, int] | None:
+    """(bit error, offset) of the best of the offsets that align."""
+    found = []
+    for off in tried.tolist():
+        a, b = max(0, off), max(0, -off)
+        k = min(len(recording) - a, len(query) - b)
+        if k >= OVERLAP:
+            error = float(np.bitwise_count(recording[a : a + k] ^ query[b : b + k]).sum()) / (32 * k)
             if error <= ERROR:
-                found[q] = min(found.get(q, (2.0, 0, 0)), (error, int(self.ids[q]), off))
-        return sorted(found.values())
-
-
-def alignments(prints: DataFrame, queries: DataFrame) -> DataFrame:
-    """(id, match_id, offset, bit_error, n_links) of every recording that aligns with a query: the best one, and how many."""
-    spark = prints.sparkSession
-    queries = queries.filter("id IS NOT NULL AND size(codes) > 0")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    found = None
-    for k in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        members = sorted(((r["id"], np.array(r["codes"], np.int32)) for r in part.collect()), key=lambda q: q[0])
-        block = share(spark, Block(members))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            aligner = block()
-            for b in batches:
-                rows = []
-                for i, codes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    got = aligner.align(codes.values.to_numpy().view(np.uint32), i) if len(codes.values) else []
-                    if got:
-                        rows.append((i, got[0][1], got[0][2], got[0][0], len(got)))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "match_id", "offset", "bit_error", "n_links"])
-
-        kind = prints.schema["id"].dataType.simpleString()
-        one = prints.select("id", "codes").mapInArrow(run, f"id {kind}, match_id long, offset long, bit_error double, n_links long")
-        one = stored(one, "chroma-aligned")
-        found = one if found is None else found.unionByName(one)
-    best = F.min(F.struct("bit_error", "match_id", "offset"))
-    return found.groupBy("id").agg(best.alias("b"), F.sum("n_links").alias("n_links")).select("id", "b.match_id", "b.offset", "b.bit_error", "n_links")
+                found.append((error, off))
+    return min(found, default=None)
+
 
+def alignments(queries: DataFrame, prints: DataFrame) -> DataFrame:
+    """(q, c, offset, bit_error) of every pair of a query (c, codes) and a recording (c, codes) that align."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [best_offset(*(x.values.to_numpy().view(np.uint32) for x in (c, q)), o.values.to_numpy()) for c, q, o in zip(*b.columns[2:], strict=True)]
+            hit = b.filter(pa.array([g is not None for g in got], pa.bool_()))
+            got = [g for g in got if g]
+            yield pa.RecordBatch.from_arrays([hit.column(0), hit.column(1), pa.array([o for _, o in got], pa.int64()), pa.array([e for e, _ in got], pa.float64())], ["q", "c", "offset", "bit_error"])
+
+    tried = stored(offsets(queries, prints), "chroma-offsets")
+    pairs = tried.join(prints.select("c", "codes"), "c").join(queries.select(F.col("c").alias("q"), F.col("codes").alias("qcodes")), "q")
+    return pairs.select("q", "c", "codes", "qcodes", "offsets").mapInArrow(run, "q long, c long, offset long, bit_error double")
+
+
+@tidied
 def aligned_recordings(media: DataFrame, id_col: str, audio_col: str, every: int = 100) -> DataFrame:
     """Per recording: id, codes, class_id, and its best alignment with a query (ids divisible by ``every``)."""
     prints = stored(fingerprints(media, id_col, audio_col), "chroma-prints")
-    name = F.sha2(F.to_json("codes"), 256)
-    named = prints.withColumn("name", name)
-    classes = named.filter("size(codes) > 0").groupBy("name").agg(F.min("id").alias("class_id"))
-    match = stored(alignments(prints, prints.filter(F.col("id") % every == 0)), "chroma-best").withColumnRenamed("id", "mid")
-    out = named.join(classes, "name", "left").join(match, F.col("id") == F.col("mid"), "left")
-    return out.select(
+    named = prints.withColumn("name", F.sha2(F.to_json("codes"), 256))
+    asked = F.when(F.col("id") % every == 0, F.col("id"))
+    classes = named.filter("size(codes) > 0").groupBy("name").agg(
+        F.min("id").alias("class_id"), F.first("codes").alias("codes"), F.min(asked).alias("q1"), F.count_distinct(asked).alias("asks")
+    )
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "chroma-classes")
+    second = named.filter(asked.isNotNull()).join(classes.filter("asks > 1").select("name", "q1"), "name").filter("id <> q1").groupBy("name").agg(F.min("id").alias("q2"))
+    found = stored(alignments(classes.filter("asks > 0"), classes), "chroma-aligned")
+    asks = classes.filter("asks > 0").select(F.col("c").alias("q"), "q1", "asks")
+    others = found.filter("q <> c").join(asks, "q").groupBy("c").agg(
+        F.min(F.struct("bit_error", F.col("q1").alias("match_id"), "offset")).alias("other"), F.sum("asks").alias("links")
+    )
+    own = found.filter("q = c").select("c", F.col("bit_error").alias("own_error"), F.col("offset").alias("own_offset"))
+    told = classes.select("name", "c", "class_id", "q1", "asks").join(second, "name", "left").join(others, "c", "left").join(own, "c", "left")
+    rows = named.join(stored(told.drop("c"), "chroma-told"), "name", "left")
+    # A row's own class holds queries too, but for itself.
+    mate = F.when(F.col("id").isNull() | (F.col("id") != F.col("q1")), F.col("q1")).otherwise(F.col("q2"))
+    same = F.when(F.col("own_error").isNotNull() & mate.isNotNull(), F.struct(F.col("own_error").alias("bit_error"), mate.alias("match_id"), F.col("own_offset").alias("offset")))
+    mates = F.when(F.col("own_error").isNotNull(), F.col("asks") - asked.isNotNull().cast("int"))
+    rows = rows.withColumn("best", F.least("other", same)).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.coalesce(mates, F.lit(0)))
+    return rows.select(
         F.col("id").alias(id_col), F.size("codes").cast("long").alias("n_codes"), "codes", F.coalesce("class_id", "id").alias("class_id"),
-        "match_id", "offset", "bit_error", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "best.match_id", "best.offset", "best.bit_error", F.col("n_links").cast("long").alias("n_links"),
     )
 
 

@@ -80,3 +80,25 @@ def repeats(docs, width=100):
         kept = bytes(x for x, c in zip(b, covered) if not c)
         out[i] = (len(b), sum(covered), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def best_alignments(codes, every, overlap, error):
+    """id -> (match id, offset, bit error, links): every offset of every pair, scored bit by bit."""
+    out = {}
+    for i, a in codes.items():
+        found = []
+        for q, b in codes.items():
+            if q % every or q == i:
+                continue
+            best = None
+            for off in range(overlap - len(b), len(a) - overlap + 1):
+                x, y = max(0, off), max(0, -off)
+                k = min(len(a) - x, len(b) - y)
+                e = sum(bin(s ^ t).count("1") for s, t in zip(a[x : x + k], b[y : y + k])) / (32 * k) if k >= overlap else 1
+                if e <= error and (best is None or (e, off) < best):
+                    best = (e, off)
+            if best:
+                found.append((best[0], q, best[1]))
+        e, q, off = min(found, default=(None, None, None))
+        out[i] = (q, off, e, len(found))
+    return out

@@ -1,5 +1,6 @@
 import random
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,47 @@ def test_chroma(spark):
     assert chroma.aligned_recordings(df.limit(0), "id", "audio").count() == 0
 
 
+def recordings(seed, noise):
+    """Melodies, noisy clips of them, a held tone, silence, equal copies."""
+    rng = np.random.default_rng(seed)
+    whole = [chroma.melody(rng.normal(size=60)) for _ in range(6)]
+    out = {100 * i: w for i, w in enumerate(whole)}
+    for k in range(18):
+        w = whole[k % 6]
+        at = 512 * int(rng.integers(0, 30))
+        clip = w[at : at + 512 * 25]
+        out[k + 1] = clip + rng.normal(0, noise, len(clip))
+    tone = 0.5 * np.sin(np.arange(512 * 40) * 0.7)
+    return out | {700: tone, 51: tone[: 512 * 30], 800: np.zeros(512 * 40), 61: np.zeros(512 * 40), 62: np.zeros(512 * 30), 900: whole[1], 71: whole[1]}
+
+
+@pytest.mark.parametrize("noise,recall", [(0.05, 1.0), (0.2, 0.9)])
+def test_alignments_against_brute_force(spark, monkeypatch, noise, recall):
+    monkeypatch.setattr(chroma, "OTHERS", 8)
+    monkeypatch.setattr(chroma, "QUERIES", 4)
+    media = [(i, bytearray(chroma.encode(x, chroma.RATE))) for i, x in recordings(5, noise).items()]
+    got = {r["id"]: r for r in chroma.aligned_recordings(spark.createDataFrame(media, "id LONG, audio BINARY"), "id", "audio").collect()}
+    codes = {i: chroma.fingerprint(*chroma.decode(bytes(a))).tolist() for i, a in media}
+    assert {i: [c & 0xFFFFFFFF for c in r["codes"]] for i, r in got.items()} == codes
+    want = brute.best_alignments(codes, 100, chroma.OVERLAP, chroma.ERROR)
+    aligned = [i for i, w in want.items() if w[0] is not None]
+    same = [i for i, w in want.items() if (got[i]["match_id"], got[i]["offset"]) == w[:2] and got[i]["n_links"] == w[3]]
+    assert len(aligned) >= 20 and len(set(same) & set(aligned)) >= recall * len(aligned)
+    assert sum(got[i]["n_links"] for i in want) >= recall * sum(w[3] for w in want.values())
+    assert all(got[i]["match_id"] is None for i in want if i not in aligned)
+
+
+def test_wav_of_three_bytes():
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(3), w.setframerate(8000)
+        w.writeframes(b"".join(int(x).to_bytes(3, "little", signed=True) for x in (-(2**23), -1, 0, 1, 2**23 - 1)))
+    assert chroma.decode(out.getvalue())[0].tolist() == [-(2**23), -1, 0, 1, 2**23 - 1]
+
+
 def test_rectangles_by_hand():
     x, r = chroma.decode(chroma.encode(chroma.melody(np.linspace(-1, 1, 64)), chroma.RATE))
     image, codes = chroma.pitch_classes(x, r), chroma.fingerprint(x, r)
