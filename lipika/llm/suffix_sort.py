@@ -1,8 +1,9 @@
 """Deep-shallow sorting of byte strings, with the longest common prefixes of neighbours.
 
-Shallow: multikey quicksort whose characters are 8-byte words; every pass sorts only what is still tied, by the next
-word. Deep: groups that tie for SHALLOW words are ordered by a blind trie, which looks at the bytes where strings
-branch and compares each string in full just once.
+Shallow: multikey quicksort whose characters are 8-byte words. Each segment is split three ways by a pivot's word; the
+equal part goes on with the next word, the others with the same one; all open segments are split in one vector step.
+Deep: segments that tie for SHALLOW words are ordered by a blind trie, which looks at the bytes where strings branch and
+compares each string in full just once; strings equal to the segment's first are its twins without an insertion.
 """
 
 from __future__ import annotations
@@ -79,48 +80,71 @@ def _common(a: bytes, b: bytes, skip: int) -> int:
     return skip + (8 * (n - skip) - x.bit_length()) // 8
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place) of every row of the segments."""
+    segment = np.repeat(np.arange(len(start)), size)
+    return segment, np.arange(len(segment)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
+def _multikey(words: np.ndarray, order: np.ndarray, start: np.ndarray, size: np.ndarray, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts ``order`` within segments by up to ``deepest`` words; returns the segments (start, size) that still tie."""
+    depth = np.zeros(len(start), np.int64)
+    tied: list[np.ndarray] = []
+    while len(start):
+        segment, place = _spread(start, size)
+        w = words[order[place], depth[segment]]
+        # The pivot: the median of a segment's first, middle and last word.
+        first = np.cumsum(size) - size
+        three = np.sort(np.stack([w[first], w[first + size // 2], w[first + size - 1]]), axis=0)
+        pivot = three[1][segment]
+        side = (w > pivot).astype(np.int64) - (w < pivot) + 1
+        key = segment * 3 + side
+        by = np.argsort(key, kind="stable")
+        order[place] = order[place[by]]
+        parts = np.bincount(key, minlength=3 * len(start))
+        at = np.repeat(start, 3) + (np.cumsum(parts) - parts) - np.repeat(first, 3)
+        deep = np.repeat(depth, 3) + (np.arange(len(parts)) % 3 == 1)
+        several = parts > 1
+        done = several & (deep == deepest)
+        tied.append(np.column_stack([at[done], parts[done]]))
+        go = several & ~done
+        start, size, depth = at[go], parts[go], deep[go]
+    rest = np.concatenate([np.zeros((0, 2), np.int64), *tied])
+    return rest[:, 0], rest[:, 1]
+
+
 def deep_shallow(rows: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): rows sorted by (group, bytes), and each one's common prefix with the one before; -1 at a group's start.
 
     ``rows`` is a byte matrix padded with zeros, ``length`` the true lengths.
     """
     n, width = rows.shape
-    words = np.zeros((n, -(-width // WORD) * WORD), np.uint8)
-    words[:, :width] = rows
-    words = words.view(">u8").astype(np.uint64)
+    padded = np.zeros((n, -(-max(width, 1) // WORD) * WORD), np.uint8)
+    padded[:, :width] = rows
+    words = padded.view(">u8").astype(np.uint64)
     order = np.argsort(group, kind="stable")
     head = np.ones(n, bool)
     head[1:] = group[order][1:] != group[order][:-1]
-    lcp = np.where(head, -1, 0).astype(np.int64)
-    depth = min(SHALLOW, words.shape[1])
-    for d in range(depth):
-        run = np.cumsum(head) - 1
-        tied = np.flatnonzero(np.bincount(run)[run] > 1)
-        if not len(tied):
-            break
-        w = words[order[tied], d]
-        by = np.lexsort((w, run[tied]))
-        order[tied], w = order[tied][by], w[by]
-        new = np.zeros(n, bool)
-        x = w[1:] ^ w[:-1]
-        differs = (x != 0) & (run[tied][1:] == run[tied][:-1])
-        at = tied[1:][differs]
-        new[at] = True
-        lcp[at] = d * WORD + (63 - np.floor(np.log2(x[differs].astype(float))).astype(np.int64)) // 8
-        # A double rounds large numbers up to the next power of two: correct where that moved the byte.
-        high = x[differs] >> (np.uint64(64) - np.uint64(8) * (np.minimum(lcp[at] - d * WORD + 1, 8)).astype(np.uint64))
-        lcp[at] += (high == 0).astype(np.int64)
-        head |= new
-    run = np.cumsum(head) - 1
-    size = np.bincount(run)
-    start = np.flatnonzero(head)
-    for g in np.flatnonzero(size > 1):
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, n))
+    start, size = _multikey(words, order, first[size > 1], size[size > 1], min(SHALLOW, words.shape[1]))
+    # Twins of a segment's first string need no trie.
+    segment, place = _spread(start, size)
+    leader = order[start][segment] if len(start) else segment
+    other = (words[order[place]] != words[leader]).any(axis=1) | (length[order[place]] != length[leader])
+    for g in np.flatnonzero(np.bincount(segment, other, minlength=len(start)) > 0):
         a, k = start[g], size[g]
         part = order[a : a + k]
-        trie = BlindTrie([rows[i, : length[i]].tobytes() for i in part], 0)
-        by, common = trie.order()
-        order[a : a + k] = part[by]
-        lcp[a + 1 : a + k] = common[1:]
-    inside = lcp >= 0
-    lcp[1:] = np.where(inside[1:], np.minimum(lcp[1:], np.minimum(length[order[1:]], length[order[:-1]])), lcp[1:])
+        alike = (words[part] == words[part[0]]).all(axis=1) & (length[part] == length[part[0]])
+        twins, rest = part[alike], np.append(part[:1], part[~alike])
+        by, _ = BlindTrie([rows[i, : length[i]].tobytes() for i in rest], 0).order()
+        where = by.index(0)
+        order[a : a + k] = np.concatenate([rest[by[:where]], twins, rest[by[where + 1 :]]])
+    lcp = np.full(n, -1, np.int64)
+    inside = np.flatnonzero(~head)
+    for lo in range(0, len(inside), 1 << 16):
+        k = inside[lo : lo + (1 << 16)]
+        differ = padded[order[k]] != padded[order[k - 1]]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), padded.shape[1])
+        lcp[k] = np.minimum(common, np.minimum(length[order[k]], length[order[k - 1]]))
     return order, lcp

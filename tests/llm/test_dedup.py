@@ -257,6 +257,42 @@ def test_suffix_on_low_variety(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("steps,piece", [(((0, 69), (1 << 62, 8)), 1 << 22), (((3, 69), (6, 8), (1 << 62, 1)), 150), (((1 << 62, 69),), 64)])
+def test_suffix_in_ranges_and_pieces(spark, monkeypatch, steps, piece):
+    """Frequent grams cut into ranges of windows, texts into pieces, runs of few anchors; any ids."""
+    for name, value in (("STEPS", steps), ("PIECE", piece), ("BLOCK", 300), ("RUN", 20), ("STRIP", 5)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abdeionrst", k=rng.randint(2, 7)))
+    phrase, passage = "a phrase of sixty bytes that stands before text that varies. ", " ".join(word() for _ in range(40))
+    rows = []
+    for i in range(40):
+        t = " ".join(word() for _ in range(rng.randint(5, 60)))
+        t += (phrase, passage, phrase + passage, passage[rng.randint(0, 60) :], "x" * rng.randint(80, 260), "\0" * 120)[i % 6]
+        rows.append(((-1) ** i * (2**62 + i), t + " ".join(word() for _ in range(rng.randint(0, 30)))))
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)).collect()}
+    assert got == brute.repeats(rows)
+
+
+def test_suffix_equality_is_the_sorts(monkeypatch):
+    """With prefixes that say nothing agrees, nothing is covered, however equal the hashes are."""
+    import pyarrow as pa
+
+    data = np.frombuffer(bytes(random.Random(1).choices(range(97, 123), k=400)) * 2, np.uint8)
+    e, _ = suffix_dedup.anchors(data, np.array([0, 400, 800]), np.array([1, 2]))
+    edges = np.zeros(len(e), suffix_dedup.EDGE)
+    edges["key"] = e["gram"]
+    for c in ("id", "start", "off", "run"):
+        edges[c] = e[c]
+    for k, a in enumerate(e):
+        edges["bytes"][k, : a["run"] + 100] = data[(a["id"] - 1) * 400 + a["start"] :][: a["run"] + 100]
+    part = pa.table({"payload": pa.array([edges.tobytes()], pa.binary())})
+    assert sum(suffix_dedup.covered_edges(part)["length"].to_pylist()) == 400
+    sort = suffix_dedup.deep_shallow
+    monkeypatch.setattr(suffix_dedup, "deep_shallow", lambda *a: (sort(*a)[0], np.minimum(sort(*a)[1], 0)))
+    assert not len(suffix_dedup.covered_edges(part))
+
+
 def test_suffix_sql_tables(spark, sf):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
     assert {r[0]: tuple(r)[1:] for r in suffix_dedup.op10_suffix_dedup(spark, sf).collect()} == brute.repeats(docs)
