@@ -34,15 +34,22 @@ def _ones(i: Column) -> Column:
     return F.get(F.array(*map(F.lit, ONES)), i.cast("int"))
 
 
+def _below_thousand(n: int) -> str:
+    hundreds, last = divmod(n, 100)
+    hundred = [HUNDRED] if n == 100 else [ONES[hundreds] + HUNDREDS] if hundreds else []
+    return " ".join(hundred + [ONES[last]] * (last > 0 or n == 0))
+
+
+#: Words of 0..999, made by the rule, so that an expression looks a number up instead of composing it.
+BELOW_THOUSAND = tuple(map(_below_thousand, range(1000)))
+
+
 def int_words(n: Column) -> Column:
     """Words for 0..99,999; null beyond."""
-    thousands, rest = F.floor(n / 1000), n % 1000
-    hundreds, last = F.floor(rest / 100), n % 100
-    hundred = F.when(rest == 100, HUNDRED).when(hundreds > 0, F.concat(_ones(hundreds), F.lit(HUNDREDS)))
-    composed = F.concat_ws(
-        " ", F.when(n >= 1000, F.concat(_ones(thousands), F.lit(f" {THOUSAND}"))), hundred, F.when(last > 0, _ones(last))
-    )
-    return F.when(n < 100, _ones(n)).when(n < LIMIT, composed)
+    thousands, rest = F.floor(n / 1000).cast("int"), (n % 1000).cast("int")
+    words = lambda i: F.get(F.array(*map(F.lit, BELOW_THOUSAND)), i)
+    more = F.when(rest > 0, F.concat(F.lit(" "), words(rest))).otherwise("")
+    return F.when(n < 1000, words(rest)).when(n < LIMIT, F.concat(_ones(thousands), F.lit(f" {THOUSAND}"), more))
 
 
 def ascii_digits(c: Column) -> Column:

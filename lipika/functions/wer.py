@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lipika.functions.text import without_pauses, words
+from lipika.functions.text import let, without_pauses, words
 
 # Spellings of the word "pause" that recognisers hear in silence, and the marks stripped before comparing.
 HEARD_PAUSES = ("पाउज", "पाज", "पॉज", "पौज")
@@ -15,11 +15,6 @@ MARKS = ".,।!?"
 FIRST_CODE, CODES = 0x4E00, 0xD7FF - 0x4E00
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in a lambda's body, where Catalyst would repeat the expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _coded(of: Column, vocabulary: Column) -> Column:
     """One character per word, so that the built-in edit distance counts words."""
     code = F.transform(of, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + (FIRST_CODE - 1)), 4, "0"))
@@ -45,12 +40,12 @@ def _distance(ref: Column, hyp: Column) -> Column:
         quick = F.levenshtein(_coded(ref, vocabulary), _coded(hyp, vocabulary))
         return F.when(F.size(vocabulary) <= CODES, quick).otherwise(_by_rows(ref, hyp))
 
-    return _let(F.array_union(ref, hyp), by_codes)
+    return let(F.array_union(ref, hyp), by_codes)
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
     """Edit distance between two arrays of words."""
-    return _let(ref, lambda r: _let(hyp, lambda h: _distance(r, h)))
+    return let(ref, lambda r: let(hyp, lambda h: _distance(r, h)))
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
@@ -61,7 +56,7 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
         return F.when(F.size(r) == 0, empty).otherwise(_distance(r, h) / F.size(r))
 
     both = reference.isNotNull() & hypothesis.isNotNull()
-    return F.when(both, _let(words(reference), lambda r: _let(words(hypothesis), lambda h: rate(r, h))))
+    return F.when(both, let(words(reference), lambda r: let(words(hypothesis), lambda h: rate(r, h))))
 
 
 def strip_heard_pauses(hypothesis: Column) -> Column:

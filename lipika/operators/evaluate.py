@@ -9,7 +9,7 @@ from lipika.functions import wer as E
 from lipika.functions.numbers import preprocess
 from lipika.functions.postprocess import apply_pauses, postprocess, prompt
 from lipika.functions.text import audio_name, data_url, trim
-from lipika.sources.models import ENGINES, map_model, model_factory
+from lipika.sources.models import ENGINES, map_model
 
 MAX_TEXT = 500
 EMPTY, TOO_LONG = "Text must not be empty.", f"Text must be at most {MAX_TEXT} characters."
@@ -21,7 +21,7 @@ def normalize(df: DataFrame, model: str, column: str = "input", out: str = "norm
     told = map_model(asked, model, "_prompt", "_answer", "string")
     return told.withColumns(
         {out: postprocess(F.col(column), F.col("_answer")), f"{out}_error": F.col("_answer_error")}
-    ).drop("_prompt", "_answer", "_answer_error")
+    ).drop("_prompt", "_answer", "_answer_error").withColumnRenamed("_answer_seconds", f"{out}_seconds")
 
 
 def evaluate(pairs: DataFrame, text_model: str, engine: str, recognizer: str) -> DataFrame:
@@ -60,21 +60,14 @@ def validate(requests: DataFrame, column: str = "text") -> DataFrame:
 def speak_batch(requests: DataFrame, text_model: str) -> DataFrame:
     """Requests (text, engine) to normalised text, data URL and file name; status 400, 500 or 502 where a step failed.
 
-    An engine that is not registered means the fallback engine.
+    An engine that is not registered means the fallback engine. Each model runs once per row; its time is reported.
     """
     rows = normalize(validate(requests), text_model, "clean_text", "normalized_text")
     rows = rows.withColumn("_spoken", F.when((F.col("status") == 200) & F.col("normalized_text_error").isNull(), apply_pauses(F.col("normalized_text"))))
-    names = [n for n in ENGINES if n != "fallback"]
-    chosen = F.when(F.col("engine").isin(*names), F.col("engine")).otherwise("fallback") if names else F.lit("fallback")
-    rows = rows.withColumn("_engine", chosen)
-    parts = []
-    for name, (mime, ext) in ENGINES.items():
-        model_factory(name)
-        part = map_model(rows.filter(F.col("_engine") == name), name, "_spoken", "_audio", "binary")
-        parts.append(part.withColumns({"_mime": F.lit(mime), "_ext": F.lit(ext)}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    chosen = F.when(F.col("engine").isin(*ENGINES), F.col("engine")).otherwise("fallback")
+    out = map_model(rows.withColumn("_engine", chosen), "fallback", "_spoken", "_audio", "binary", by="_engine")
+    kind = lambda i: F.coalesce(*(F.when(F.col("_engine") == n, e[i]) for n, e in ENGINES.items()))
+    out = out.withColumns({"_mime": kind(0), "_ext": kind(1)})
     status = (
         F.when(F.col("status") != 200, F.col("status")).when(F.col("normalized_text_error").isNotNull(), 500)
         .when(F.col("_audio_error").isNotNull(), 502).otherwise(200)
@@ -87,4 +80,5 @@ def speak_batch(requests: DataFrame, text_model: str) -> DataFrame:
         F.when(ok, data_url(F.col("_audio"), F.col("_mime"))).alias("audio_url"),
         F.when(ok, F.concat(audio_name(F.col("text"), ""), F.col("_ext"))).alias("name"),
         F.when(ok, F.col("_audio")).alias("bytes"), F.when(ok, F.col("_mime")).alias("mime"),
+        F.col("normalized_text_seconds").alias("text_seconds"), F.col("_audio_seconds").alias("audio_seconds"),
     )

@@ -58,6 +58,11 @@ def distance(ref: str, hyp: str) -> str:
 
 WORDED = f"{TURNS}, w AS (SELECT conv_id, turn, {words('ref')} AS r, {words('hyp')} AS h FROM turns)"
 
+#: The transcript lacks the reference's first word.
+REPORT = f"""w AS (SELECT *, {words('text')} AS r, list_prepend('so', {words('text')}[1:greatest(len({words('text')}) - 2, 0)]) AS h FROM conversations),
+  report AS (SELECT conv_id, turn, text AS reference, CASE WHEN turn % 4 <> 3 THEN array_to_string(r[2:], ' ') END AS transcribed, CASE WHEN turn % 4 = 3 THEN 'no audio' END AS error,
+    {distance('r', 'h')}::DOUBLE / len(r) AS normalized_wer, CASE WHEN turn % 4 <> 3 THEN 1.0::DOUBLE / len(r) END AS wer FROM w)"""
+
 SQL = {
     "corpus_profile": f"WITH {DOCS} SELECT sentence_type, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(words) AS BIGINT) AS words, round(avg(words), 6) AS mean_words FROM docs GROUP BY 1",
     "sentence_types_by_key": f"WITH {DOCS} SELECT sentence_type, count(*) AS n FROM docs GROUP BY 1",
@@ -108,10 +113,20 @@ SQL = {
     "pair_wer_macro": f"WITH {WORDED} SELECT count(*) AS n, round(avg({distance('r', 'h')}::DOUBLE / len(r)), 6) AS wer FROM w",
     # The hypothesis holds every reference word and one word more.
     "strip_artifacts_wer": f"WITH {TURNS} SELECT conv_id, turn, array_to_string({words('ref')}, ' ') || ' ' || array_to_string({words('ref')}, ' ') || ' x' AS kept, round(1.0::DOUBLE / (2 * len({words('ref')})), 6) AS wer FROM turns",
-    "eval_report": f"""SELECT conv_id, turn, text AS reference, CASE WHEN turn % 4 <> 3 THEN array_to_string({words('text')}[2:], ' ') END AS transcribed, CASE WHEN turn % 4 = 3 THEN 'no audio' END AS error,
-      0.0::DOUBLE AS normalized_wer, CASE WHEN turn % 4 <> 3 THEN round(1.0::DOUBLE / len({words('text')}), 6) END AS wer FROM conversations""",
-    "eval_summary": f"SELECT count(*) AS eval_rows, count(*) FILTER (turn % 4 <> 3) AS scored, count(*) FILTER (turn % 4 = 3) AS errored, 0.0::DOUBLE AS normalizer_wer, round(avg(CASE WHEN turn % 4 <> 3 THEN 1.0::DOUBLE / len({words('text')}) END), 6) AS round_trip_wer FROM conversations",
-    "eval_stub_round_trip": f"SELECT text AS input, text AS reference, {trim('text')} AS normalized, 0.0::DOUBLE AS normalized_wer, {trim('text')} AS transcribed, 0.0::DOUBLE AS wer, CAST(NULL AS VARCHAR) AS error FROM conversations",
+    "eval_report": f"""WITH {REPORT} SELECT conv_id, turn, reference, transcribed, error, round(normalized_wer, 6) AS normalized_wer, round(wer, 6) AS wer FROM report""",
+    "eval_summary": f"WITH {REPORT} SELECT count(*) AS eval_rows, count(wer) AS scored, count(*) - count(wer) AS errored, round(avg(normalized_wer), 6) AS normalizer_wer, round(avg(wer), 6) AS round_trip_wer FROM report",
+    # Two words more in every reference than in what comes back.
+    "eval_stub_round_trip": f"""WITH s AS (SELECT text AS input, text || ' and on' AS reference, {trim('text')} AS said FROM conversations)
+      SELECT input, reference, said AS normalized, round(2.0::DOUBLE / len({words('reference')}), 6) AS normalized_wer, said AS transcribed, round(2.0::DOUBLE / len({words('reference')}), 6) AS wer, CAST(NULL AS VARCHAR) AS error FROM s""",
+    "speak_requests": f"""WITH q AS (SELECT text, CASE WHEN doc_id % 3 = 0 THEN 'stub_wav' ELSE lang END AS engine, length({trim("coalesce(text, '')")}) AS n FROM documents)
+      SELECT text, engine, CASE WHEN n BETWEEN 1 AND 500 THEN 200 ELSE 400 END::BIGINT AS status, CASE WHEN n = 0 THEN 'Text must not be empty.' WHEN n > 500 THEN 'Text must be at most 500 characters.' END AS detail,
+        CASE WHEN n BETWEEN 1 AND 500 THEN left(sha256(text), 16) || CASE engine WHEN 'stub_wav' THEN '.wav' ELSE '.mp3' END END AS name,
+        CASE WHEN n BETWEEN 1 AND 500 THEN CASE engine WHEN 'stub_wav' THEN 'audio/wav' ELSE 'audio/mpeg' END END AS mime FROM q""",
+    # Batches are merged as long as what is there falls short of the target.
+    "grow_corpus": """WITH d AS (SELECT DISTINCT text AS input FROM documents WHERE text <> ''), n AS (SELECT count(*) AS n FROM d),
+      b AS (SELECT item_id % 4 AS batch, count(*) AS k FROM benchmark GROUP BY 1), upto AS (SELECT batch, coalesce(sum(k) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+      every AS (SELECT input FROM d UNION SELECT 'bench ' || item_id FROM benchmark JOIN upto ON item_id % 4 = batch WHERE before < 10)
+      SELECT input FROM every ORDER BY input LIMIT (SELECT n + 10 FROM n)""",
     "audio_name": "SELECT doc_id, left(sha256(text), 16) || '.mp3' AS name FROM documents",
     "data_url": "SELECT conv_id, turn, 'data:' || CASE turn % 2 WHEN 0 THEN 'audio/wav' ELSE 'audio/mpeg' END || ';base64,' || to_base64(encode(text)) AS url FROM conversations",
     "validate_requests": f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 400 WHEN doc_id % 7 = 1 THEN 200 WHEN length({trim('text')}) BETWEEN 1 AND 500 THEN 200 ELSE 400 END::BIGINT AS status,

@@ -1,7 +1,7 @@
 """Model plug-ins: a registry of factories, called once per Python worker batch stream, with retries and pacing.
 
 A factory returns a callable from one value to one value. Heavy imports belong inside the factory, which runs on the
-executor. The names ``echo_input``, ``bytes_of_text`` and ``text_of_bytes`` are stand-ins for tests, not models.
+executor. The names ``echo_input``, ``bytes_of_text``, ``text_of_bytes`` and ``stub_wav`` are stand-ins for tests, not models.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Factory = Callable[[], Callable]
@@ -34,9 +35,10 @@ _MODELS: dict[str, Factory] = {
     "bytes_of_text": _bytes_of_text,
     "text_of_bytes": _text_of_bytes,
     "fallback": _bytes_of_text,
+    "stub_wav": _bytes_of_text,
 }
 #: Synthesis engines: mime type and file extension.
-ENGINES: dict[str, tuple[str, str]] = {"fallback": ("audio/mpeg", "mp3")}
+ENGINES: dict[str, tuple[str, str]] = {"fallback": ("audio/mpeg", "mp3"), "stub_wav": ("audio/wav", "wav")}
 
 
 def register(name: str, factory: Factory, mime: str | None = None, ext: str | None = None) -> None:
@@ -105,24 +107,45 @@ def audio_of_chunks(chunks) -> bytes:
     return b"".join(c["data"] for c in chunks if c["type"] == "audio")
 
 
-def map_model(df: DataFrame, name: str, column: str, out: str, kind: str) -> DataFrame:
-    """Add ``out`` and ``{out}_error``: the model's value of each non-null cell, or its error; other rows go on."""
-    factory = model_factory(name)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(kind)), T.StructField(f"{out}_error", T.StringType())])
+def map_model(df: DataFrame, name: str, column: str, out: str, kind: str, by: str | None = None) -> DataFrame:
+    """Add ``out``, ``{out}_error`` and ``{out}_seconds``: the model's value of each non-null cell or its error, and the time it took.
+
+    ``by`` names a column that says which model a row goes to, ``name`` where it is null or no model; each is made once.
+    """
+    made = {n: model_factory(n) for n in ([name] if by is None else sorted(_MODELS))}
+    fields = [T.StructField(out, T._parse_datatype_string(kind)), T.StructField(f"{out}_error", T.StringType()), T.StructField(f"{out}_seconds", T.DoubleType())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = factory()
+        calls: dict[str, Callable] = {}
+
+        def model(which) -> Callable:
+            which = which if which in made else name
+            if which not in calls:
+                calls[which] = made[which]()
+            return calls[which]
+
         for pdf in batches:
-            values, errors = [], []
-            for x in pdf[column]:
-                value = error = None
+            values, errors, seconds = [], [], []
+            for x, which in zip(pdf[column], pdf[by] if by else [name] * len(pdf), strict=True):
+                value = error = took = None
                 if x is not None and x == x:
+                    call = model(which)
+                    began = time.monotonic()
                     try:
                         value = call(x)
                     except Exception as e:  # a row's failure must not stop the others
                         error = f"{type(e).__name__}: {e}"
+                    took = time.monotonic() - began
                 values.append(value)
                 errors.append(error)
-            yield pdf.assign(**{out: pd.Series(values, dtype=object, index=pdf.index), f"{out}_error": pd.Series(errors, dtype=object, index=pdf.index)})
+                seconds.append(took)
+            more = {out: pd.Series(values, dtype=object, index=pdf.index), f"{out}_error": pd.Series(errors, dtype=object, index=pdf.index)}
+            yield pdf.assign(**more, **{f"{out}_seconds": pd.Series(seconds, dtype=float, index=pdf.index)})
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, *fields]))
+
 
-    return df.mapInPandas(run, schema)
+def latency(df: DataFrame, out: str) -> DataFrame:
+    """Calls, failures, and the mean and the longest time of a mapped model."""
+    s = F.nanvl(f"{out}_seconds", F.lit(None).cast("double"))
+    return df.agg(F.count(s).alias("calls"), F.count(f"{out}_error").alias("errors"), F.avg(s).alias("mean_seconds"), F.max(s).alias("max_seconds"))

@@ -1,4 +1,6 @@
 import json
+import os
+import uuid
 import math
 
 import pytest
@@ -68,6 +70,39 @@ def test_speak_batch(spark):
     assert got["fine."]["audio_url"].startswith("data:audio/mpeg;base64,") and got["fine."]["name"].endswith(".mp3")
 
 
+def test_one_pass_over_several_engines(spark, monkeypatch, tmp_path):
+    """Each row's text goes through the text model once, however many engines there are; times are reported."""
+
+    def counted(text):
+        with open(f"{tmp_path}/{uuid.uuid4().hex}", "w"):
+            return text.split("### Input:\n", 1)[1].rsplit("\n\n### Response:", 1)[0]
+
+    monkeypatch.setitem(models._MODELS, "counted", lambda: counted)
+    monkeypatch.setitem(models._MODELS, "down", lambda: lambda t: 1 / 0)
+    monkeypatch.setitem(models.ENGINES, "down", ("audio/ogg", "ogg"))
+    req = spark.createDataFrame([(f"text {i}.", ["stub_wav", "down", "nobody"][i % 3]) for i in range(9)], "text STRING, engine STRING")
+    out = evaluate.speak_batch(req, "counted").collect()
+    assert len(os.listdir(tmp_path)) == 9
+    assert {(r["engine"], r["status"], r["mime"]) for r in out} == {("stub_wav", 200, "audio/wav"), ("down", 502, None), ("nobody", 200, "audio/mpeg")}
+    assert all(r["text_seconds"] >= 0 and r["audio_seconds"] >= 0 for r in out)
+    told = models.map_model(req, "fallback", "text", "said", "binary", by="engine")
+    spent = models.latency(told, "said").first()
+    assert (spent["calls"], spent["errors"]) == (9, 3) and 0 <= spent["mean_seconds"] <= spent["max_seconds"]
+
+
+def test_first_values(spark):
+    records.set_checkpoints(spark)
+    df = spark.createDataFrame([(f"{i:03d}",) for i in range(100)], "v STRING").repartition(7)
+    for n in (0, 1, 37, 100, 200):
+        assert [r[0] for r in corpus.first_values(df, "v", n).collect()] == [f"{i:03d}" for i in range(min(n, 100))]
+
+
+def test_shown_numbers(spark):
+    from lipika.functions import text
+
+    assert tuple(spark.range(1).select(text.percent(F.lit(0.1234)), text.fixed(F.lit(1 / 3))).first()) == ("12.3%", "0.3333")
+
+
 def test_retry_and_pacing():
     slept, calls = [], []
 
@@ -107,7 +142,7 @@ def test_records(spark, tmp_path):
     audio = spark.createDataFrame([("a.mp3", bytearray(b"x"))], "name STRING, bytes BINARY")
     records.export_audio(audio, f"{tmp_path}/out")
     assert records.read_audio(spark, f"{tmp_path}/out").first()["bytes"] == b"x"
-    assert records.git_commit()
+    assert records.code_version()
 
 
 def test_resume_stream(spark, tmp_path):
@@ -130,3 +165,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert records.read_audio(spark, f"{tmp_path}/audio").count() == 1
     main(["profile", f"{tmp_path}/p.jsonl"])
     assert "question" in capsys.readouterr().out
+    main(["evaluate", f"{tmp_path}/p.jsonl", f"{tmp_path}/r", "--selfcheck"])
+    assert "round trip 0.0000, failed 0.0%" in capsys.readouterr().out
+
+
+def test_building_goes_on_and_skips_failures(spark, tmp_path, capsys, monkeypatch):
+    from lipika.__main__ import main
+
+    def reply(text):
+        if "bad" in text:
+            raise ValueError("no answer")
+        return json.dumps({"normalized_text": text.upper()}) if text != "none" else "{}"
+
+    monkeypatch.setitem(models._MODELS, "replies", lambda: reply)
+    monkeypatch.setitem(models._MODELS, "must not be asked again", lambda: lambda t: 1 / 0)
+    with open(f"{tmp_path}/in.jsonl", "w") as f:
+        f.writelines(json.dumps({"input": t}) + "\n" for t in ("a", "b", "b", "bad", "none", ""))
+    call = ["build", f"{tmp_path}/in.jsonl", f"{tmp_path}/pairs", "--failures", f"{tmp_path}/failed"]
+    main([*call, "--text-model", "replies"])
+    assert "3 pairs added, 1 inputs failed" in capsys.readouterr().out
+    assert {(r["input"], r["output"]) for r in records.read_pairs(spark, f"{tmp_path}/pairs").collect()} == {("a", "A"), ("b", "B"), ("none", "none")}
+    assert [tuple(r) for r in spark.read.schema("input STRING, error STRING").json(f"{tmp_path}/failed").collect()] == [("bad", "ValueError: no answer")]
+    main([*call, "--text-model", "must not be asked again"])
+    assert "0 pairs added, 1 inputs failed" in capsys.readouterr().out
