@@ -5,13 +5,13 @@
 2. FILTERS rectangles slide over the (time, pitch class) image. An integral image makes any rectangle's sum four
    look-ups; the log ratio of two areas is quantised to two Gray-coded bits, and the 16 filters fill a 32-bit integer
    for every position.
-3. Two recordings are aligned by the offsets between equal halves of integers: runs of an equal half are joined on it,
-   the offsets of each pair of recordings are counted in a histogram, and those that VOTES or more halves agree on are
-   checked by the share of differing bits over the whole overlap.
+3. Two recordings are aligned by the offsets between integers that differ in one bit at most: runs of an equal integer
+   are joined on it, queries with their 32 neighbours too; the offsets of each pair of recordings are counted in a
+   histogram, and those with VOTES or more are checked by the share of differing bits over the whole overlap.
 
 Recordings of equal integers are one class and searched once. A search takes a query set against all recordings: the
-join of halves is a shuffle, in which a half that many recordings hold, as silence or a held tone, is dealt into blocks
-of bounded size; a run of T equal halves is one row, and two runs give their offsets with counts, not T * T hits.
+join of integers is a shuffle, in which one that many recordings hold, as of silence or a held tone, is dealt into
+blocks of bounded size; a run of T equal integers is one row, and two runs give their offsets with counts, not T * T hits.
 
 Defined results. Null, empty, unreadable and too short audio has an empty fingerprint, aligns with nothing and is its
 own class. Equal fingerprints share a class, named by the smallest id. Of equally good alignments the smaller query id,
@@ -40,9 +40,9 @@ WINDOW = 16
 STEP = 0.25
 #: (kind, first class, classes, frames): kinds split the rectangle by class, by time, in quarters, or into middle and rest.
 FILTERS = tuple(((i * 5) % 4, (i * 7) % 12 if (i * 7) % 12 + 2 + i % 3 * 2 <= 12 else 12 - (2 + i % 3 * 2), 2 + i % 3 * 2, 4 + i % 4 * 4) for i in range(16))
-#: Alignment: equal halves of integers at one offset, least overlap, most differing bits.
+#: Alignment: integers at one offset that differ in one bit at most, least overlap, most differing bits.
 VOTES, OVERLAP, ERROR = 4, 24, 0.25
-#: Runs of queries and of recordings with one half that are joined in one block.
+#: Runs of queries and of recordings with one integer that are joined in one block.
 QUERIES, OTHERS = 256, 8192
 
 
@@ -146,8 +146,13 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     return media.select(media[f"`{id_col}`"], media[f"`{audio_col}`"]).mapInArrow(run, f"id {kind}, codes array<int>")
 
 
-def runs_of_halves(prints: DataFrame) -> DataFrame:
-    """(c, half, start, n) of (c, codes): runs of equal upper and of equal lower halves."""
+#: An integer's neighbours, itself included, as what to exclusive-or it with.
+NEIGHBOURS = np.append(0, 1 << np.arange(32, dtype=np.int64))
+
+
+def runs(prints: DataFrame, neighbours: bool = False) -> DataFrame:
+    """(c, code, start, n) of (c, codes): runs of equal integers; with ``neighbours`` also under those of one other bit."""
+    probes = NEIGHBOURS if neighbours else NEIGHBOURS[:1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,21 +161,22 @@ def runs_of_halves(prints: DataFrame) -> DataFrame:
                 rows = [np.zeros((0, 4), np.int64)]
                 for c, codes in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     x = codes.values.to_numpy().view(np.uint32).astype(np.int64)
-                    for k in (0, 1):
-                        half = (x >> 16 * k & 0xFFFF) | k << 16
-                        start = np.flatnonzero(np.append(True, half[1:] != half[:-1]))
-                        rows.append(np.column_stack([np.full(len(start), c), half[start], start, np.diff(np.append(start, len(x)))]))
-                c, half, start, n = np.concatenate(rows).T
-                yield pa.RecordBatch.from_arrays([pa.array(c), *(pa.array(x.astype(np.int32)) for x in (half, start, n))], ["c", "half", "start", "n"])
+                    start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                    n, k = np.diff(np.append(start, len(x))), len(probes)
+                    code = (x[start][:, None] ^ probes).ravel()
+                    rows.append(np.column_stack([np.full(len(code), c), code, np.repeat(start, k), np.repeat(n, k)]))
+                c, code, start, n = np.concatenate(rows).T
+                arrays = [pa.array(c), pa.array(code.astype(np.uint32).view(np.int32)), *(pa.array(x.astype(np.int32)) for x in (start, n))]
+                yield pa.RecordBatch.from_arrays(arrays, ["c", "code", "start", "n"])
 
-    return prints.select("c", "codes").mapInArrow(run, "c long, half int, start int, n int")
+    return prints.select("c", "codes").mapInArrow(run, "c long, code int, start int, n int")
 
 
 def offsets(queries: DataFrame, prints: DataFrame) -> DataFrame:
-    """(q, c, offsets): the offsets, place in the recording minus place in the query, that VOTES halves agree on."""
-    a, b = dealt(stored(runs_of_halves(queries), "chroma-query-runs"), stored(runs_of_halves(prints), "chroma-runs"), ["half"], ["c", "start"], QUERIES, OTHERS)
-    a = a.select("half", "part", "block", F.col("c").alias("q"), F.col("start").alias("at"), F.col("n").alias("m"))
-    pairs = b.join(a, ["half", "part", "block"])
+    """(q, c, offsets): the offsets, place in the recording minus place in the query, that VOTES integers agree on but for a bit."""
+    a, b = dealt(stored(runs(queries, True), "chroma-query-runs"), stored(runs(prints), "chroma-runs"), ["code"], ["c", "start"], QUERIES, OTHERS)
+    a = a.select("code", "part", "block", F.col("c").alias("q"), F.col("start").alias("at"), F.col("n").alias("m"))
+    pairs = b.join(a, ["code", "part", "block"])
     every = F.sequence(F.col("start") - F.col("at") - F.col("m") + 1, F.col("start") + F.col("n") - 1 - F.col("at"))
     hits = pairs.withColumn("offset", F.explode(every))
     agree = F.least(F.col("start") + F.col("n"), F.col("at") + F.col("m") + F.col("offset")) - F.greatest("start", F.col("at") + F.col("offset"))
