@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import fold, stored, table
+from lipika.llm.common import fold, stored, table, tidied
 from lipika.llm.isotonic import pool_adjacent, probability
 from lipika.llm.textbytes import blocks
 
@@ -178,6 +178,7 @@ def scored(rows: DataFrame, fourier: Fourier, beta: np.ndarray, curve: np.ndarra
     return rows.select(*keep, *columns).mapInPandas(run, f"{kinds}, raw double, score double")
 
 
+@tidied
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1) -> DataFrame:
     """Per row: id, held_out, score, predicted. Rows of fold ``held`` of ``folds`` are never learned from."""
     columns = [f"s{i}" for i in range(STATS)]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import UPPER, stored, table
+from lipika.llm.common import UPPER, stored, table, tidied
 from lipika.llm.components import connected_components
 
 #: (host, path, verdict)
@@ -96,6 +96,7 @@ def _edges(links: DataFrame) -> DataFrame:
     return both.select(F.col("node").alias("a"), F.col("to_node").alias("b")).filter("a <> b").distinct()
 
 
+@tidied
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
     """Per row: id, host, path, rule, verdict, component (null where the url has no link).
 
@@ -121,6 +122,15 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("component")
 
 
+def url_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with a table of redirects, which the given tables lack: pages in runs of five, each redirecting
+    to the next one."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    to = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("to_url"))
+    redirects = pages.filter("page_id % 5 < 4").join(to, "page_id").select(F.col("url").alias("from_url"), "to_url")
+    return url_verdicts(pages, redirects=redirects).drop("component")
+
+
 _HOST = "translate(regexp_extract({r}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REST = "CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END"
 
@@ -139,3 +149,16 @@ WITH r AS (SELECT page_id, {_REST.format(u="coalesce(url, '')")} AS rest FROM pa
 p AS (SELECT page_id, {_HOST.format(r="rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
 SELECT page_id, host, path, {_case(0)} AS rule, coalesce({_case(1)}, 'allow') AS verdict FROM p
 """
+
+#: Everything that redirects reach, in either direction, by plain recursion.
+REDIRECT_SQL = f"""
+WITH RECURSIVE r AS (SELECT page_id, url, {_REST.format(u="coalesce(url, '')")} AS rest FROM pages),
+p AS (SELECT *, {_HOST.format(r="rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  CASE WHEN strpos(url, '://') > 0 THEN lower(split_part(url, '://', 1)) || '://' || {_HOST.format(r="rest")} || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS node FROM r),
+v AS (SELECT *, {_case(0)} AS rule, {_case(1)} AS said FROM p),
+e AS (SELECT a.node AS a, b.node AS b FROM v a JOIN v b ON b.page_id = a.page_id + 1 WHERE a.page_id % 5 < 4 AND a.node <> b.node),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+x(node, reach) AS (SELECT DISTINCT a, a FROM s UNION SELECT x.node, s.b FROM x JOIN s ON s.a = x.reach),
+i AS (SELECT x.node, min(v.said) AS inherited FROM x JOIN v ON v.node = x.reach GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(said, inherited, 'allow') AS verdict FROM v LEFT JOIN i ON i.node = v.node
+"""

@@ -1,8 +1,10 @@
 """Plain Python versions to compare with."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -102,3 +104,85 @@ def best_alignments(codes, every, overlap, error):
         e, q, off = min(found, default=(None, None, None))
         out[i] = (q, off, e, len(found))
     return out
+
+
+def toxic_words(text):
+    return re.findall(rb"[a-z0-9\x80-\xff]+", lower((text or "").encode()))
+
+
+def toxicity(docs, labels, folds=5, held=0, k=15, soften=0.05):
+    """id -> (score, nearest ids): every example scored for every text, by plain sums; ``docs`` has one row per id."""
+    from lipika.llm import isotonic
+
+    bags = {i: Counter(toxic_words(t)) for i, t in docs}
+    known = sorted(i for i in bags if labels.get(i) is not None and zlib.crc32(str(i).encode()) % folds != held)
+    y = {i: labels[i] for i in known}
+    found = Counter(w for b in bags.values() for w in b)
+    idf = {w: math.log(1 + len(bags) / n) for w, n in found.items()}
+    has = {label: Counter(w for i in known if y[i] == label for w in bags[i]) for label in (0, 1)}
+
+    def phi(w, but=None):
+        all0, all1 = (sum(y[i] == label for i in known if i != but) for label in (0, 1))
+        n0, n1 = (has[label][w] - (but is not None and y[but] == label and w in bags[but]) for label in (0, 1))
+        spread = all0 * all1 * (n0 + n1) * (all0 + all1 - n0 - n1)
+        return abs(n1 * (all0 - n0) - n0 * (all1 - n1)) / math.sqrt(spread) if spread > 0 else 0.0
+
+    every = {w: phi(w) for i in known for w in bags[i]}
+
+    def weights(i, but=None):
+        v = {w: (1 + math.log(c)) * idf[w] * (every[w] if but is None else phi(w, but)) for w, c in bags[i].items() if w in every}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else v
+
+    index = {i: weights(i) for i in known}
+
+    def nearest(v, but=None):
+        sims = [(-round(sum(x * index[j].get(w, 0.0) for w, x in v.items()), 12), j) for j in known if j != but]
+        return [(j, -s) for s, j in sorted(sims) if s < 0][:k]
+
+    def vote(near):
+        w = [1 / (1 - min(s, 1) + soften) for _, s in near]
+        return sum(x * y[j] for x, (j, _) in zip(w, near)) / sum(w)
+
+    own = {i: nearest(weights(i, i), i) for i in known}
+    bare = [y[i] for i in known if not own[i]]
+    empty = (sum(bare) + sum(y.values()) / len(y)) / (len(bare) + 1)
+    raw = sorted((round(vote(n), 3), y[i]) for i, n in own.items() if n)
+    xs = sorted({r for r, _ in raw})
+    import numpy as np
+
+    curve = isotonic.pool_adjacent(np.array(xs), np.array([float(sum(v for r, v in raw if r == x)) for x in xs]), np.array([float(sum(r == x for r, _ in raw)) for x in xs]))
+    out = {}
+    for i in bags:
+        near = nearest(weights(i))
+        out[i] = (float(isotonic.probability(curve, np.array([vote(near)]))[0]) if near else empty, [j for j, _ in near[:3]])
+    return out
+
+
+def quality(docs, labels, folds=3, held=1):
+    """id -> score, by one matrix of all rows; ``docs`` has one row per id."""
+    import numpy as np
+
+    from lipika.llm import isotonic
+    from lipika.llm import quality as q
+
+    ids = [i for i, _ in docs]
+    x = np.array([q.statistics(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for _, t in docs])
+    rng, d = np.random.default_rng(q.SEED), x.shape[1]
+    w, b = rng.normal(0, 1 / np.sqrt(d), (d, q.FEATURES)), rng.uniform(0, 2 * np.pi, q.FEATURES)
+    std = x.std(axis=0)
+    z = np.clip((x - x.mean(axis=0)) / np.where(std > 1e-9, std, 1.0), -8, 8)
+    z = np.hstack([np.sqrt(2 / q.FEATURES) * np.cos(z @ w + b), np.ones((len(z), 1))])
+    known = [k for k, i in enumerate(ids) if labels.get(i) is not None and zlib.crc32(str(i).encode()) % folds != held]
+    aside = [k for k in known if zlib.crc32(f"calibration:{ids[k]}".encode()) % q.CALIBRATION == 0]
+    fit = [k for k in known if k not in aside]
+    y = np.array([float(labels[ids[k]]) for k in fit])
+    gram = z[fit].T @ z[fit]
+    beta = np.linalg.solve(gram + q.RIDGE * len(fit) * np.eye(len(gram)) / len(gram), z[fit].T @ y)
+    raw = z @ beta
+    bins = defaultdict(list)
+    for k in aside:
+        bins[min(max(math.floor((raw[k] + 1) / 3 * q.BINS), 0), q.BINS)].append((raw[k], labels[ids[k]]))
+    rows = [bins[k] for k in sorted(bins)]
+    curve = isotonic.pool_adjacent(*(np.array(c) for c in zip(*((np.mean([r for r, _ in v]), float(sum(l for _, l in v)), float(len(v))) for v in rows))))
+    return dict(zip(ids, isotonic.probability(curve, raw)))
