@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from lipika.llm.common import stored, table
+from lipika.llm.common import settled, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        # A stage's own tables go once its output is written.
+        docs = settled(lambda: stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))  # noqa: B023
     return docs
