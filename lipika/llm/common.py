@@ -77,8 +77,10 @@ def paths_read(df: DataFrame) -> list[str]:
     leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
     for i in range(leaves.size()):
         if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
-            roots = leaves.apply(i).relation().location().rootPaths()
-            found += [roots.apply(j).toString() for j in range(roots.size())]
+            relation = leaves.apply(i).relation()
+            if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                roots = relation.location().rootPaths()
+                found += [roots.apply(j).toString() for j in range(roots.size())]
     return found
 
 
