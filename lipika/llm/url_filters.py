@@ -85,7 +85,9 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     page = pages.select(pages[f"`{url}`"].alias("url"), pages[f"`{html}`"].alias("html"))
     page = page.filter(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|http-equiv"))
     links = F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (CANONICAL, REFRESH)))
-    found = parsed(page.select("url", F.explode(links).alias("link")), "url")
+    # Of the entities only the ampersand's is usual in a link.
+    found = page.select("url", F.explode(links).alias("link")).withColumn("link", F.regexp_replace("link", "(?i)&amp;", "&"))
+    found = parsed(found, "url")
     found = found.withColumn("to", _absolute(F.substring_index("url", "://", 1), F.col("host"), F.col("path"), F.col("link")))
     return _edges(found.select("url", "to"))
 
