@@ -43,6 +43,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: A job's shuffle files go when it ends; for jobs whose plan is not run again.
+CLEAN_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Scratch paths of the operator calls that are under way, innermost last; and those that results still read.
 _open: list[list[str]] = []
 _kept: list[str] = []
@@ -67,7 +69,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     The job's shuffle files go with the job's end, for nothing reads them once the table is written.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    with settings(spark, CLEAN_SHUFFLES):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -124,6 +126,16 @@ def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the scratch tables that these read and nothing reads any more."""
+    for df in tables:
+        for path in map(_bare, paths_read(df)):
+            for made in (*_open, _kept):
+                for mine in [m for m in made if _bare(m) == path]:
+                    made.remove(mine)
+                    remove(df.sparkSession, mine)
+
+
 def _bare(path: str) -> str:
     """A path without the ways to write its scheme."""
     return re.sub("^file:/*", "/", path)

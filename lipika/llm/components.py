@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipika.llm.common import stored
+from lipika.llm.common import stored, tidied
 
 TASK_EDGES = 500_000
 
@@ -37,6 +37,7 @@ def joined(part: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(nodes, kind), "to": pa.array([root(x) for x in nodes], kind)})
 
 
+@tidied
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): every node of an edge and the smallest node of its component.
 

@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lipika.llm.common import CLEAN_SHUFFLES, settings
+
 CHUNKS = 64
 
 
@@ -31,5 +33,6 @@ def cell_counts(df: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "n": [total.astype("<i8").tobytes()]})
 
     sums = df.mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInPandas(add, "chunk int, n binary")
-    rows = sorted((r["chunk"], r["n"]) for r in sums.collect())  # CHUNKS rows of cells / CHUNKS numbers
+    with settings(df.sparkSession, CLEAN_SHUFFLES):
+        rows = sorted((r["chunk"], r["n"]) for r in sums.select("*").collect())  # CHUNKS rows of cells / CHUNKS numbers
     return np.concatenate([np.frombuffer(v, "<i8") for _, v in rows]) if rows else np.zeros(cells, np.int64)

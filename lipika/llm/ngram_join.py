@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import bucket_count, in_blocks, is_empty, stored, table, tidied
+from lipika.llm.common import bucket_count, discard, in_blocks, is_empty, stored, table, tidied
 from lipika.llm.components import connected_components
 from lipika.llm.counting import cell_counts
 from lipika.llm.shingles import digest, links, mix, sets, shingles
@@ -471,6 +471,8 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     )
     classes, met = told_apart(classes, met)
     met = met.withColumnRenamed("member", "node")
+    rows = stored(rows.select("id", "n", "name"), "ngram-rows")
+    discard(everything)
 
     def compare(pairs: DataFrame) -> DataFrame:
         """Links among the pairs."""
@@ -480,14 +482,18 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
         key = F.when(F.col("class_id").isNull(), F.col("key")).alias("key")
         wanted = stored(wanted.join(classes.select("node", "name", F.col("class_id").alias("id"), key), "node"), "ngram-wanted")
         members = stored(full_sets(docs, wanted), "ngram-sets")
-        return stored(verified(good, members, percent), "ngram-edges")
+        edges = stored(verified(good, members, percent), "ngram-edges")
+        discard(pairs, good, wanted, members)
+        return edges
 
     def open_entries(at: DataFrame, label: DataFrame) -> DataFrame:
         """(entry, node, comp, n, k) of entries whose nodes are not all connected yet."""
         now = at.join(label.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         now = stored(now.join(classes.select("node", "n"), "node"), "ngram-at")
         k = now.groupBy("entry").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("k")).filter("p <> q")
-        return stored(now.join(k.select("entry", "k"), "entry").select("entry", "node", "comp", "n", "k"), "ngram-open")
+        out = stored(now.join(k.select("entry", "k"), "entry").select("entry", "node", "comp", "n", "k"), "ngram-open")
+        discard(now)
+        return out
 
     # First every node of an entry meets the entry's first node.
     tried = stored(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "ngram-tried")
@@ -521,8 +527,6 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     groups = classes.select("name", "node", "class_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = stored(groups.join(least, "component").select("name", "class_id", "component_id"), "ngram-named")
-    # Of what is read from here on only the names are wide.
-    rows = stored(rows.select("id", "n", "name"), "ngram-rows")
     out = rows.join(named, "name", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
 
