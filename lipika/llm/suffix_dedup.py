@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import bucket_count, stored, table, tidied
+from lipika.llm.common import bucket_count, discard, stored, table, tidied
 from lipika.llm.shingles import mix
 from lipika.llm.suffix_sort import deep_shallow
 from lipika.llm.textbytes import blocks
@@ -339,15 +339,19 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
 
     def dealt_to(df: DataFrame, run, label: str) -> tuple[DataFrame, DataFrame]:
         rows = stored(df.mapInArrow(run, "bucket int, payload binary"), label)
-        return rows.filter("bucket IS NOT NULL"), rows.filter("bucket IS NULL").select("payload").mapInArrow(covered_before, RANGES_DDL)
+        covered = rows.filter("bucket IS NULL").select("payload").mapInArrow(covered_before, RANGES_DDL)
+        return rows.filter("bucket IS NOT NULL"), stored(covered, "suffix-covered")
 
     packed, first = dealt_to(docs, packed_anchors(buckets), "suffix-anchors")
     found = packed.groupBy("bucket").applyInArrow(repeated_grams, "id long, start int, gram long, off short, run short, step short")
     wanted = found.groupBy(F.col("id").alias("wid")).agg(F.collect_list(F.struct("start", "gram", "off", "run", "step")).alias("wanted"))
-    texts = docs.join(stored(wanted, "suffix-wanted"), F.col("id") == F.col("wid")).select("id", "text", "wanted")
+    wanted = stored(wanted, "suffix-wanted")
+    discard(packed)
+    texts = docs.join(wanted, F.col("id") == F.col("wid")).select("id", "text", "wanted")
     packed, second = dealt_to(texts, edge_bytes(buckets), "suffix-spans")
-    third = packed.groupBy("bucket").applyInArrow(covered_edges, RANGES_DDL)
-    return stored(first.union(second).union(third), "suffix-covered")
+    discard(wanted)
+    third = stored(packed.groupBy("bucket").applyInArrow(covered_edges, RANGES_DDL), "suffix-covered")
+    return first.union(second).union(third)
 
 
 def united(ranges: np.ndarray) -> np.ndarray:
