@@ -161,3 +161,14 @@ def test_word_error_rate(spark):
     assert rows == [(distance(r.split(), h.split()),) for r, h in pairs]
     got = values(spark, [("रमेश, [pause] तुझा प्रोजेक्ट", "रमेश, पॉज, तुझा प्रोजेक्ट"), (None, "a")], "r STRING, h STRING", E.round_trip_wer(F.col("r"), F.col("h")), E.strip_heard_pauses(F.col("h")))
     assert got == [(0.0, "रमेश, तुझा प्रोजेक्ट"), (None, "a")]
+
+
+def test_a_text_that_repeats_its_own_opening_is_no_restart(spark):
+    t = "x.y \\E b c d. And x.y \\E b again."
+    cases = [
+        (t, t, t), (t, t + " x.y \\E b once more", t[:-1]), (t, "x.y \\E b, and more", "x.y \\E b, and more"),
+        ("a b c d e f", "a b c d e f, [pause] a b c d e f", "a b c d e f"), ("a a a a a a a", "a a a a a a a", "a a a a a a a"),
+    ]
+    df = spark.createDataFrame([(r, g) for r, g, _ in cases], "r string, g string").coalesce(1)
+    assert [x[0] for x in df.select(P.cut_more_restarts(F.col("r"), F.col("g"))).collect()] == [w for *_, w in cases]
+    assert [x[0] for x in df.select(P.postprocess(F.col("r"), F.col("g"))).collect()][0] == t
