@@ -60,9 +60,11 @@ def validate(requests: DataFrame, column: str = "text") -> DataFrame:
 def speak_batch(requests: DataFrame, text_model: str) -> DataFrame:
     """Requests (text, engine) to normalised text, data URL and file name; status 400, 500 or 502 where a step failed.
 
-    An engine that is not registered means the fallback engine. Each model runs once per row; its time is reported.
+    An engine that is not registered means the fallback engine. Each model runs once per row that may be spoken; its time
+    is reported. Texts with status 400 reach no model.
     """
-    rows = normalize(validate(requests), text_model, "clean_text", "normalized_text")
+    asked = validate(requests).withColumn("_asked", F.when(F.col("status") == 200, F.col("clean_text")))
+    rows = normalize(asked, text_model, "_asked", "normalized_text")
     rows = rows.withColumn("_spoken", F.when((F.col("status") == 200) & F.col("normalized_text_error").isNull(), apply_pauses(F.col("normalized_text"))))
     chosen = F.when(F.col("engine").isin(*ENGINES), F.col("engine")).otherwise("fallback")
     out = map_model(rows.withColumn("_engine", chosen), "fallback", "_spoken", "_audio", "binary", by="_engine")

@@ -9,10 +9,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 Factory = Callable[[], Callable]
 
@@ -107,15 +108,23 @@ def audio_of_chunks(chunks) -> bytes:
     return b"".join(c["data"] for c in chunks if c["type"] == "audio")
 
 
+#: Bytes of values that a worker holds before they go out.
+HELD = 4 << 20
+
+
 def map_model(df: DataFrame, name: str, column: str, out: str, kind: str, by: str | None = None) -> DataFrame:
     """Add ``out``, ``{out}_error`` and ``{out}_seconds``: the model's value of each non-null cell or its error, and the time it took.
 
     ``by`` names a column that says which model a row goes to, ``name`` where it is null or no model; each is made once.
+    Only these two columns go to the workers, and values go back in runs of about HELD bytes.
     """
     made = {n: model_factory(n) for n in ([name] if by is None else sorted(_MODELS))}
     fields = [T.StructField(out, T._parse_datatype_string(kind)), T.StructField(f"{out}_error", T.StringType()), T.StructField(f"{out}_seconds", T.DoubleType())]
+    types = [to_arrow_type(f.dataType) for f in fields]
+    names = ["value", "error", "seconds"]
+    held_bytes = HELD
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array | tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         calls: dict[str, Callable] = {}
 
         def model(which) -> Callable:
@@ -124,25 +133,40 @@ def map_model(df: DataFrame, name: str, column: str, out: str, kind: str, by: st
                 calls[which] = made[which]()
             return calls[which]
 
-        for pdf in batches:
-            values, errors, seconds = [], [], []
-            for x, which in zip(pdf[column], pdf[by] if by else [name] * len(pdf), strict=True):
+        def told(rows: list[tuple]) -> pa.Array:
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+        for batch in batches:
+            cells, which = batch if by else (batch, None)
+            rows, size = [], 0
+            for i in range(len(cells)):
+                x = cells[i].as_py()
                 value = error = took = None
                 if x is not None and x == x:
-                    call = model(which)
+                    call = model(which[i].as_py() if by else name)
                     began = time.monotonic()
                     try:
                         value = call(x)
                     except Exception as e:  # a row's failure must not stop the others
                         error = f"{type(e).__name__}: {e}"
                     took = time.monotonic() - began
-                values.append(value)
-                errors.append(error)
-                seconds.append(took)
-            more = {out: pd.Series(values, dtype=object, index=pdf.index), f"{out}_error": pd.Series(errors, dtype=object, index=pdf.index)}
-            yield pdf.assign(**more, **{f"{out}_seconds": pd.Series(seconds, dtype=float, index=pdf.index)})
-
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, *fields]))
+                    size += len(value) if isinstance(value, (bytes, str)) else 0
+                rows.append((value, error, took))
+                if size >= held_bytes:
+                    yield told(rows)
+                    rows, size = [], 0
+            if rows or not len(cells):
+                yield told(rows)
+
+    # Not deterministic, so that the plan calls it once per row.
+    kinds = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)])
+    ask = F.arrow_udf(run, kinds, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    # Always true, but the planner must not move a column's expression into the call, where it is not evaluated if it has lambdas.
+    now = F.monotonically_increasing_id() >= 0
+    wanted = {"_cell": F.when(now, df[f"`{column}`"])} | ({} if by is None else {"_by": F.when(now, df[f"`{by}`"])})
+    asked = df.withColumns(wanted).withColumn("_told", ask(*wanted)).drop(*wanted)
+    return asked.withColumns({f.name: F.col(f"_told.{n}") for n, f in zip(names, fields, strict=True)}).drop("_told")
 
 
 def latency(df: DataFrame, out: str) -> DataFrame:

@@ -188,3 +188,22 @@ def test_building_goes_on_and_skips_failures(spark, tmp_path, capsys, monkeypatc
     assert [tuple(r) for r in spark.read.schema("input STRING, error STRING").json(f"{tmp_path}/failed").collect()] == [("bad", "ValueError: no answer")]
     main([*call, "--text-model", "must not be asked again"])
     assert "0 pairs added, 1 inputs failed" in capsys.readouterr().out
+
+
+def test_models_get_their_column_only_and_refused_texts_reach_none(spark, tmp_path):
+    """Columns beside the asked one stay out of the workers; texts that are refused are no calls."""
+
+    def seen(text):
+        with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as f:
+            f.write(text)
+        return text
+
+    models.register("seen", lambda: seen)
+    req = spark.createDataFrame([("a" * 501, "x"), (" ", "x"), (None, "x"), ("fine.", "x")], "text STRING, engine STRING")
+    out = {r["text"]: r for r in evaluate.speak_batch(req, "seen").collect()}
+    assert len(os.listdir(tmp_path)) == 1 and out["fine."]["status"] == 200 and out["a" * 501]["text_seconds"] is None
+    told = models.map_model(req, "fallback", "text", "said", "binary", by="engine")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+    big = spark.range(64).coalesce(1).select(F.repeat(F.lit("x"), 1 << 18).alias("t"), "id")
+    assert [(r[0], r[1]) for r in models.map_model(big, "bytes_of_text", "t", "said", "binary").select("id", F.length("said")).collect()] == [(i, 1 << 18) for i in range(64)]
