@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import dealt, stored, table, tidied
+from lipika.llm.common import dealt, settings, stored, table, tidied
 
 FRAME_S, HOP_S = 0.256, 0.064
 LOWEST, HIGHEST = 110.0, 1760.0
@@ -44,6 +44,10 @@ FILTERS = tuple(((i * 5) % 4, (i * 7) % 12 if (i * 7) % 12 + 2 + i % 3 * 2 <= 12
 VOTES, OVERLAP, ERROR = 4, 24, 0.25
 #: Runs of queries and of recordings with one integer that are joined in one block.
 QUERIES, OTHERS = 256, 8192
+#: Recordings go to and from the workers in batches of so many rows and bytes: by default they are of 10,000 rows.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Recordings that are rendered at a time.
+RENDERED = 32
 
 
 def decode(audio: bytes | None) -> tuple[np.ndarray, int]:
@@ -215,7 +219,8 @@ def alignments(queries: DataFrame, prints: DataFrame) -> DataFrame:
 @tidied
 def aligned_recordings(media: DataFrame, id_col: str, audio_col: str, every: int = 100) -> DataFrame:
     """Per recording: id, codes, class_id, and its best alignment with a query (ids divisible by ``every``)."""
-    prints = stored(fingerprints(media, id_col, audio_col), "chroma-prints")
+    with settings(media.sparkSession, SMALL_BATCHES):
+        prints = stored(fingerprints(media, id_col, audio_col), "chroma-prints")
     named = prints.withColumn("name", F.sha2(F.to_json("codes"), 256))
     asked = F.when(F.col("id") % every == 0, F.col("id"))
     classes = named.filter("size(codes) > 0").groupBy("name").agg(
@@ -264,8 +269,8 @@ def media_of_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, RENDERED):
+                part = b.slice(lo, RENDERED)
                 audio = []
                 for v, before in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     own, lead = melody(v), melody(before)

@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,16 @@ def test_rectangles_by_hand():
             ratio = np.log1p(part) - np.log1p(area - part)
             level = int(ratio > -chroma.STEP) + int(ratio > 0) + int(ratio > chroma.STEP)
             assert codes[t] >> 30 == level ^ level >> 1
+
+
+def test_recordings_reach_the_workers_in_small_batches(spark, monkeypatch):
+    """However many rows a task has, few recordings are held at once; the codes here are the sizes of the batches."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[b.num_rows]] * b.num_rows, pa.list_(pa.int32()))], ["id", "codes"])
+
+    monkeypatch.setattr(chroma, "fingerprints", lambda media, *_: media.mapInArrow(sizes, "id long, codes array<int>"))
+    media = spark.range(300).coalesce(1).select("id", F.lit(b"").alias("audio"))
+    got = chroma.aligned_recordings(media, "id", "audio").collect()
+    assert len(got) == 300 and max(r["codes"][0] for r in got) <= 64
