@@ -293,13 +293,14 @@ def meetings(part: pa.Table) -> pa.Table:
 
 
 def cross_pairs(percent: int):
-    """For rows (entry, node, component, n) sorted by entry: pairs of nodes in different components, worth comparing.
+    """For rows (entry, node, component, n, profile) sorted by entry: pairs of nodes in different components, that sizes
+    and profiles do not rule out. Pairs are made and dropped by STRIP, so the strangers of a common entry give no rows.
 
     Entries of at most SMALL nodes give all of them. In larger ones a node of each of the HUBS largest components meets
     the nodes outside its component; what that leaves open is for ``far_pairs``.
     """
 
-    def group(node, comp, n) -> np.ndarray:
+    def group(node, comp, n, profiles: pa.Array) -> np.ndarray:
         k = len(node)
         if k <= SMALL:
             a, b = np.triu_indices(k, 1)
@@ -313,21 +314,47 @@ def cross_pairs(percent: int):
             a, b = np.repeat(hubs, k), np.tile(np.arange(k), len(hubs))
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         keep = (comp[a] != comp[b]) & (100 * low >= percent * high)
-        a, b = node[a[keep]], node[b[keep]]
-        return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+        a, b, low, both = a[keep], b[keep], low[keep], (low + high)[keep]
+        if not len(a):
+            return np.zeros((0, 2), np.int64)
+        cells = np.frombuffer(b"".join(profiles.to_pylist()), np.uint8).reshape(-1, PROFILE)
+        out = []
+        for lo in range(0, len(a), STRIP):
+            x, y = a[lo : lo + STRIP], b[lo : lo + STRIP]
+            shared = at_most_shared(cells[x], cells[y], low[lo : lo + STRIP])
+            ok = 100 * shared >= percent * (both[lo : lo + STRIP] - shared)
+            x, y = node[x[ok]], node[y[ok]]
+            out.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+        return np.concatenate(out)
+
+    def pairs(rows: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        """Of the entries that end at the row numbers ``ends``."""
+        node, comp, n = (rows[c].to_numpy() for c in ("node", "comp", "n"))
+        profiles = rows["profile"]
+        got, i = [np.zeros((0, 2), np.int64)], 0
+        for j in ends.tolist():
+            if j - i > 1:
+                got.append(group(node[i:j].copy(), comp[i:j], n[i:j], profiles.slice(i, j - i)))
+            i = j
+        return _pairs(np.unique(np.concatenate(got), axis=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            rows = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
-            rows = np.concatenate([*held, rows]) if held else rows
-            parts = np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1)
-            held = [parts.pop()]
-            got = [group(p[:, 1].copy(), p[:, 2], p[:, 3]) for p in parts if len(p) > 1]
-            if got:
-                yield _pairs(np.unique(np.concatenate(got), axis=0))
-        if held and len(held[0]) > 1:
-            yield _pairs(np.unique(group(held[0][:, 1].copy(), held[0][:, 2], held[0][:, 3]), axis=0))
+            if not batch.num_rows:
+                continue
+            entry = batch.column(0).to_numpy()
+            if held and held[-1].column(0)[0].as_py() == entry[-1]:  # one entry, still open
+                held.append(batch)
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            ends = np.flatnonzero(np.diff(rows["entry"].to_numpy())) + 1
+            if len(ends):
+                yield pairs(rows, ends)
+            held = rows.slice(int(ends[-1]) if len(ends) else 0).combine_chunks().to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield pairs(rows, np.array([rows.num_rows]))
 
     return run
 
@@ -502,7 +529,8 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     # Then the nodes of an entry that are not connected by that meet each other, or hubs of a large entry.
     open_ = open_entries(many.select("entry", "node").union(many.select("entry", "hub")).distinct(), label)
     if not is_empty(open_):
-        found = open_.select("entry", "node", "comp", "n").repartition("entry").sortWithinPartitions("entry").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
+        at = open_.join(classes.select("node", "profile"), "node").select("entry", "node", "comp", "n", "profile")
+        found = at.repartition("entry").sortWithinPartitions("entry").mapInArrow(cross_pairs(percent), "a long, b long").distinct()
         edges = compare(stored(found, "ngram-tried"))
         label = label if is_empty(edges) else relabelled(label, edges)
         # Last, in what large entries leave open, all pairs that sizes and profiles allow. Large entries of a group of

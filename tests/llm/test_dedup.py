@@ -4,6 +4,7 @@ import random
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +323,18 @@ def test_deep_shallow():
             a, b = key[k - 1], key[k]
             common = next((j for j, (x, y) in enumerate(zip(a[1], b[1])) if x != y), min(len(a[1]), len(b[1])))
             assert lcp[k] == (common if a[0] == b[0] else -1)
+
+
+def test_strangers_in_a_common_entry_make_no_pairs():
+    """Pairs of one entry are sifted by their profiles before they are rows; entries may be cut anywhere into batches."""
+    rng = np.random.default_rng(5)
+    some = [rng.integers(0, 1 << 63, 60, np.int64).view(np.uint64) for _ in range(140)]
+    some[3] = np.append(some[2][:58], some[3][:2])  # a near copy of its neighbour
+    rows = [(e, i, i, 60, ngram_join.profile(some[i])) for e, members in ((1, range(40)), (2, range(2, 4)), (3, range(140)), (4, [5])) for i in members]
+    whole = pa.table(dict(zip(("entry", "node", "comp", "n", "profile"), map(list, zip(*rows, strict=True)), strict=True)))
+    for size in (7, 40, 1000):
+        made = [tuple(r.values()) for b in ngram_join.cross_pairs(75)(iter(whole.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert set(made) == {(2, 3)} and len(made) <= 3
+    alike = pa.table({"entry": [1] * 60, "node": range(60), "comp": range(60), "n": [60] * 60, "profile": [ngram_join.profile(some[0])] * 60})
+    made = {tuple(r.values()) for b in ngram_join.cross_pairs(75)(iter(alike.to_batches())) for r in b.to_pylist()}
+    assert len({x for p in made for x in p}) == 60
