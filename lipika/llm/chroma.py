@@ -5,13 +5,16 @@
 2. FILTERS rectangles slide over the (time, pitch class) image. An integral image makes any rectangle's sum four
    look-ups; the log ratio of two areas is quantised to two Gray-coded bits, and the 16 filters fill a 32-bit integer
    for every position.
-3. Two recordings are aligned by the offsets between integers that differ in one bit at most: runs of an equal integer
-   are joined on it, queries with their 32 neighbours too; the offsets of each pair of recordings are counted in a
-   histogram, and those with VOTES or more are checked by the share of differing bits over the whole overlap.
+3. Two recordings are aligned by the offsets between integers that differ in one bit at most: a block of queries is
+   indexed by its runs of equal integers and their 32 neighbours, and recordings' runs are looked up; the offsets of each
+   pair of recordings are counted in a histogram, and those with VOTES or more are checked by the share of differing
+   bits over the whole overlap.
 
-Recordings of equal integers are one class and searched once. A search takes a query set against all recordings: the
-join of integers is a shuffle, in which one that many recordings hold, as of silence or a held tone, is dealt into
-blocks of bounded size; a run of T equal integers is one row, and two runs give their offsets with counts, not T * T hits.
+Recordings of equal integers are one class and searched once. A search takes a query set against all recordings. Tonal
+integers meet by chance, more than once for each query and recording, so hits are made and counted where the two blocks
+meet, in slices of bounded size, and only alignments become rows. Blocks of packed recordings are what Spark pairs: their
+number grows with the product of both tables by its nature, a row for QUERIES * OTHERS pairs of recordings. A run of T
+equal integers, as of silence or a held tone, is one entry, and two runs give their offsets with counts, not T * T hits.
 
 Defined results. Null, empty, unreadable and too short audio has an empty fingerprint, aligns with nothing and is its
 own class. Equal fingerprints share a class, named by the smallest id. Of equally good alignments the smaller query id,
@@ -28,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import dealt, settings, stored, table, tidied
+from lipika.llm.common import settings, stored, table, tidied
 
 FRAME_S, HOP_S = 0.256, 0.064
 LOWEST, HIGHEST = 110.0, 1760.0
@@ -42,8 +46,10 @@ STEP = 0.25
 FILTERS = tuple(((i * 5) % 4, (i * 7) % 12 if (i * 7) % 12 + 2 + i % 3 * 2 <= 12 else 12 - (2 + i % 3 * 2), 2 + i % 3 * 2, 4 + i % 4 * 4) for i in range(16))
 #: Alignment: integers at one offset that differ in one bit at most, least overlap, most differing bits.
 VOTES, OVERLAP, ERROR = 4, 24, 0.25
-#: Runs of queries and of recordings with one integer that are joined in one block.
-QUERIES, OTHERS = 256, 8192
+#: Queries of a block, recordings that are searched with one at a time, and integers that either has, about.
+QUERIES, OTHERS, CODES = 256, 512, 1 << 18
+#: Offsets of runs that are counted at a time.
+WORK = 2_000_000
 #: Recordings go to and from the workers in batches of so many rows and bytes: by default they are of 10,000 rows.
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: Recordings that are rendered at a time.
@@ -151,41 +157,135 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
 
 
 #: An integer's neighbours, itself included, as what to exclusive-or it with.
-NEIGHBOURS = np.append(0, 1 << np.arange(32, dtype=np.int64))
+NEIGHBOURS = np.append(0, 1 << np.arange(32)).astype(np.uint32)
 
 
-def runs(prints: DataFrame, neighbours: bool = False) -> DataFrame:
-    """(c, code, start, n) of (c, codes): runs of equal integers; with ``neighbours`` also under those of one other bit."""
-    probes = NEIGHBOURS if neighbours else NEIGHBOURS[:1]
+def packed(prints: DataFrame, rows: int) -> DataFrame:
+    """(cs, sizes, codes) of (c, codes): up to ``rows`` recordings, or about CODES integers, to a row."""
+    step = min(rows, 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows = [np.zeros((0, 4), np.int64)]
-                for c, codes in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    x = codes.values.to_numpy().view(np.uint32).astype(np.int64)
-                    start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-                    n, k = np.diff(np.append(start, len(x))), len(probes)
-                    code = (x[start][:, None] ^ probes).ravel()
-                    rows.append(np.column_stack([np.full(len(code), c), code, np.repeat(start, k), np.repeat(n, k)]))
-                c, code, start, n = np.concatenate(rows).T
-                arrays = [pa.array(c), pa.array(code.astype(np.uint32).view(np.int32)), *(pa.array(x.astype(np.int32)) for x in (start, n))]
-                yield pa.RecordBatch.from_arrays(arrays, ["c", "code", "start", "n"])
-
-    return prints.select("c", "codes").mapInArrow(run, "c long, code int, start int, n int")
-
-
-def offsets(queries: DataFrame, prints: DataFrame) -> DataFrame:
-    """(q, c, offsets): the offsets, place in the recording minus place in the query, that VOTES integers agree on but for a bit."""
-    a, b = dealt(stored(runs(queries, True), "chroma-query-runs"), stored(runs(prints), "chroma-runs"), ["code"], ["c", "start"], QUERIES, OTHERS)
-    a = a.select("code", "part", "block", F.col("c").alias("q"), F.col("start").alias("at"), F.col("n").alias("m"))
-    pairs = b.join(a, ["code", "part", "block"])
-    every = F.sequence(F.col("start") - F.col("at") - F.col("m") + 1, F.col("start") + F.col("n") - 1 - F.col("at"))
-    hits = pairs.withColumn("offset", F.explode(every))
-    agree = F.least(F.col("start") + F.col("n"), F.col("at") + F.col("m") + F.col("offset")) - F.greatest("start", F.col("at") + F.col("offset"))
-    votes = hits.groupBy("q", "c", "offset").agg(F.sum(agree).alias("votes")).filter(F.col("votes") >= VOTES)
-    return votes.groupBy("q", "c").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*held, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["cs", "sizes", "codes"])
+
+        for part in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
+            sizes = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+            held.append((part.column(0).to_numpy(), sizes.astype(np.int64), part.column(1).flatten().to_numpy()))
+            if sum(len(h[0]) for h in held) + step > rows or sum(len(h[2]) for h in held) >= CODES:
+                yield flush()
+        if held:
+            yield flush()
+
+    return prints.select("c", "codes").mapInArrow(run, "cs binary, sizes binary, codes binary")
+
+
+class Prints:
+    """The recordings of a packed row, and their runs of equal integers: whose, the integer, first place, length."""
+
+    def __init__(self, cs: bytes, sizes: bytes, codes: bytes):
+        self.c, self.size, x = np.frombuffer(cs, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(codes, np.uint32)
+        first = np.cumsum(self.size) - self.size
+        self.codes = np.split(x, first[1:])
+        who = np.repeat(np.arange(len(self.c)), self.size)
+        head = np.ones(len(x), bool)
+        head[1:] = (x[1:] != x[:-1]) | (who[1:] != who[:-1])
+        at = np.flatnonzero(head)
+        self.who, self.code, self.start, self.n = who[at], x[at], at - first[who[at]], np.diff(np.append(at, len(x)))
+
+
+class Index:
+    """The runs of a block of queries under their integers and those of one other bit."""
+
+    def __init__(self, queries: Prints):
+        self.queries = queries
+        probes = (queries.code[:, None] ^ NEIGHBOURS).ravel()
+        order = np.argsort(probes, kind="stable")
+        self.run = order // len(NEIGHBOURS)
+        self.code, first = np.unique(probes[order], return_index=True)
+        self.first = np.append(first, len(probes))
+        self.sums = np.append(0, np.cumsum(queries.n[self.run]))
+
+    def votes(self, prints: Prints) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(q, c, offsets): places in the block and among ``prints``, and the offsets of VOTES integers or more."""
+        at = np.minimum(np.searchsorted(self.code, prints.code), len(self.code) - 1)
+        lo, hi = self.first[at], np.where(self.code[at] == prints.code, self.first[at + 1], self.first[at])
+        work = np.bincount(prints.who, self.sums[hi] - self.sums[lo] + (hi - lo) * (prints.n - 1), minlength=len(prints.c))
+        runs = np.append(0, np.cumsum(np.bincount(prints.who, minlength=len(prints.c))))
+        ends, c = np.cumsum(work), 0
+        while c < len(work):
+            last = max(c + 1, int(np.searchsorted(ends, (ends[c - 1] if c else 0) + WORK, side="right")))
+            count = self._sparse if ends[last - 1] - (ends[c - 1] if c else 0) <= WORK else self._dense
+            yield from count(prints, lo, hi, runs[c], runs[last])
+            c = last
+
+    def _pairs(self, lo: np.ndarray, hi: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(run of a recording, run of a query) of equal integers, for the recordings' runs a to b."""
+        k = hi[a:b] - lo[a:b]
+        return np.repeat(np.arange(a, b), k), self.run[np.arange(k.sum()) + np.repeat(lo[a:b] - np.cumsum(k) + k, k)]
+
+    def _sparse(self, prints: Prints, lo: np.ndarray, hi: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Sorts the hits: two runs give their offsets with counts."""
+        q = self.queries
+        x, y = self._pairs(lo, hi, a, b)
+        k = prints.n[x] + q.n[y] - 1
+        offset = prints.start[x] - q.start[y] - q.n[y] + 1
+        if (k > 1).any():
+            x, y, offset = np.repeat(x, k), np.repeat(y, k), np.arange(k.sum()) + np.repeat(offset - np.cumsum(k) + k, k)
+        if not len(x):
+            return
+        agree = np.minimum(prints.start[x] + prints.n[x], q.start[y] + q.n[y] + offset) - np.maximum(prints.start[x], q.start[y] + offset)
+        least, span = int(q.size.max()), int(q.size.max() + prints.size.max())
+        key = (prints.who[x] * len(q.c) + q.who[y]) * span + offset + least
+        if (agree == 1).all():
+            key.sort()
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, total = key[first], np.diff(np.append(first, len(key)))
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, total = key[first], np.add.reduceat(agree[order], first)
+        key = key[total >= VOTES]
+        pair, offset = key // span, key % span - least
+        for i, j in _groups(pair):
+            yield int(pair[i] % len(q.c)), int(pair[i] // len(q.c)), offset[i:j]
+
+    def _dense(self, prints: Prints, lo: np.ndarray, hi: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Counts one recording's hits in cells, of some queries at a time; two runs' counts by offset are the second sum of four ones."""
+        q, c = self.queries, int(prints.who[a])
+        width = q.size + prints.size[c] + 3
+        ends, pairs = np.cumsum(width), np.cumsum(hi[a:b] - lo[a:b])
+        one = 0
+        while one < len(width):
+            before = int(ends[one - 1]) if one else 0
+            last = max(one + 1, int(np.searchsorted(ends, before + WORK, side="right")))
+            cells = int(ends[last - 1]) - before
+            bend, r = np.zeros(cells, np.int64), 0
+            while r < b - a:
+                to = max(r + 1, int(np.searchsorted(pairs, (pairs[r - 1] if r else 0) + WORK, side="right")))
+                x, y = self._pairs(lo, hi, a + r, a + to)
+                mine = (q.who[y] >= one) & (q.who[y] < last)
+                x, y, r = x[mine], y[mine], to
+                n, m = prints.n[x], q.n[y]
+                at = ends[q.who[y]] - width[q.who[y]] - before + q.size[q.who[y]] + prints.start[x] - q.start[y] - m + 1
+                bend += np.bincount(at, minlength=cells) + np.bincount(at + n + m, minlength=cells)
+                bend -= np.bincount(at + np.minimum(n, m), minlength=cells) + np.bincount(at + np.maximum(n, m), minlength=cells)
+            found = np.flatnonzero(bend.cumsum().cumsum() >= VOTES)
+            who = np.searchsorted(ends, found + before, side="right")
+            offset = found + before - (ends - width)[who] - q.size[who]
+            for i, j in _groups(who):
+                yield int(who[i]), c, offset[i:j]
+            one = last
+
+
+def _groups(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each run of equal keys."""
+    first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return list(zip(first.tolist(), np.append(first[1:], len(sorted_keys)).tolist(), strict=True)) if len(first) else []
 
 
 def best_offset(recording: np.ndarray, query: np.ndarray, tried: np.ndarray) -> tuple[float, int] | None:
@@ -205,15 +305,26 @@ def alignments(queries: DataFrame, prints: DataFrame) -> DataFrame:
     """(q, c, offset, bit_error) of every pair of a query (c, codes) and a recording (c, codes) that align."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, index = None, None
         for b in batches:
-            got = [best_offset(*(x.values.to_numpy().view(np.uint32) for x in (c, q)), o.values.to_numpy()) for c, q, o in zip(*b.columns[2:], strict=True)]
-            hit = b.filter(pa.array([g is not None for g in got], pa.bool_()))
-            got = [g for g in got if g]
-            yield pa.RecordBatch.from_arrays([hit.column(0), hit.column(1), pa.array([o for _, o in got], pa.int64()), pa.array([e for e, _ in got], pa.float64())], ["q", "c", "offset", "bit_error"])
-
-    tried = stored(offsets(queries, prints), "chroma-offsets")
-    pairs = tried.join(prints.select("c", "codes"), "c").join(queries.select(F.col("c").alias("q"), F.col("codes").alias("qcodes")), "q")
-    return pairs.select("q", "c", "codes", "qcodes", "offsets").mapInArrow(run, "q long, c long, offset long, bit_error double")
+            rows = []
+            for r in range(b.num_rows):
+                *asked, cs, sizes, codes = (x[r].as_py() for x in b.columns)
+                if asked != block:  # a task goes through its recordings with one block after the other
+                    block, index = asked, Index(Prints(*asked))
+                others = Prints(cs, sizes, codes)
+                for q, c, tried in index.votes(others):
+                    best = best_offset(others.codes[c], index.queries.codes[q], tried)
+                    if best:
+                        rows.append((int(index.queries.c[q]), int(others.c[c]), best[1], best[0]))
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(),) * 3 + (pa.float64(),), strict=True)], ["q", "c", "offset", "bit_error"])
+
+    # Not broadcast, so that nothing of the queries' size goes through the driver.
+    with settings(queries.sparkSession, SMALL_BATCHES | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        blocks = stored(packed(queries.repartition(max(1, -(-queries.count() // QUERIES))), QUERIES), "chroma-queries")
+        pairs = blocks.toDF("qs", "qsizes", "qcodes").crossJoin(packed(prints, OTHERS))
+        return stored(pairs.mapInArrow(run, "q long, c long, offset long, bit_error double"), "chroma-aligned")
 
 
 @tidied
@@ -228,7 +339,7 @@ def aligned_recordings(media: DataFrame, id_col: str, audio_col: str, every: int
     )
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "chroma-classes")
     second = named.filter(asked.isNotNull()).join(classes.filter("asks > 1").select("name", "q1"), "name").filter("id <> q1").groupBy("name").agg(F.min("id").alias("q2"))
-    found = stored(alignments(classes.filter("asks > 0"), classes), "chroma-aligned")
+    found = alignments(classes.filter("asks > 0"), classes)
     asks = classes.filter("asks > 0").select(F.col("c").alias("q"), "q1", "asks")
     others = found.filter("q <> c").join(asks, "q").groupBy("c").agg(
         F.min(F.struct("bit_error", F.col("q1").alias("match_id"), "offset")).alias("other"), F.sum("asks").alias("links")

@@ -287,3 +287,49 @@ def test_recordings_reach_the_workers_in_small_batches(spark, monkeypatch):
     media = spark.range(300).coalesce(1).select("id", F.lit(b"").alias("audio"))
     got = chroma.aligned_recordings(media, "id", "audio").collect()
     assert len(got) == 300 and max(r["codes"][0] for r in got) <= 64
+
+
+def joined_rows(spark, since):
+    """The most rows that a join made in the executions after ``since``; and the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    ids = [runs.apply(i).executionId() for i in range(runs.size())]
+    for e in (i for i in ids if i > since):
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() or "Cartesian" in node.name():
+                metrics = (node.metrics().apply(i) for i in range(node.metrics().size()))
+                got = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                most = max([most, *(int(g.get().replace(",", "")) for g in got if g.isDefined())])
+    return most, max(ids, default=-1)
+
+
+def test_integers_that_meet_by_chance_make_no_rows(spark):
+    """One integer in each recording is common to all of them, which aligns nothing (before: a row for each pair)."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(-(2**31), 2**31, (400, 40))
+    codes[:, 20] = 5
+    prints = spark.createDataFrame([(i, c) for i, c in enumerate(codes.tolist())], "c LONG, codes ARRAY<INT>")
+    since = joined_rows(spark, -1)[1]
+    assert {(r["q"], r["c"], r["offset"]) for r in chroma.alignments(prints.filter("c < 40"), prints).collect()} == {(q, q, 0) for q in range(40)}
+    assert joined_rows(spark, since)[0] < 400
+
+
+@pytest.mark.parametrize("work", [1, 50, 2_000_000])
+def test_votes_against_brute_force(monkeypatch, work):
+    """Long runs, alternating integers and neighbours, sorted or counted in cells."""
+    monkeypatch.setattr(chroma, "WORK", work)
+    rng = np.random.default_rng(9)
+    made = [np.repeat(rng.integers(0, 6, k), rng.integers(1, 7, k)).astype(np.uint32) for k in rng.integers(1, 20, 14)]
+    made += [np.full(30, 3, np.uint32), np.tile(np.array([1, 6], np.uint32), 12), np.array([2**31], np.uint32), np.zeros(0, np.uint32)]
+    pack = lambda rows: chroma.Prints(np.arange(len(rows)).tobytes(), np.array([len(r) for r in rows]).tobytes(), np.concatenate(rows).tobytes())
+    got = {(q, c): o.tolist() for q, c, o in chroma.Index(pack(made[::2])).votes(pack(made))}
+    want = {}
+    for q, a in enumerate(made[::2]):
+        for c, b in enumerate(made):
+            votes = {}
+            for (i, x), (j, y) in ((i, j) for i in enumerate(a.tolist()) for j in enumerate(b.tolist())):
+                votes[j - i] = votes.get(j - i, 0) + ((x ^ y).bit_count() <= 1)
+            if any(v >= chroma.VOTES for v in votes.values()):
+                want[q, c] = sorted(o for o, v in votes.items() if v >= chroma.VOTES)
+    assert got == want and len(want) > 50
