@@ -144,13 +144,29 @@ def entries_of(lines: pa.Array, ids: np.ndarray, number: np.ndarray, rarity: np.
 
 
 def of_equal(e: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(the earliest row of each run of equal keys, the rows that stand at later places)"""
-    order = np.lexsort((e["line"], e["id"], *keys))
-    head = np.ones(len(e), bool)
+    """(the earliest row of each run of equal keys, in the rows' order, and the rows that stand at later places)"""
+    one = keys[0]
+    for k in keys[1:]:
+        one = mix(one) ^ k
+    # Most rows differ from all others in a single number made of their keys; only the rest is sorted in full.
+    order = np.argsort(one)
+    same = one[order][1:] == one[order][:-1]
+    order = order[_either(same)]
+    part = e[order]
+    within = np.lexsort((part["line"], part["id"], *(k[order] for k in keys)))
+    order, part = order[within], part[within]
+    head = np.ones(len(order), bool)
     head[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    first = order[np.flatnonzero(head)][np.cumsum(head) - 1] if len(e) else order
-    later = (e["id"][order] != e["id"][first]) | (e["line"][order] != e["line"][first])
-    return order[head], order[later]
+    first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(order) else order
+    later = (part["id"] != part["id"][first]) | (part["line"] != part["line"][first])
+    stays = np.ones(len(e), bool)
+    stays[order[~head]] = False
+    return np.flatnonzero(stays), order[later]
+
+
+def _either(same: np.ndarray) -> np.ndarray:
+    """Which rows equal the one before or after, of whether each row but the first equals the one before."""
+    return np.append(same, False) | np.append(False, same) if len(same) else np.zeros(0, bool)
 
 
 def packed_entries(rarity, buckets: int):
@@ -162,22 +178,23 @@ def packed_entries(rarity, buckets: int):
 
         def flush() -> pa.RecordBatch:
             e, line = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held.clear()
             later = of_equal(line, [line["b"], line["a"]])[1]
             gone = np.zeros(len(later), PLACE)
             gone["id"], gone["line"] = line["id"][later], line["line"][later]
             gone = np.unique(gone)
             place = np.zeros(len(e), PLACE)
             place["id"], place["line"] = e["id"], e["line"]
-            e = e[~among(place, gone)]
             bucket = (mix(e["word"]) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            e, bucket = e[order], bucket[order]
+            order = np.flatnonzero(~among(place, gone))
+            order = order[np.argsort(bucket[order], kind="stable")]
+            e, bucket = e.take(order), bucket[order]
             used, first = np.unique(bucket, return_index=True)
-            rows = [(b, e[i:j].tobytes()) for b, i, j in zip(used.tolist(), first, np.append(first[1:], len(e)), strict=True)]
+            payload = [e[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(e)), strict=True)]
             if len(gone):
                 spread = mix(np.array([gone["id"][0]]).view(np.uint64) ^ np.uint64(len(gone)))[0]
-                rows.append((-1 - int(spread % np.uint64(buckets)), gone.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
+                used, payload = np.append(used, np.int32(-1 - int(spread % np.uint64(buckets)))), [*payload, gone.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(payload, pa.binary())], ["bucket", "payload"])
 
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -187,7 +204,7 @@ def packed_entries(rarity, buckets: int):
                 size += len(held[-1][0])
                 if size >= RUN:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield flush()
 
@@ -206,14 +223,17 @@ def among(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def ranks(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct places in order, the place of each row as a number)"""
-    place = np.zeros(len(e), PLACE)
-    place["id"], place["line"] = e["id"], e["line"]
-    order = np.lexsort((e["line"], e["id"]))
+    ids, line = np.ascontiguousarray(e["id"]), np.ascontiguousarray(e["line"])
+    low, high = (int(ids.min()), int(ids.max())) if len(e) else (0, 0)
+    order = np.argsort((ids - low) << 32 | line) if high - low < 1 << 31 else np.lexsort((line, ids))
+    ids, line = ids[order], line[order]
     head = np.ones(len(e), bool)
-    head[1:] = place[order][1:] != place[order][:-1]
+    head[1:] = (ids[1:] != ids[:-1]) | (line[1:] != line[:-1])
     at = np.empty(len(e), np.int64)
     at[order] = np.cumsum(head) - 1
-    return place[order][head], at
+    place = np.zeros(int(head.sum()), PLACE)
+    place["id"], place["line"] = ids[head], line[head]
+    return place, at
 
 
 def columns(e: np.ndarray, order: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -295,24 +315,21 @@ def with_earliest(e: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarra
 
 def candidates(part: pa.Table) -> pa.Table:
     """Of one bucket: places that go, pairs (later, earlier) to verify, and the entries of dense words."""
-    raw = b"".join(x.as_py() for x in part["payload"])
+    raw = np.concatenate([whole(c)[0] for c in part["payload"].chunks])
     none = np.zeros(0, PLACE)
     if part["bucket"][0].as_py() < 0:
-        return _found(np.frombuffer(raw, PLACE), none, none, np.zeros(0, ENTRY))
-    rows = np.frombuffer(raw, ENTRY)
+        return _found(raw.view(PLACE), none, none, np.zeros(0, ENTRY))
+    rows = raw.view(ENTRY)
     word = np.ascontiguousarray(rows["word"])
     order = np.argsort(word)
-    same = word[order][1:] == word[order][:-1]
-    several = np.zeros(len(rows), bool)
-    several[1:] |= same
-    several[:-1] |= same
-    rows = rows[order[several]]
+    word = word[order]
+    rows = rows.take(order[_either(word[1:] == word[:-1])])
     # Equal sets meet under every word of their prefix; the first word reports them, and the earliest goes on.
     first, later = of_equal(rows, [rows["b"], rows["a"], rows["word"]])
     later = later[rows["i"][later] == 0]
     gone = np.zeros(len(later), PLACE)
     gone["id"], gone["line"] = rows["id"][later], rows["line"][later]
-    rows = rows[first]
+    rows = rows.take(first)
     places, at = ranks(rows)
     order = np.lexsort((at, rows["n"], rows["word"]))
     e = columns(rows, order, at)

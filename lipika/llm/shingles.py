@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from lipika.llm.textbytes import whole
 
@@ -15,6 +14,11 @@ WIDTH = 5
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90))
+_LOWERED = _BYTE[_LOWER]
+_FILLED = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Bytes of whole words that are hashed together; a longer word is hashed by itself.
+PIECE = 1 << 17
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -27,33 +31,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _hash_all(strings: pa.Array) -> np.ndarray:
-    """A polynomial hash of each string's bytes, mixed."""
-    data, offsets = whole(strings)
-    n = len(offsets) - 1
-    if not n:
-        return np.zeros(0, np.uint64)
-    length = np.diff(offsets)
-    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(length.max()), _BASE)]))
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], length)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * powers[place])])
-    return mix(sums[offsets[1:]] - sums[offsets[:-1]] + length.astype(np.uint64))
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers from 0 to ``n`` at least, and their inverses."""
+    if n > PIECE or not _POWERS:
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        made = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, PIECE), x)])) for x in (_BASE, inverse))
+        if n > PIECE:
+            return made
+        _POWERS.append(made)
+    return _POWERS[0]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every word, A-Z lower-cased; words end at the six ASCII white-space characters.
 
-    The split leaves empty strings at the ends of texts, which are dropped; each distinct word is hashed once.
+    A word's hash is the polynomial of its bytes with its length, mixed: a difference of running sums, brought back to the
+    word's first place by a power's inverse.
     """
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    words = split.flatten().dictionary_encode()
-    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
-    if not len(owner):
-        return np.zeros(0, np.uint64), owner
-    place = words.indices.to_numpy()
-    h = _hash_all(words.dictionary)[place]
-    filled = pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False) > 0
-    return (h, owner) if filled.all() else (h[filled[place]], owner[filled[place]])
+    data, offsets = whole(texts)
+    filled = _FILLED.take(data)
+    first, last = filled.copy(), filled.copy()
+    first[1:] = filled[1:] > filled[:-1]
+    last[:-1] = filled[:-1] > filled[1:]
+    for at, edge in ((first, offsets[:-1][offsets[:-1] < len(data)]), (last, offsets[1:][offsets[1:] > 0] - 1)):
+        at[edge] = filled[edge]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, offsets)))
+    h = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + PIECE, side="right")))
+        here, s, e = data[start[lo] : end[hi - 1]], start[lo:hi] - start[lo], end[lo:hi] - start[lo]
+        powers, inverse = _powers(len(here))
+        sums = np.zeros(len(here) + 1, np.uint64)
+        np.cumsum(_LOWERED.take(here) * powers[: len(here)], out=sums[1:])
+        h[lo:hi] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
+        lo = hi
+    return mix(h), owner
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import brute
 import duckdb
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lipika.llm import components, exact_dedup, line_dedup, ngram_join, suffix_dedup, suffix_sort
+from lipika.llm import components, exact_dedup, line_dedup, ngram_join, shingles, suffix_dedup, suffix_sort
 
 
 @pytest.mark.parametrize("at_once", [0, 40, 10**6])
@@ -338,3 +339,41 @@ def test_strangers_in_a_common_entry_make_no_pairs():
     alike = pa.table({"entry": [1] * 60, "node": range(60), "comp": range(60), "n": [60] * 60, "profile": [ngram_join.profile(some[0])] * 60})
     made = {tuple(r.values()) for b in ngram_join.cross_pairs(75)(iter(alike.to_batches())) for r in b.to_pylist()}
     assert len({x for p in made for x in p}) == 60
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 17])
+def test_word_hashes_by_hand(monkeypatch, piece):
+    """The hash of a word does not depend on its place, its text or the piece it is hashed in."""
+    monkeypatch.setattr(shingles, "PIECE", piece)
+    monkeypatch.setattr(shingles, "_POWERS", [])
+    rng = random.Random(piece)
+    texts = ["", None, " ", "a", *("".join(rng.choices("abAZz é ß語\t\n\v\f\r\x1c\x00", k=rng.randint(0, 30))) for _ in range(300)), "", "B" * 500 + " b"]
+    h, owner = shingles.word_hashes(pa.array(texts)[1:])
+    want = [(i, w) for i, t in enumerate(texts[1:]) for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+    assert owner.tolist() == [i for i, _ in want]
+    for got, (_, w) in zip(h.tolist(), want, strict=True):
+        total = sum(int(shingles._BYTE[b]) * pow(int(shingles._BASE), k, 1 << 64) for k, b in enumerate(w.lower())) + len(w)
+        assert got == int(shingles.mix(np.array([total % (1 << 64)], np.uint64))[0])
+
+
+def test_only_rows_with_equals_are_sorted_in_full(monkeypatch):
+    """Of 1,000 sets of which ten have a copy, 20 rows go to the sort by all keys (before: all rows)."""
+    sorts, plain = [], np.lexsort
+    monkeypatch.setattr(line_dedup.np, "lexsort", lambda keys: sorts.append(len(keys[0])) or plain(keys))
+    rows = np.zeros(1010, line_dedup.LINE)
+    rows["id"], rows["a"] = np.arange(1010), np.append(np.arange(1000), np.arange(10)) * 7
+    rows["b"] = rows["a"] + np.uint64(1)
+    first, later = line_dedup.of_equal(rows, [rows["b"], rows["a"]])
+    assert first.tolist() == list(range(1000)) and sorted(later.tolist()) == list(range(1000, 1010)) and sorts == [20]
+    none = line_dedup.of_equal(rows[:0], [rows["b"][:0], rows["a"][:0]])
+    assert [len(x) for x in none] == [0, 0]
+
+
+def test_places_in_order_for_near_and_far_ids():
+    for ids in ([5, 3, 3, 5, -2], [2**62, -(2**62), 3, 3, -(2**62)], []):
+        rows = np.zeros(len(ids), line_dedup.LINE)
+        rows["id"], rows["line"] = ids, [1, 4, 4, 0, 7][: len(ids)]
+        places, at = line_dedup.ranks(rows)
+        want = sorted({(int(r["id"]), int(r["line"])) for r in rows})
+        assert [(int(p["id"]), int(p["line"])) for p in places] == want
+        assert [want[i] for i in at] == [(int(r["id"]), int(r["line"])) for r in rows]
